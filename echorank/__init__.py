@@ -9,3 +9,10 @@ DataFrames in, DataFrames out. Sub-packages:
 ``plans``      whole queries: rankings, filter-and-refine, feature extraction
 ``streaming``  append-only-new as a Structured Streaming job
 """
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Kernels travel to executors by value: no package has to be installed there.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -6,19 +6,24 @@ import numpy as np
 import pyarrow as pa
 
 
-def matrix_of(vectors: pa.Array) -> tuple[np.ndarray | None, np.ndarray]:
-    """Rows of an ``ARRAY<DOUBLE>`` column as one matrix.
+def null_index(values: pa.Array) -> pa.Array | None:
+    """For each row its place among the rows that are not NULL; None without NULLs.
 
-    Returns ``(index, matrix)``. Without NULL rows ``index`` is None; otherwise
-    ``index`` maps each row to its matrix row through a nullable Arrow take, so
-    NULL rows stay NULL.
+    A nullable Arrow take with it puts results back, NULL rows staying NULL.
     """
-    index = None
-    if vectors.null_count:
-        valid = np.asarray(vectors.is_valid())
-        rows = np.cumsum(valid) - 1
-        index = pa.array(np.where(valid, rows, 0), mask=~valid)
-        vectors = vectors.drop_null()
+    if not values.null_count:
+        return None
+    valid = np.asarray(values.is_valid())
+    return pa.array(np.where(valid, np.cumsum(valid) - 1, 0), mask=~valid)
+
+
+def restore(index: pa.Array | None, values: pa.Array) -> pa.Array:
+    return values if index is None else values.take(index)
+
+
+def matrix_of(vectors: pa.Array) -> tuple[pa.Array | None, np.ndarray]:
+    """``(null_index, matrix)`` of an ``ARRAY<DOUBLE>`` column, NULL rows left out."""
+    index, vectors = null_index(vectors), vectors.drop_null()
     if len(vectors) == 0:
         return index, np.zeros((0, 2))
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
@@ -30,16 +35,7 @@ def matrix_of(vectors: pa.Array) -> tuple[np.ndarray | None, np.ndarray]:
 
 def ragged_matrices(vectors: pa.Array, rows: int) -> tuple[pa.Array | None, list[np.ndarray]]:
     """Row-major matrices of ``rows`` rows and any width; NULLs as in ``matrix_of``."""
-    index = None
-    if vectors.null_count:
-        valid = np.asarray(vectors.is_valid())
-        index = pa.array(np.where(valid, np.cumsum(valid) - 1, 0), mask=~valid)
-        vectors = vectors.drop_null()
+    index, vectors = null_index(vectors), vectors.drop_null()
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(vectors.value_lengths().to_numpy(zero_copy_only=False)) if len(vectors) else []
-    pieces = np.split(flat, ends)[: len(vectors)]
-    return index, [piece.reshape(rows, -1) for piece in pieces]
-
-
-def restore(index: pa.Array | None, values: pa.Array) -> pa.Array:
-    return values if index is None else values.take(index)
+    ends = np.cumsum(vectors.value_lengths().to_numpy(zero_copy_only=False))
+    return index, [piece.reshape(rows, -1) for piece in np.split(flat, ends)[: len(vectors)]]

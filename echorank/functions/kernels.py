@@ -11,6 +11,9 @@ import numpy as np
 # Fixed value: cut-off of the first-order high-pass, relative to Nyquist.
 HIGH_PASS_CUTOFF = 0.1
 
+# Below this many running pairs big integers beat numpy's cost per operation.
+FEW_PAIRS = 96
+
 
 def euclidean_to(batch: np.ndarray, query: np.ndarray) -> np.ndarray:
     gap = batch - query
@@ -90,6 +93,101 @@ def high_pass_max(signals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return best
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+def edit_distances_to(texts: list[str], queries: list[str], block: int = 1 << 15) -> list[np.ndarray]:
+    """Levenshtein distances of all texts to each query, bit-parallel.
+
+    A column of the edit matrix is kept as bits that say where it steps up or
+    down (Myers 1999), 64 rows to a word. All pairs of a block advance together,
+    longest text first, so that the running ones are always a prefix. Queries of
+    similar length share a block.
+    """
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    out = [lengths.astype(float) for _ in queries]
+    groups: dict[int, list[int]] = {}
+    for n, query in enumerate(queries):
+        if query:
+            groups.setdefault(1 << ((len(query) - 1) // 64).bit_length(), []).append(n)
+    order = np.argsort(-lengths, kind="stable")
+    for words, members in groups.items():
+        codes = [_codes(queries[n]) for n in members]
+        alphabet = np.unique(np.concatenate(codes))
+        match = np.zeros((words, len(alphabet) + 1, len(members)), dtype=np.uint64)
+        valid = np.zeros((words, len(members)), dtype=np.uint64)
+        for n, pattern in enumerate(codes):
+            at = np.arange(len(pattern))
+            bits = np.uint64(1) << (at % 64).astype(np.uint64)
+            np.bitwise_or.at(match, (at // 64, np.searchsorted(alphabet, pattern) + 1, n), bits)
+            np.bitwise_or.at(valid, (at // 64, n), bits)
+        step = max(1, block // len(members))
+        for start in range(0, len(order), step):
+            rows = order[start : start + step]
+            symbols = np.zeros((int(lengths[rows[0]]), len(rows)), dtype=np.int64)
+            for n, row in enumerate(rows):
+                text = _codes(texts[row])
+                found = np.minimum(np.searchsorted(alphabet, text), len(alphabet) - 1)
+                symbols[: len(text), n] = np.where(alphabet[found] == text, found + 1, 0)
+            ups, downs = _edit_columns(symbols, lengths[rows], match)
+            climb = np.bitwise_count(ups & valid[:, None, :]).astype(np.int64).sum(axis=0)
+            climb -= np.bitwise_count(downs & valid[:, None, :]).astype(np.int64).sum(axis=0)
+            for n, member in enumerate(members):
+                out[member][rows] = lengths[rows] + climb[:, n]
+    return out
+
+
+def _edit_columns(symbols, sizes, match) -> tuple[np.ndarray, np.ndarray]:
+    """The step bits of every pair's last column: (words, texts, queries)."""
+    one, last = np.uint64(1), np.uint64(63)
+    words, _, width = match.shape
+    ups = np.full((words, len(sizes) * width), ~np.uint64(0))
+    downs = np.zeros_like(ups)
+    running = np.searchsorted(-sizes, -np.arange(len(symbols)), side="left")
+    for t, live in enumerate(running):
+        chosen, end = symbols[t, :live], live * width
+        if end < FEW_PAIRS:
+            _finish_pairs(symbols[t:, :live], sizes[:live] - t, match, ups, downs)
+            break
+        rise, fall = one, None
+        for w in range(words):
+            up, down, eq = ups[w, :end], downs[w, :end], match[w][chosen].ravel()
+            vertical = eq | down
+            if fall is not None:
+                eq |= fall
+            horizontal = (((eq & up) + up) ^ up) | eq
+            rises, falls = down | ~(horizontal | up), up & horizontal
+            next_rise, next_fall = rises >> last, falls >> last
+            rises, falls = (rises << one) | rise, falls << one
+            if fall is not None:
+                falls |= fall
+            ups[w, :end] = falls | ~(vertical | rises)
+            downs[w, :end] = rises & vertical
+            rise, fall = next_rise, next_fall
+    return ups.reshape(words, -1, width), downs.reshape(words, -1, width)
+
+
+def _finish_pairs(symbols, sizes, match, ups, downs) -> None:
+    """The remaining steps of a few pairs, each column as one big integer."""
+    words, kinds, width = match.shape
+    full = (1 << 64 * words) - 1
+    tables = [[int.from_bytes(match[:, s, q].tobytes(), "little") for s in range(kinds)] for q in range(width)]
+    for n, size in enumerate(sizes):
+        text = symbols[:size, n].tolist()
+        for q, table in enumerate(tables):
+            at = n * width + q
+            up, down = (int.from_bytes(bits[:, at].tobytes(), "little") for bits in (ups, downs))
+            for symbol in text:
+                eq = table[symbol]
+                vertical = eq | down
+                horizontal = ((((eq & up) + up) ^ up) | eq) & full
+                rises = (down | (full & ~(horizontal | up))) << 1 | 1
+                up, down = ((up & horizontal) << 1 | (full & ~(vertical | rises))) & full, rises & vertical
+            for bits, value in ((ups, up), (downs, down)):
+                bits[:, at] = np.frombuffer(value.to_bytes(8 * words, "little"), dtype=np.uint64)
+
+
 def _fft_size(length: int) -> int:
     return 1 << max(int(length) - 1, 1).bit_length()
 

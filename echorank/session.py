@@ -52,6 +52,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/echorank/{label}-{uuid.uuid4().hex}"
 
 
+def spread_small(df: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:
+    """Give a small table one partition per core before CPU-heavy scoring.
+
+    A small table often lies in one file and would be scored by one task. The
+    size is Catalyst's estimate; a larger table keeps the layout it has, which
+    then has partitions enough, and is not shuffled.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) > max_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
