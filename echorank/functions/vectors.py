@@ -16,14 +16,18 @@ def parse_vector(text) -> Column:
 
 
 def format_vector(vec, decimals: int | None = 8) -> Column:
-    """``[a,b,c]``; ``decimals=None`` writes every digit needed to read it back."""
+    """``[a,b,c]`` in fixed-point notation; with ``decimals=None`` every digit
+    needed to read the same doubles back, small ones with an exponent.
+    """
     numbers = as_column(vec)
-    if decimals is not None:
-        numbers = F.transform(numbers, lambda x: F.round(x, decimals))
-    return F.concat(F.lit("["), F.array_join(numbers.cast("array<string>"), ","), F.lit("]"))
+    if decimals is None:
+        texts = numbers.cast("array<string>")
+    else:
+        texts = F.transform(numbers, lambda x: F.format_string(f"%.{decimals}f", x))
+    return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
 
 
-def format_matrix(vec, rows, decimals: int | None = 8) -> Column:
+def format_matrix(vec, rows: int | Column, decimals: int | None = 8) -> Column:
     """A row-major matrix of ``rows`` rows as ``[[..],[..]]``."""
     vec, rows = as_column(vec), rows if isinstance(rows, Column) else F.lit(rows)
     width = (F.size(vec) / rows).cast("int")
