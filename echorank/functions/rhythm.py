@@ -101,13 +101,13 @@ def fluctuation_curve(rate: int, limit: int) -> np.ndarray:
 def row_moments(matrix: np.ndarray) -> np.ndarray:
     """(rows, 7): mean, variance, skewness, kurtosis, median, min, max per row.
 
-    Skewness and kurtosis of a row that is constant up to rounding are 0.
+    A row that is constant up to rounding has variance, skewness and kurtosis 0.
     """
     mean = matrix.mean(axis=1)
     gap = matrix - mean[:, None]
     var = (gap**2).mean(axis=1)
     flat = var <= (np.finfo(float).resolution * mean) ** 2
-    safe = np.where(flat, 1.0, var)
+    safe, var = np.where(flat, 1.0, var), np.where(flat, 0.0, var)
     skew = np.where(flat, 0.0, (gap**3).mean(axis=1) / safe**1.5)
     kurtosis = np.where(flat, 0.0, (gap**4).mean(axis=1) / safe**2)
     columns = [mean, var, skew, kurtosis, np.median(matrix, axis=1), matrix.min(axis=1), matrix.max(axis=1)]
