@@ -13,8 +13,9 @@ needs 2.7 ms for two sequences of some 400 notes, the bit-parallel kernel 0.06.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -76,32 +77,36 @@ def sources_of(features: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(DISTANCES[f].source for f in features))
 
 
-def load_queries(table: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> dict[str, list]:
+def load_queries(
+    tables: DataFrame | Mapping[str, DataFrame], ids: Sequence[str], columns: Sequence[str]
+) -> dict[str, list]:
     """The query rows, in the order asked for, as plain Python values.
 
-    Of several rows with one id the smallest is taken, so the choice does not
-    depend on file order. An id that is not there is an error.
+    From one wide table, or from one table per column in a single job. Of several
+    rows with one id the smallest value is taken, so the choice does not depend on
+    file order. An id that is not there is an error.
     """
     ids = [normalize_id_text(i) for i in ids]
     if len(ids) > MAX_QUERIES:
         raise ValueError(f"{len(ids)} queries in one group, at most {MAX_QUERIES}")
-    rows = (
-        table.where(F.col("id").isin(ids))
-        .groupBy("id")
-        .agg(F.min(F.struct(*columns)).alias("row"))
-        .select("id", "row.*")
-        .toArrow()
-    )
-    if rows.nbytes > MAX_QUERY_BYTES:
-        raise ValueError(f"query vectors take {rows.nbytes} bytes, at most {MAX_QUERY_BYTES}: use smaller groups")
-    at = {name: n for n, name in enumerate(rows.column("id").to_pylist())}
+    wanted = F.col("id").isin(ids)
+    if isinstance(tables, DataFrame):
+        rows = tables.where(wanted).groupBy("id").agg(F.min(F.struct(*columns)).alias("row")).select("id", "row.*")
+    else:
+        parts = [tables[c].where(wanted & F.col(c).isNotNull()).select("id", c) for c in columns]
+        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        rows = union.groupBy("id").agg(*[F.min(c).alias(c) for c in columns])
+    found = rows.toArrow()
+    if found.nbytes > MAX_QUERY_BYTES:
+        raise ValueError(f"query vectors take {found.nbytes} bytes, at most {MAX_QUERY_BYTES}: use smaller groups")
+    at = {name: n for n, name in enumerate(found.column("id").to_pylist())}
     missing = [i for i in ids if i not in at]
     if missing:
         raise ValueError(f"no item with id {missing}")
     order = [at[i] for i in ids]
     loaded = {"id": ids}
     for name in columns:
-        values = rows.column(name).take(order).to_pylist()
+        values = found.column(name).take(order).to_pylist()
         gaps = [i for i, value in zip(ids, values) if value is None]
         if gaps:
             raise ValueError(f"no {name} feature for {gaps}")

@@ -91,7 +91,11 @@ def feature_batch(rows: Sequence[dict], types: Sequence[str], options: RhythmOpt
 def segment_features(
     segments: DataFrame, types: Sequence[str] = ("rp", "rh"), options: RhythmOptions = RhythmOptions()
 ) -> DataFrame:
-    """One row per segment and feature type. Segments stay in their partition."""
+    """One row per segment and feature type. Segments stay in their partition.
+
+    A segment is 0.5 to 2 MB: run this with few rows per Arrow batch, as
+    ``session.materialize`` does for ``SEGMENT_ROWS``.
+    """
     unknown = set(types) - set(SEGMENT_TYPES)
     if unknown:
         raise ValueError(f"no segment features: {sorted(unknown)}")

@@ -12,7 +12,7 @@ from ..functions.rhythm import SEGMENT_SIZES, SEGMENT_TYPES, RhythmOptions
 from ..operators.joins import anti_existing
 from ..operators.moments import segment_mean, segment_median, segment_stats
 from ..operators.segments import SEGMENT_FEATURES_ARROW, feature_batch, segment_features, segment_plan, segment_signal
-from ..session import materialize
+from ..session import SEGMENT_ROWS, materialize
 from ..sinks.text import write_features_csv
 from ..sources.media import AUDIO_SUFFIXES, decode_pcm, scan_media
 from ..sources.tables import load_features, read_features_csv
@@ -68,7 +68,7 @@ def extract_from_waveforms(
     ``segments_only`` returns them as they are.
     """
     segments = segment_signal(waves, skip_leadin_fadeout, step_width)
-    stored = materialize(segment_features(segments, base_types(types), options), "segment-features")
+    stored = materialize(segment_features(segments, base_types(types), options), "segment-features", SEGMENT_ROWS)
     return stored if segments_only else aggregate_features(stored, types)
 
 
@@ -169,7 +169,8 @@ def extract_features(
         if not out_stub:
             raise ValueError("append_new needs out_stub")
         files = anti_existing(files, read_features_csv(spark, f"{out_stub}.{types[0]}", ids_only=True))
-    raw = materialize(file_segment_features(files, types, options, skip_leadin_fadeout, step_width), "file-features")
+    rows = file_segment_features(files, types, options, skip_leadin_fadeout, step_width)
+    raw = materialize(rows, "file-features", SEGMENT_ROWS)
     tables: dict[str, DataFrame] = dict(aggregate_features(raw, types))
     if out_stub:
         write_features_csv(tables, out_stub, append=append_new)

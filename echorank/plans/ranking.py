@@ -31,8 +31,8 @@ LABELS = {"notes": ("key", "scale"), "bh": ("bpm",)}
 
 
 def _labels(features: Sequence[str], columns: Sequence[str]) -> list[str]:
-    wanted = [c for source in sources_of(features) for c in LABELS.get(source, ())]
-    return [c for c in wanted if c in columns]
+    used = sources_of(features)
+    return [c for source, labels in LABELS.items() if source in used for c in labels if c in columns]
 
 
 def _groups(songs: str | Sequence[str]) -> list[list[str]]:
@@ -138,15 +138,13 @@ def table_distances(
     """
     parts = []
     for group in _groups(songs):
+        queries = load_queries(tables, group, sources_of(features))
         for source in sources_of(features):
             table = tables[source].where(F.col(source).isNotNull())
             wanted = [f for f in features if DISTANCES[f].source == source]
             labels = [c for c in LABELS.get(source, ()) if c in table.columns]
-            queries = load_queries(table, group, [source])
             parts.append(distance_pairs(table, queries, wanted, labels))
-    return materialize(
-        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).dropDuplicates(), "distances"
-    )
+    return materialize(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "distances")
 
 
 def _rank_tables(tables, songs, features, single) -> DataFrame:

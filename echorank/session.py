@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+# Rows per Arrow batch: wide feature rows, and waveform segments of 0.5 to 2 MB.
+FEATURE_ROWS = 2048
+SEGMENT_ROWS = 16
 
 
 def build_session(app: str = "echorank", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,7 +31,7 @@ def build_session(app: str = "echorank", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+        ARROW_ROWS: str(FEATURE_ROWS),
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():
@@ -65,14 +72,30 @@ def spread_small(df: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bound Arrow batches for the jobs started inside; a lower bound stays."""
+    before = spark.conf.get(ARROW_ROWS)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def materialize(df: DataFrame, label: str, rows: int = FEATURE_ROWS) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Used where a result is read more than once (statistics, then scaling, then
     the sampling pass of a global sort). The written table survives the loss of
     executors, cuts the lineage and is column-pruned on every later read.
+    ``rows`` bounds the Arrow batches of the Python stages in ``df``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

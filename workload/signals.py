@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from echorank.functions import loudness as S
 from echorank.functions.rhythm import RhythmOptions
 from echorank.operators.segments import segment_errors, segment_features, segment_signal, with_time
+from echorank.session import spread_small
 from echorank.plans.extraction import aggregate_features, extract_from_waveforms, file_segment_features
 from echorank.sources.media import decode_wav
 
@@ -28,7 +29,8 @@ DIGITS = 5
 def waveforms(spark, sf_dir):
     loud = F.flatten(F.array_repeat("e", 1024))
     soft = F.flatten(F.array_repeat(F.transform("e", lambda x: x / 2), 1024))
-    return vectors(spark, sf_dir).select("id", F.lit(RATE).alias("sample_rate"), F.concat(loud, soft).alias("samples"))
+    base = spread_small(vectors(spark, sf_dir))  # spread the small vectors, not the waveforms
+    return base.select("id", F.lit(RATE).alias("sample_rate"), F.concat(loud, soft).alias("samples"))
 
 
 def _text(column, digits: int = DIGITS):
@@ -194,7 +196,7 @@ def wav_header(n_samples: int, rate: int = RATE) -> bytes:
 def wav_files(spark, sf_dir, repeat: int = 1):
     levels = F.transform("e", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round(x * 100) + 128)).cast("long")), 2, "0"))
     data = F.unhex(F.repeat(F.array_join(levels, ""), repeat))
-    return vectors(spark, sf_dir).select("id", F.concat(F.lit(wav_header(64 * repeat)), data).alias("content"))
+    return spread_small(vectors(spark, sf_dir)).select("id", F.concat(F.lit(wav_header(64 * repeat)), data).alias("content"))
 
 
 _LEVEL = "greatest(0, least(255, round(v * 100) + 128))"
