@@ -29,7 +29,7 @@ def scan_media(
     """``(path, length, modificationTime)`` of media files below ``path``.
 
     Suffixes are compared without case; ``types=None`` takes every file. Spark
-    itself never lists names that start with ``_``, nor hidden directories.
+    itself never lists names that start with ``_`` or ``.``, nor empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).drop("content")
     name = F.substring_index("path", "/", -1)
