@@ -21,6 +21,9 @@ PITCH_BINS = 12
 STRONG = 0.8
 TEMPO_BINS = 250
 
+# Copies of one beat that are written out at a time.
+COPY_BLOCK = 100_000
+
 # Decimals that count when two bins are compared.
 TIE_DIGITS = 9
 
@@ -34,28 +37,39 @@ def beat_frame(seconds) -> Column:
 
 
 def beat_intervals(beats: DataFrame, order: str = "frame", width: int = SLICE) -> DataFrame:
-    """``(id, start, end)`` per beat; the first one starts at 0."""
+    """``(id, start, end, copies)`` per distinct beat; the first one starts at 0.
+
+    A beat that occurs more than once has ``copies - 1`` empty intervals besides.
+    """
     return previous_value(beats, "id", order, width).select(
-        "id", F.coalesce("prev", F.lit(0)).alias("start"), F.col(order).alias("end")
+        "id", F.coalesce("prev", F.lit(0)).alias("start"), F.col(order).alias("end"), F.col("n").alias("copies")
     )
 
 
-def _summed(frames: DataFrame, intervals: DataFrame, vec: Column, width: int, dim: int, **extra: Column) -> DataFrame:
-    """Sums of ``vec`` per interval, intervals without frames included.
+def _summed(frames: DataFrame, intervals: DataFrame, vec: Column, width: int, dim: int) -> DataFrame:
+    """Sums of ``vec`` per beat, beats without frames included.
 
     Bins are added as columns, so partial sums merge before the shuffle.
     """
-    joined = interval_join(frames, intervals, "id", "frame", "start", "end", width).withColumn("_x", vec)
-    sums = joined.groupBy("id", "start", "end").agg(
+    spans = intervals.select("id", "start", "end")
+    joined = interval_join(frames, spans, "id", "frame", "start", "end", width).withColumn("_x", vec)
+    sums = joined.groupBy("id", "end").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_x")[i]).alias(f"_{i}") for i in range(dim)]
     )
-    packed = sums.select("id", "start", "end", "n", F.array(*[F.col(f"_{i}") for i in range(dim)]).alias("sums"))
+    packed = sums.select("id", "end", "n", F.array(*[F.col(f"_{i}") for i in range(dim)]).alias("sums"))
     silent = F.array_repeat(F.lit(0.0), dim)
-    return (
-        intervals.select("id", "start", "end")
-        .join(packed, ["id", "start", "end"], "left")
-        .select("id", F.col("end").alias("beat"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sums", silent).alias("sums"))
+    heard = intervals.join(packed, ["id", "end"], "left").select(
+        "id", F.col("end").alias("beat"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sums", silent).alias("sums"), "copies"
+    )
+    # Repeated beats get their empty intervals back, in bounded arrays.
+    blocks = heard.where(F.col("copies") > 1).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 2) / COPY_BLOCK)))
+    )
+    size = F.least(F.lit(COPY_BLOCK), F.col("copies") - 1 - F.col("_block") * COPY_BLOCK)
+    empty = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1), size))).select(
+        "id", "beat", F.lit(0).cast("long").alias("n"), silent.alias("sums")
     )
+    return heard.drop("copies").unionByName(empty)
 
 
 def beat_means(frames: DataFrame, beats: DataFrame, width: int = SLICE, dim: int = PITCH_BINS) -> DataFrame:

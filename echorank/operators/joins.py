@@ -8,14 +8,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def assemble_features(tables: Sequence[DataFrame], how: str = "inner", dedupe: bool = True) -> DataFrame:
+def assemble_features(tables: Sequence[DataFrame], how: str = "inner", dedupe: bool | None = None) -> DataFrame:
     """One wide table by id; items lacking a feature vanish with ``inner``.
 
-    Every table is deduplicated before it is joined: copies collapse on the map
-    side instead of multiplying, and the distinct result is the same. Write the
-    result to Parquet: every ranking then reads only the columns it scores.
+    Whole-row copies are removed before the join, where they would multiply; the
+    distinct result is the same. That shuffles the vectors once more, so by
+    default only tables in which an id repeats are deduplicated: the check reads
+    nothing but ids. Write the result to Parquet: every ranking then reads only
+    the columns it scores.
     """
-    distinct = [t.dropDuplicates() for t in tables] if dedupe else list(tables)
+
+    def repeats(table: DataFrame) -> bool:
+        return not table.groupBy("id").count().where("count > 1").isEmpty()
+
+    distinct = [t.dropDuplicates() if dedupe or (dedupe is None and repeats(t)) else t for t in tables]
     return reduce(lambda a, b: a.join(b, "id", how), distinct)
 
 
@@ -54,14 +60,17 @@ def interval_join(
     )
 
 
-def previous_value(df: DataFrame, key: str, order: str, width: int, name: str = "prev") -> DataFrame:
-    """The preceding ``order`` value of the same key, NULL for the first.
+def previous_value(df: DataFrame, key: str, order: str, width: float, name: str = "prev") -> DataFrame:
+    """``(key, order, n, prev)``: distinct values, how often they occur, and the
+    next smaller value of the same key, NULL for the first.
 
-    ``lag`` runs inside slices of ``width``. The first row of a slice takes the
-    last value of the slice before, found among one row per key and slice, so a
-    hot key never has its rows in one task.
+    Copies are counted before anything else. ``lag`` runs inside slices of
+    ``width``; the first row of a slice takes the last value of the slice before,
+    found among one row per key and slice. So neither a hot key nor a hot value
+    has its rows in one task.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / width))
+    values = df.groupBy(key, order).agg(F.count(F.lit(1)).alias("n"))
+    sliced = values.withColumn("_slice", F.floor(F.col(order) / width))
     inside = F.lag(order).over(Window.partitionBy(key, "_slice").orderBy(order))
     before = F.lag("_last").over(Window.partitionBy(key).orderBy("_slice"))
     tails = (

@@ -89,10 +89,13 @@ def wide_distances(
     features: Sequence[str] = ALL_FEATURES,
     unique_ids: bool = False,
     keep_infinite: bool = False,
+    store: bool = True,
 ) -> DataFrame:
     """The distance table of a wide catalogue, written once.
 
     Copies of a row collapse before it is written, unless ids are known unique.
+    Without ``store`` nothing is written and every use computes it again: that is
+    cheaper where many queries want only their top-k of a very large catalogue.
     """
     labels = _labels(features, wide.columns)
     parts = []
@@ -102,30 +105,39 @@ def wide_distances(
         checks = _complete(features) if keep_infinite else [_present(f) for f in features]
         parts.append(pairs.where(reduce(lambda a, b: a & b, checks)))
     pairs = reduce(DataFrame.unionByName, parts)
-    return materialize(pairs if unique_ids else pairs.dropDuplicates(), "distances")
+    pairs = pairs if unique_ids else pairs.dropDuplicates()
+    return materialize(pairs, "distances") if store else pairs
 
 
-def _rank_wide(wide, songs, features, unique_ids, single) -> DataFrame:
-    pairs = wide_distances(wide, songs, features, unique_ids)
+def _rank_wide(wide, songs, features, unique_ids, store, single) -> DataFrame:
+    pairs = wide_distances(wide, songs, features, unique_ids, store=store)
     return _finish(_scale_columns(pairs, features), features, _labels(features, wide.columns), single)
 
 
 def rank_merged(
-    wide: DataFrame, song: str, features: Sequence[str] = ALL_FEATURES, unique_ids: bool = False
+    wide: DataFrame,
+    song: str,
+    features: Sequence[str] = ALL_FEATURES,
+    unique_ids: bool = False,
+    store: bool = True,
 ) -> DataFrame:
     """Rank a wide table: distances first, scaling over the complete rows."""
-    return _rank_wide(wide, song, features, unique_ids, single=True)
+    return _rank_wide(wide, song, features, unique_ids, store, single=True)
 
 
 def rank_batch(
-    wide: DataFrame, songs: Sequence[str], features: Sequence[str] = ALL_FEATURES, unique_ids: bool = False
+    wide: DataFrame,
+    songs: Sequence[str],
+    features: Sequence[str] = ALL_FEATURES,
+    unique_ids: bool = False,
+    store: bool = True,
 ) -> DataFrame:
     """``rank_merged`` for many queries in one pass; rows carry ``query_id``.
 
     The rows are not sorted: use ``ordering.top_k(by=["query_id"])`` or
     ``with_position``.
     """
-    return _rank_wide(wide, songs, features, unique_ids, single=False)
+    return _rank_wide(wide, songs, features, unique_ids, store, single=False)
 
 
 def table_distances(

@@ -67,11 +67,12 @@ def test_previous_value_and_interval_join(spark):
     rows = [("hot", rng.randint(0, 400)) for _ in range(80)] + [("b", 5)]
     df = spark.createDataFrame(rows, "id string, t int")
     for width in (1, 7, 1000):
-        got = sorted((r.id, r.t, -1 if r.prev is None else r.prev) for r in previous_value(df, "id", "t", width).collect())
+        found = previous_value(df, "id", "t", width).collect()
+        got = sorted((r.id, r.t, r.n, -1 if r.prev is None else r.prev) for r in found)
         want = []
         for key in ("hot", "b"):
-            own = sorted(t for k, t in rows if k == key)
-            want += [(key, t, own[n - 1] if n else -1) for n, t in enumerate(own)]
+            own = sorted({t for k, t in rows if k == key})
+            want += [(key, t, rows.count((key, t)), own[n - 1] if n else -1) for n, t in enumerate(own)]
         assert got == sorted(want)
         points = spark.createDataFrame([("hot", p) for p in range(0, 450, 3)] + [("c", 1)], "id string, p int")
         spans = B.beat_intervals(df, "t", width)
@@ -97,11 +98,12 @@ def plain_beats(frames, beats):
     return chroma, notes
 
 
-def test_beat_chroma_and_notes(spark):
+def test_beat_chroma_and_notes(spark, monkeypatch):
     rng = np.random.default_rng(8)
     frames = rng.random((60, 12)).round(2)
     frames[20:30] = 0
-    beats = [4, 11, 20, 29, 29, 55]
+    beats = [4, 11, 20, 29, 29, 29, 29, 55]
+    monkeypatch.setattr(B, "COPY_BLOCK", 2)
     fdf = spark.createDataFrame([("a", n, f.tolist()) for n, f in enumerate(frames)], "id string, frame int, v array<double>")
     bdf = spark.createDataFrame([("a", b) for b in beats], "id string, frame int")
     chroma, notes = plain_beats(frames, beats)

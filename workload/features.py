@@ -434,7 +434,7 @@ _MEANS_SQL = ", ".join(f"coalesce(avg(v[{i}]), 0)" for i in range(1, 13))
 @register("interval_join", f"WITH {_BEATS_SQL} SELECT bt.id, bt.s AS start, bt.beat AS \"end\", fr.frame FROM bt JOIN fr ON fr.id = bt.id AND fr.frame >= bt.s AND fr.frame < bt.beat")
 def interval_join(spark, sf_dir):
     frames, beats = event_beats(spark, sf_dir)
-    intervals = B.beat_intervals(beats, width=_WIDTH)
+    intervals = B.beat_intervals(beats, width=_WIDTH).drop("copies")
     return joins.interval_join(frames, intervals, "id", "frame", "start", "end", _WIDTH).select("id", "start", "end", "frame")
 
 
