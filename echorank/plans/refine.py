@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.filters import is_finite
 from ..operators.pairing import DISTANCES
 from ..operators.scaling import minmax
 from .ranking import _finish, _labels, wide_distances
@@ -30,31 +31,36 @@ def rank_filter_refine(
     would read the same Parquet pages again: random rows of a column share pages.
     The steps then run on the slim distance table. A step brings one row of three
     numbers per query to the driver, which keeps the plan flat: nested subqueries
-    would double it eight times.
+    would double it eight times. With one query these numbers are literals, so the
+    filters of all steps so far reach the scan.
 
     An infinite distance is dropped at its own step, so it still counts in the
     statistics of the steps before.
     """
     single = isinstance(song, str)
-    spark = wide.sparkSession
     survivors = wide_distances(wide, song, order, unique_ids, keep_infinite=True)
     for feature in order:
         distance = DISTANCES[feature]
         column = F.col(distance.column)
         if distance.drops_infinite:
-            survivors = survivors.where(~F.isnan(column) & (column != float("inf")))
+            survivors = survivors.where(is_finite(column))
         stats = (
             survivors.groupBy("query_id")
             .agg(F.min(column).alias("_low"), F.max(column).alias("_high"), F.avg(column).alias("_mean"))
             .toPandas()
         )
-        survivors = survivors.join(F.broadcast(_small(spark, stats)), "query_id")
+        survivors = _with_stats(survivors, stats, single)
         better = column > F.col("_mean") if distance.larger_is_closer else column < F.col("_mean")
         scaled = minmax(column, F.col("_low"), F.col("_high"), distance.larger_is_closer)
         survivors = survivors.where(better).withColumn(distance.scaled, scaled).drop("_low", "_high", "_mean")
     return _finish(survivors, order, _labels(order, wide.columns), single)
 
 
-def _small(spark, stats: pd.DataFrame) -> DataFrame:
+def _with_stats(survivors: DataFrame, stats: pd.DataFrame, single: bool) -> DataFrame:
+    """The statistics of a step as columns: at most one row per query."""
+    if single:
+        row = stats.iloc[0] if len(stats) else {}
+        names = ("_low", "_high", "_mean")
+        return survivors.withColumns({n: F.lit(float(row[n]) if len(row) else None).cast("double") for n in names})
     schema = "query_id string, _low double, _high double, _mean double"
-    return spark.createDataFrame(stats, schema)
+    return survivors.join(F.broadcast(survivors.sparkSession.createDataFrame(stats, schema)), "query_id")
