@@ -66,6 +66,8 @@ def spread_small(df: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:
     size is Catalyst's estimate; a larger table keeps the layout it has, which
     then has partitions enough, and is not shuffled.
     """
+    if not hasattr(df, "_jdf"):  # a Connect session has no estimate
+        return df
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(str(estimate)) > max_bytes:
         return df

@@ -23,21 +23,18 @@ register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
 
 
-def _list_round(expr: str, digits: int = 6) -> str:
-    return f"list_transform({expr}, lambda v: round(v, {digits}))"
-
-
-def _round_list(column, digits: int = 6):
-    return F.transform(column, lambda v: F.round(v, digits))
+# Exact ties (0.0078125) would be decided by the last bit of a sum: both sides
+# compare values moved off the rounding edge.
+NUDGE = 3e-12
 
 
 def _as_text(column):
     """Lists compare as text: one value per cell, whatever reads it."""
-    return F.array_join(F.transform(column, lambda v: F.format_string("%.8f", F.round(v, 8) + 0.0)), ",")
+    return F.array_join(F.transform(column, lambda v: F.format_string("%.8f", F.round(v + NUDGE, 8) + 0.0)), ",")
 
 
 def _text_sql(expr: str) -> str:
-    return f"array_to_string(list_transform({expr}, lambda v: printf('%.8f', round(CAST(v AS DOUBLE), 8) + 0.0)), ',')"
+    return f"array_to_string(list_transform({expr}, lambda v: printf('%.8f', round(CAST(v AS DOUBLE) + {NUDGE!r}, 8) + 0.0)), ',')"
 
 
 # --- ids and paths --------------------------------------------------------------
@@ -241,6 +238,16 @@ _line_parse(
     {"id": "text", "mfcc": "list"},
     _E + f"SELECT {_ID_SQL} AS id, {_text_sql('[m1, m2, c11, c12, c12, c22]')} AS mfcc FROM feat",
 )
+_line_parse(
+    "mfcc_statistics", "mfcc", L.parse_mfcc_statistics,
+    lambda spark, sf_dir: _with_path(
+        vectors(spark, sf_dir).select(
+            "id", F.slice("e", 1, 13).alias("mean"), F.slice("e", 14, 13).alias("var"), F.slice("e", 27, 38).alias("cov_ut")
+        )
+    ),
+    {"id": "text", "mean": "list", "var": "list", "cov_ut": "list"},
+    _E + f"SELECT {_ID_SQL} AS id, {_text_sql('e[1:13]')} AS mean, {_text_sql('e[14:26]')} AS var, {_text_sql('e[27:64]')} AS cov_ut FROM vec",
+)
 _line_parse(
     "notes", "notes", L.parse_notes,
     lambda spark, sf_dir: pitch_table(spark, sf_dir).select(
@@ -326,12 +333,12 @@ def grouped_median(spark, sf_dir):
 _SEGMENTS = "seg AS (SELECT label, unnest(range(1, 65)) - 1 AS pos, unnest(e) AS x FROM vec)"
 
 
-@register("segment_mean", _E + f", {_SEGMENTS} SELECT label, array_to_string(list(printf('%.8f', round(m, 8) + 0.0) ORDER BY pos), ',') AS vec FROM (SELECT label, pos, avg(x) AS m FROM seg GROUP BY ALL) GROUP BY label")
+@register("segment_mean", _E + f", {_SEGMENTS} SELECT label, array_to_string(list(printf('%.8f', round(m + 3e-12, 8) + 0.0) ORDER BY pos), ',') AS vec FROM (SELECT label, pos, avg(x) AS m FROM seg GROUP BY ALL) GROUP BY label")
 def segment_mean(spark, sf_dir):
     return moments.segment_mean(vectors(spark, sf_dir), ["label"], "e", "vec").select("label", _as_text("vec").alias("vec"))
 
 
-@register("segment_median", _E + f", {_SEGMENTS} SELECT label, array_to_string(list(printf('%.8f', round(m, 8) + 0.0) ORDER BY pos), ',') AS vec FROM (SELECT label, pos, median(x) AS m FROM seg GROUP BY ALL) GROUP BY label")
+@register("segment_median", _E + f", {_SEGMENTS} SELECT label, array_to_string(list(printf('%.8f', round(m + 3e-12, 8) + 0.0) ORDER BY pos), ',') AS vec FROM (SELECT label, pos, median(x) AS m FROM seg GROUP BY ALL) GROUP BY label")
 def segment_median(spark, sf_dir):
     return moments.segment_median(vectors(spark, sf_dir), ["label"], "e", "vec").select("label", _as_text("vec").alias("vec"))
 
@@ -525,7 +532,7 @@ def tempo_bins(spark, sf_dir):
     "tempo_histogram",
     f"""WITH {_TEMPO_SQL}, b AS (SELECT id, CAST(floor(bpm) AS INTEGER) AS bin, count(*) AS n FROM tp WHERE floor(bpm) BETWEEN 0 AND 249 GROUP BY ALL),
 d AS (SELECT i.id, g.bin, coalesce(b.n, 0) AS n FROM (SELECT DISTINCT id FROM b) i CROSS JOIN (SELECT unnest(range(0, 250)) AS bin) g LEFT JOIN b ON b.id = i.id AND b.bin = g.bin),
-h AS (SELECT id, array_to_string(list(printf('%.8f', round(n / total, 8)) ORDER BY bin), ',') AS bh FROM (SELECT *, sum(n) OVER (PARTITION BY id) AS total FROM d) GROUP BY id)
+h AS (SELECT id, array_to_string(list(printf('%.8f', round(n / total + 3e-12, 8)) ORDER BY bin), ',') AS bh FROM (SELECT *, sum(n) OVER (PARTITION BY id) AS total FROM d) GROUP BY id)
 SELECT h.id, round(m.bpm, 5) AS bpm, h.bh FROM h JOIN (SELECT id, median(bpm) AS bpm FROM tp GROUP BY id) m USING (id)""",
 )
 def tempo_histogram(spark, sf_dir):

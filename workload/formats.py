@@ -9,6 +9,7 @@ from echorank.operators.ordering import with_position
 from echorank.sinks import columnar, text
 from echorank.session import scratch_path
 from echorank.sources import lines, tables
+from echorank.sources.media import scan_media
 from echorank.streaming.append_new import append_new_stream
 
 from .catalogue import TABLES_SQL, feature_tables, table, vectors
@@ -132,6 +133,20 @@ def file_list(spark, sf_dir):
     return lines.read_file_list(spark, path, "/music/")
 
 
+@register("scan_media", "SELECT source AS folder, count(*) AS lines FROM documents GROUP BY source")
+def scan_media_query(spark, sf_dir):
+    """Files written per source, listed by suffix, and read through the list."""
+    root = scratch_path(spark, "media")
+    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("value"))
+    docs.repartition("source").write.partitionBy("source").text(root)
+    listed = scan_media(spark, root, ".TXT", relative=True).select(F.col("path").alias("file"))
+    rows = spark.read.text(root, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"))
+    bare = F.regexp_replace("path", "^file:/+", "/")
+    named = rows.select(F.substring(bare, F.lit(len(root) + 2), F.length(bare)).alias("file"))
+    found = named.join(listed, "file", "left_semi")
+    return found.groupBy(F.regexp_extract("file", "^source=([^/]+)/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @register("ranking_csv", "SELECT row_number() OVER (ORDER BY round(value, 2), CAST(event_id AS VARCHAR)) - 1 AS position, CAST(event_id AS VARCHAR) AS id FROM events")
 def ranking_csv(spark, sf_dir):
     path = scratch_path(spark, "ranking")

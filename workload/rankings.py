@@ -8,26 +8,18 @@ from echorank.functions.distances import euclidean, euclidean_mfcc, sym_kl
 from echorank.functions.gaussian import gaussian_terms
 from echorank.functions.ids import as_column
 from echorank.operators.filters import above_mean, below_mean, by_id, finite
-from echorank.operators.joins import assemble_features
+from echorank.operators.joins import assemble_features, fuse_join
 from echorank.operators.ordering import top_k, with_position
-from echorank.operators.pairing import ALL_FEATURES, DISTANCES, distance_pairs, load_queries, sources_of
+from echorank.operators.pairing import ALL_FEATURES, DISTANCES, distance_pairs, load_queries
 from echorank.operators.scaling import global_stats, minmax_scale
 from echorank.plans import ranking as R
 from echorank.plans.refine import BH_FIRST, CHROMA_FIRST, rank_filter_refine
 
-from .catalogue import DISTANCE_SQL, SONG, SONGS, TABLES_SQL, feature_tables, rounded, wide_table
+from .catalogue import DISTANCE_SQL, SONG, SONGS, TABLES_SQL, feature_tables, rounded, vectors, wide_table
+from .registry import Registry
 
-QUERIES, ORACLES = {}, {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return add
+register = Registry()
+QUERIES, ORACLES = register.queries, register.oracles
 
 
 def _in(songs) -> str:
@@ -126,8 +118,6 @@ def native_distances(spark, sf_dir):
     """Column-to-column forms on a pair table: every item with the first of its label number."""
     tables = feature_tables(spark, sf_dir)
     both = assemble_features([tables["rp"], tables["mfcc"]], dedupe=False).withColumn("t", gaussian_terms("mfcc"))
-    from .catalogue import vectors
-
     labelled = both.join(vectors(spark, sf_dir).select("id", F.concat(F.lit("song"), "label").alias("q_id")), "id")
     asked = both.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "rp", "mfcc", "t")])
     pairs = labelled.join(asked, "q_id")
@@ -259,16 +249,10 @@ def rank_merged(spark, sf_dir):
     return rounded(R.rank_merged(wide_table(spark, sf_dir), SONG), *_scores(ALL_FEATURES))
 
 
-_SCORE_LIST = ", ".join(f"round({DISTANCES[f].scaled}, 6)" for f in R.SCORE_ORDER)
+_SCORE_LIST = ", ".join(f"round({DISTANCES[f].scaled}, 6) AS score_{f}" for f in R.SCORE_ORDER)
 
 
-@register(
-    "rank_scores",
-    full_sql(R.SCORE_ORDER, SONG, f"SELECT id, CAST([{_SCORE_LIST}] AS VARCHAR) AS scores, round(aggregated, 6) AS mean FROM r").replace(
-        f"CAST([{_SCORE_LIST}] AS VARCHAR) AS scores",
-        ", ".join(f"round({DISTANCES[f].scaled}, 6) AS score_{f}" for f in R.SCORE_ORDER),
-    ),
-)
+@register("rank_scores", full_sql(R.SCORE_ORDER, SONG, f"SELECT id, {_SCORE_LIST}, round(aggregated, 6) AS mean FROM r"))
 def rank_scores(spark, sf_dir):
     scores = R.rank_scores(feature_tables(spark, sf_dir), SONG)
     parts = [F.round(F.col("scores")[n], 6).alias(f"score_{f}") for n, f in enumerate(R.SCORE_ORDER)]
@@ -295,7 +279,34 @@ def rank_batch(spark, sf_dir):
     return rounded(R.rank_batch(wide_table(spark, sf_dir), SONGS), *_scores(ALL_FEATURES))
 
 
-_NO_NOTES = tuple(f for f in ALL_FEATURES if f != "notes")
+def _fast_rows(song: str) -> str:
+    tail = f"SELECT '{song}' AS query_id, {_columns(R.FAST, ('key', 'scale'))} FROM r"
+    return f"SELECT * FROM ({full_sql(R.FAST, song, tail)})"
+
+
+@register("rank_full_batch", " UNION ALL ".join(_fast_rows(song) for song in SONGS[:3]))
+def rank_full_batch(spark, sf_dir):
+    return rounded(R.rank_full_batch(feature_tables(spark, sf_dir), SONGS[:3], R.FAST), *_scores(R.FAST))
+
+
+@register(
+    "fuse_join",
+    f"""WITH {TABLES_SQL},
+a AS (SELECT x.id, {DISTANCE_SQL['distances_rp']} AS distances_rp FROM feat x JOIN feat q ON q.id = '{SONG}'),
+b AS (SELECT x.id, {DISTANCE_SQL['distances_rh']} AS distances_rh FROM feat x JOIN feat q ON q.id = '{SONG}'),
+c AS (SELECT x.id, x.key, x.scale, {DISTANCE_SQL['distances_levenshtein']} AS distances_levenshtein FROM nts x JOIN nts q ON q.id = '{SONG}')
+SELECT id, key, scale, round(distances_rp, 6) AS distances_rp, round(distances_rh, 6) AS distances_rh, distances_levenshtein
+FROM a JOIN b USING (id) JOIN c USING (id)""",
+)
+def fuse_join_query(spark, sf_dir):
+    """Three distance tables by id; the whole-row copies of one of them collapse."""
+    tables = feature_tables(spark, sf_dir)
+    parts = []
+    for name, keep in (("rp", ()), ("rh", ()), ("notes", ("key", "scale"))):
+        queries = load_queries(tables[name], [SONG], [name])
+        parts.append(distance_pairs(tables[name], queries, [name], keep).drop("query_id"))
+    parts[1] = parts[1].union(parts[1])
+    return rounded(fuse_join(parts), "distances_rp", "distances_rh")
 
 
 @register(

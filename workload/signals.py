@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from echorank.functions import loudness as S
 from echorank.functions.rhythm import RhythmOptions
 from echorank.operators.segments import segment_errors, segment_features, segment_signal, with_time
-from echorank.session import spread_small
 from echorank.plans.extraction import aggregate_features, extract_from_waveforms, file_segment_features
+from echorank.session import spread_small
+from echorank.sinks.text import audit
 from echorank.sources.media import decode_wav
 
 from .catalogue import TABLES_SQL, table, vectors
@@ -213,6 +214,22 @@ def decode_wav_query(spark, sf_dir):
     return waves.select("path", "sample_rate", "sample_width", "n_channels", "n_samples", F.array_join(values, ",").alias("samples"))
 
 
+@register(
+    "audit",
+    f"""WITH {TABLES_SQL} SELECT id AS filename, 'decoded' AS outcome, 8 AS sample_bits, 64 AS n_samples FROM vec
+UNION ALL SELECT 'doc' || doc_id, 'failed', NULL, NULL FROM documents""",
+)
+def audit_query(spark, sf_dir):
+    """Good and broken files in one job: the log of the first, the errors of the others."""
+    broken = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc"), "doc_id").alias("path"), F.encode("text", "utf-8").alias("content")
+    )
+    files = wav_files(spark, sf_dir).withColumnRenamed("id", "path").unionByName(broken)
+    good, bad = audit(decode_wav(files))
+    decoded = good.select("filename", F.lit("decoded").alias("outcome"), "sample_bits", "n_samples")
+    return decoded.unionByName(bad.select("filename", F.lit("failed").alias("outcome")), allowMissingColumns=True)
+
+
 _FILE = f"""WITH {TABLES_SQL}, {sonogram_sql(f"SELECT id, unnest(range(0, 64)) AS j, unnest(list_transform(e, lambda v: {_LEVEL} / 128.0)) AS x FROM vec", "(0, 1.0)")}"""
 
 
