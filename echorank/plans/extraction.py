@@ -7,14 +7,14 @@ from collections.abc import Iterator, Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.ids import class_label, file_id
+from ..functions.ids import file_id
 from ..functions.rhythm import SEGMENT_SIZES, SEGMENT_TYPES, RhythmOptions
 from ..operators.joins import anti_existing
 from ..operators.moments import segment_mean, segment_median, segment_stats
 from ..operators.segments import SEGMENT_FEATURES_ARROW, feature_batch, segment_features, segment_plan, segment_signal
 from ..session import SEGMENT_ROWS, materialize
 from ..sinks.text import write_features_csv
-from ..sources.media import AUDIO_SUFFIXES, decode_pcm, scan_media
+from ..sources.media import AUDIO_SUFFIXES, decode_pcm, media_files, scan_media
 from ..sources.tables import load_features, read_features_csv
 
 TYPES = ("rp", "ssd", "rh", "tssd", "trh", "mvd")
@@ -83,7 +83,8 @@ def file_segment_features(
 
     A song never leaves its task: it is decoded, averaged to mono and cut there,
     one segment at a time, and only feature vectors come out. A file that cannot
-    be decoded gives one row with ``error``.
+    be decoded gives one row with ``error``. Files are large: write the result with
+    ``materialize(…, rows=SEGMENT_ROWS)``, as ``extract_features`` does.
     """
     wanted = base_types(types)
 
@@ -123,25 +124,11 @@ def _error_row(name: str, error: Exception) -> pa.RecordBatch:
     return _widen(batch, nulls)
 
 
-def media_files(
-    spark: SparkSession,
-    path: str,
-    suffixes: Sequence[str] | None = AUDIO_SUFFIXES,
-    compat_ids: bool = False,
-    label: bool = False,
-) -> DataFrame:
-    """``(id, content[, id2])`` of the media below ``path``; ids are relative to it."""
-    listed = scan_media(spark, path, suffixes, relative=True).select(F.col("path").alias("_rel"))
-    root = path.rstrip("/")
-    content = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(F.substring(F.regexp_replace("path", "^file:/+", "/"), F.lit(len(root) + 2), F.lit(1 << 20)).alias("_rel"), "content")
-    )
-    files = content.join(listed, "_rel", "left_semi")
-    columns = [file_id("_rel", compat_ids).alias("id"), F.col("content")]
-    return files.select(*columns, *([class_label("_rel").alias("id2")] if label else []))
+def _new_paths(spark: SparkSession, source: str, suffixes: Sequence[str], stored: str) -> list[str]:
+    """Files whose id the stored features lack; the driver lists files anyway."""
+    listed = scan_media(spark, source, suffixes, relative=True).select(file_id("path").alias("id"), "path")
+    fresh = anti_existing(listed, read_features_csv(spark, stored, ids_only=True))
+    return [f"{source.rstrip('/')}/{row.path}" for row in fresh.select("path").toLocalIterator()]
 
 
 def extract_features(
@@ -164,15 +151,16 @@ def extract_features(
     """
     if stored:
         return load_features(spark, source, types)
-    files = media_files(spark, source, suffixes)
+    paths = None
     if append_new:
         if not out_stub:
             raise ValueError("append_new needs out_stub")
-        files = anti_existing(files, read_features_csv(spark, f"{out_stub}.{types[0]}", ids_only=True))
+        paths = _new_paths(spark, source, suffixes, f"{out_stub}.{types[0]}")
+    files = media_files(spark, source, suffixes, paths)
     rows = file_segment_features(files, types, options, skip_leadin_fadeout, step_width)
     raw = materialize(rows, "file-features", SEGMENT_ROWS)
     tables: dict[str, DataFrame] = dict(aggregate_features(raw, types))
-    if out_stub:
+    if out_stub and paths != []:
         write_features_csv(tables, out_stub, append=append_new)
     audit = raw.where("error IS NULL").groupBy("id").agg(
         *[F.first(c).alias(c) for c in ("sample_rate", *_ABOUT)], F.countDistinct("seg_no").alias("segments")

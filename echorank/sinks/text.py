@@ -33,9 +33,11 @@ def feature_rows(df: DataFrame, vec: str, dim: int) -> DataFrame:
 
 
 def vector_dim(df: DataFrame, vec: str) -> int:
-    """The one length of all vectors; an error if there are several."""
+    """The one length of all vectors, 0 without any; an error if there are several."""
     low, high = df.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
-    if low is None or low != high:
+    if low is None:
+        return 0
+    if low != high:
         raise ValueError(f"{vec} has no single dimension: {low} to {high}")
     return low
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import re
 import wave
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..functions.ids import class_label, file_id
 
 # The suffixes scanned by default.
 AUDIO_SUFFIXES = (".wav", ".mp3")
@@ -19,6 +22,24 @@ WAVEFORM = (
 )
 
 
+def _reader(spark: SparkSession, types: str | Sequence[str] | None):
+    """A binary reader that lists only wanted suffixes, compared without case."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if types is None:
+        return reader
+    types = [types] if isinstance(types, str) else types
+    either = lambda c: f"[{c.lower()}{c.upper()}]" if c.isalpha() else c
+    return reader.option("pathGlobFilter", "*{" + ",".join("".join(map(either, t)) for t in types) + "}")
+
+
+def _local(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _below(path: Column, root: str) -> Column:
+    return F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
+
+
 def scan_media(
     spark: SparkSession,
     path: str,
@@ -31,22 +52,32 @@ def scan_media(
     Suffixes are compared without case; ``types=None`` takes every file. Spark
     itself never lists names that start with ``_`` or ``.``, nor empty files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).drop("content")
-    name = F.substring_index("path", "/", -1)
-    if types:
-        types = [types] if isinstance(types, str) else list(types)
-        suffix = [F.lower(name).endswith(t.lower()) for t in types]
-        keep = suffix[0]
-        for s in suffix[1:]:
-            keep = keep | s
-        files = files.where(keep)
+    files = _reader(spark, types).load(path).drop("content").withColumn("path", _local(F.col("path")))
     if ignore_hidden:
-        files = files.where(~name.startswith("."))
-    bare = F.regexp_replace("path", "^file:/+", "/")
-    if relative:
-        root = path.rstrip("/")
-        bare = F.substring(bare, F.lit(len(root) + 2), F.length(bare))
-    return files.withColumn("path", bare)
+        files = files.where(~F.substring_index("path", "/", -1).startswith("."))
+    return files.withColumn("path", _below(F.col("path"), path)) if relative else files
+
+
+def media_files(
+    spark: SparkSession,
+    root: str,
+    types: str | Sequence[str] | None = AUDIO_SUFFIXES,
+    paths: Sequence[str] | None = None,
+    compat_ids: bool = False,
+    label: bool = False,
+) -> DataFrame:
+    """``(id, content[, id2])`` of the media below ``root``; ids are relative to it.
+
+    ``paths`` names the files to read. Suffixes and paths are settled when files
+    are listed, so no other file is opened and no content goes through a join.
+    """
+    if paths is not None and not paths:
+        return spark.createDataFrame([], "id string, content binary" + (", id2 string" if label else ""))
+    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths] if paths is not None else root
+    files = _reader(spark, types).load(literal)
+    inside = _below(_local(F.col("path")), root)
+    columns = [file_id(inside, compat_ids).alias("id"), F.col("content")]
+    return files.select(*columns, *([class_label(inside).alias("id2")] if label else []))
 
 
 def decode_pcm(content: bytes) -> tuple[int, int, np.ndarray]:
@@ -74,7 +105,11 @@ def decode_pcm(content: bytes) -> tuple[int, int, np.ndarray]:
 
 
 def decode_wav(files: DataFrame) -> DataFrame:
-    """``(path, content)`` → waveform rows; a bad file gives a row with ``error``."""
+    """``(path, content)`` → waveform rows; a bad file gives a row with ``error``.
+
+    A waveform is a whole recording in one row. ``extraction.file_segment_features``
+    goes from file to features without it.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

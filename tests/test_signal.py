@@ -131,9 +131,10 @@ def test_extraction_from_files(spark, tmp_path):
         assert set(got) == {"pop/s 0.wav", "pop/s 1.wav"} and np.allclose(got["pop/s 1.wav"], want[t], atol=1e-6), t
     stored = X.extract_features(spark, out, ["rp", "rh"], stored=True)
     assert stored["rp"].count() == 2
-    wav(tmp_path / "in" / "new.wav", noise[0])
-    X.extract_features(spark, str(tmp_path / "in"), ["rp", "rh"], out, append_new=True)
-    assert sorted(r.id for r in spark.read.csv(f"{out}.rp").select(F.col("_c0").alias("id")).collect()) == ["new.wav", "pop/s 0.wav", "pop/s 1.wav"]
+    wav(tmp_path / "in" / "new [1] {x}.wav", noise[0])
+    for _ in range(2):
+        X.extract_features(spark, str(tmp_path / "in"), ["rp", "rh"], out, append_new=True)
+    assert sorted(r.id for r in spark.read.csv(f"{out}.rp").select(F.col("_c0").alias("id")).collect()) == ["new [1] {x}.wav", "pop/s 0.wav", "pop/s 1.wav"]
     labelled = X.media_files(spark, str(tmp_path / "in"), label=True).select("id", "id2").collect()
     assert ("pop/s 0.wav", "pop") in [tuple(r) for r in labelled]
 

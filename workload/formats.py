@@ -138,7 +138,7 @@ def scan_media_query(spark, sf_dir):
     """Files written per source, listed by suffix, and read through the list."""
     root = scratch_path(spark, "media")
     docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("value"))
-    docs.repartition("source").write.partitionBy("source").text(root)
+    docs.write.partitionBy("source").text(root)
     listed = scan_media(spark, root, ".TXT", relative=True).select(F.col("path").alias("file"))
     rows = spark.read.text(root, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"))
     bare = F.regexp_replace("path", "^file:/+", "/")

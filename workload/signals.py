@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from echorank.functions import loudness as S
 from echorank.functions.rhythm import RhythmOptions
-from echorank.operators.segments import segment_errors, segment_features, segment_signal, with_time
+from echorank.operators.segments import segment_errors, segment_signal, with_time
 from echorank.plans.extraction import aggregate_features, extract_from_waveforms, file_segment_features
-from echorank.session import spread_small
+from echorank.session import SEGMENT_ROWS, materialize, spread_small
 from echorank.sinks.text import audit
 from echorank.sources.media import decode_wav
 
@@ -136,7 +136,7 @@ SELECT id, seg AS seg_no, seg * 65536 + 1 AS first_sample, (seg + 1) * 65536 AS
   {_agg_text('c', 'k')} AS rh FROM h, md GROUP BY id, seg""",
 )
 def segment_feature_rows(spark, sf_dir):
-    rows = with_time(segment_features(segment_signal(waveforms(spark, sf_dir)), ["rh"]))
+    rows = with_time(extract_from_waveforms(waveforms(spark, sf_dir), ["rh"], segments_only=True))
     return rows.select(
         "id", "seg_no", "first_sample", "last_sample", F.round("first_second", 6).alias("first_second"), _text("vec").alias("rh")
     )
@@ -238,7 +238,7 @@ _FILE = f"""WITH {TABLES_SQL}, {sonogram_sql(f"SELECT id, unnest(range(0, 64)) A
     _FILE + _MOD + f", m AS (SELECT id, sum(c) / 256 AS c FROM sono GROUP BY id) SELECT id, {_agg_text('c', 'k')} AS rh FROM m, md GROUP BY id",
 )
 def file_features(spark, sf_dir):
-    raw = file_segment_features(wav_files(spark, sf_dir, 1024), ["rh"])
+    raw = materialize(file_segment_features(wav_files(spark, sf_dir, 1024), ["rh"]), "file-features", SEGMENT_ROWS)
     return aggregate_features(raw, ["rh"])["rh"].select("id", _text("rh").alias("rh"))
 
 
