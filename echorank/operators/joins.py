@@ -67,7 +67,7 @@ def previous_value(df: DataFrame, key: str, order: str, width: float, name: str
     Copies are counted before anything else. ``lag`` runs inside slices of
     ``width``; the first row of a slice takes the last value of the slice before,
     found among one row per key and slice. So neither a hot key nor a hot value
-    has its rows in one task.
+    has its rows in one task; ``width`` should span thousands of values.
     """
     values = df.groupBy(key, order).agg(F.count(F.lit(1)).alias("n"))
     sliced = values.withColumn("_slice", F.floor(F.col(order) / width))

@@ -10,7 +10,7 @@ from ..functions.ids import class_label
 from ..functions.vectors import format_matrix, format_vector, to_feature_frame
 from ..operators.joins import anti_existing
 from ..operators.ordering import with_position
-from ..sources.tables import read_feature_set, read_features_multi
+from ..sources.tables import read_feature_set, read_features_multi, try_parquet
 
 
 def write_ranking_csv(ranking: DataFrame, path: str, score: str = "aggregated", with_index: bool = True) -> None:
@@ -158,12 +158,10 @@ def append_new_only(new: DataFrame, path: str, fmt: str = "parquet") -> None:
 
     Within ``new`` one row per id is kept, the smallest, so a rerun is harmless.
     """
-    from ..sources.tables import _try_parquet
-
     spark = new.sparkSession
     others = [c for c in new.columns if c != "id"]
     once = new.groupBy("id").agg(F.min(F.struct(*others)).alias("_row")).select("id", "_row.*") if others else new.distinct()
-    existing = _try_parquet(spark, path)
+    existing = try_parquet(spark, path)
     fresh = once if existing is None else anti_existing(once, existing)
     fresh.select(*new.columns).write.mode("append").format(fmt).save(path)
 

@@ -78,7 +78,8 @@ def read_features_multi(
     return {t: reduce(DataFrame.unionByName, [s[t] for s in sets]) for t in sets[0]}
 
 
-def _try_parquet(spark: SparkSession, path: str) -> DataFrame | None:
+def try_parquet(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if there is none."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -90,7 +91,7 @@ def _try_parquet(spark: SparkSession, path: str) -> DataFrame | None:
 def load_features(spark: SparkSession, stub: str, types: str | Sequence[str]) -> dict[str, DataFrame]:
     """Parquet tables ``stub.<type>.parquet`` if they are there, else CSV."""
     types = [types] if isinstance(types, str) else list(types)
-    stored = {t: _try_parquet(spark, f"{stub}.{t}.parquet") for t in types}
+    stored = {t: try_parquet(spark, f"{stub}.{t}.parquet") for t in types}
     if all(df is not None for df in stored.values()):
         check_id_consistency(stored)
         return stored

@@ -12,7 +12,7 @@ from echorank.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "echorank-tests",
-        "local[4]",
+        "local[8]",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",

@@ -12,7 +12,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 # The same job with another feature type; one of them is enough here.
-HEAVY = {"signal_rp", "signal_ssd", "signal_mvd", "signal_trh", "signal_options"}
+HEAVY = {"signal_rp", "signal_ssd", "signal_mvd", "signal_rh", "signal_trh", "signal_options"}
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
