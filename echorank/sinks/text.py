@@ -26,10 +26,17 @@ def write_ranking_csv(ranking: DataFrame, path: str, score: str = "aggregated",
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def feature_rows(df: DataFrame, vec: str, dim: int) -> DataFrame:
-    """``id[, id2], value…`` as flat columns."""
-    ids = [c for c in ("id", "id2") if c in df.columns]
-    return df.select(*ids, *[F.col(vec)[n].alias(f"_{n}") for n in range(dim)])
+def _quoted(column: str) -> Column:
+    """A CSV field, quoted if it holds a separator, a quote or a line break."""
+    value = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(value.rlike(r"""[,"\r\n]"""), quoted).otherwise(value)
+
+
+def feature_row(df: DataFrame, vec: str) -> Column:
+    """``id[,id2],value…`` as one text column: no column per dimension to generate code for."""
+    ids = [_quoted(c) for c in ("id", "id2") if c in df.columns]
+    return F.concat_ws(",", *ids, F.array_join(F.col(vec).cast("array<string>"), ",", ""))
 
 
 def vector_dim(df: DataFrame, vec: str) -> int:
@@ -45,12 +52,16 @@ def vector_dim(df: DataFrame, vec: str) -> int:
 def write_features_csv(
     tables: Mapping[str, DataFrame], stub: str, append: bool = False, dims: Mapping[str, int] | None = None
 ) -> None:
-    """One header-less CSV per feature type: ``stub.<type>``."""
+    """One header-less CSV per feature type: ``stub.<type>``.
+
+    Vectors of one type must have one length: that is checked, unless it is given
+    in ``dims``.
+    """
     for name, df in tables.items():
-        dim = (dims or {}).get(name) or vector_dim(df, name)
-        feature_rows(df, name, dim).write.mode("append" if append else "overwrite").csv(
-            f"{stub}.{name}", quote='"', escape='"'
-        )
+        if name not in (dims or {}):
+            vector_dim(df, name)
+        lines = df.select(feature_row(df, name).alias("value"))
+        lines.write.mode("append" if append else "overwrite").text(f"{stub}.{name}")
 
 
 def feature_line(ext: str, decimals: int | None = 8) -> Column:
