@@ -22,7 +22,6 @@ Words are compared as 64-bit hashes (see ``words``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echorank.llm.tables import written
+from echorank.llm.tables import free_name, written
 from echorank.llm.words import ALNUM, Hasher, Words, cut, slices
 
 WINDOW = 13
@@ -233,16 +232,18 @@ def matches(words: Words, items: Items) -> pa.StructArray:
     )
 
 
-def item_blocks(items: DataFrame) -> Iterator[Items]:
-    """The items in blocks of about ``ITEM_BLOCK_BYTES``; at least one block."""
+def n_blocks(items: DataFrame) -> int:
+    """In how many parts the items are sent to the tasks."""
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    return 1 if total <= ITEM_BLOCK_BYTES else -(-2 * total // ITEM_BLOCK_BYTES)
+
+
+def item_block(items: DataFrame, k: int, blocks: int) -> Items:
     rows = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("item_id").cast("string").alias("item_id"), "text"
     )
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    blocks = 1 if total <= ITEM_BLOCK_BYTES else -(-2 * total // ITEM_BLOCK_BYTES)
-    for k in range(blocks):
-        some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().collect()
-        yield Items.of([r["item_id"] for r in some], [r["text"] for r in some])
+    some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().collect()
+    return Items.of([r["item_id"] for r in some], [r["text"] for r in some])
 
 
 def with_matches(docs: DataFrame, items: Items, name: str) -> DataFrame:
@@ -289,12 +290,12 @@ def _marked(docs: DataFrame, items: DataFrame, name: str) -> DataFrame:
     Beyond one block the passes meet by the whole row: equal rows have equal
     matches, so they are counted, and given back as often as they came.
     """
-    blocks = list(item_blocks(items)) if _one_block(items) else None
-    if blocks:
-        return with_matches(docs, blocks[0], name)
-    columns, parts, n = docs.columns, None, 0
-    for n, block in enumerate(item_blocks(items), 1):
-        part = written(with_matches(docs, block, name), "contamination-block")
+    blocks = n_blocks(items)
+    if blocks == 1:
+        return with_matches(docs, item_block(items, 0, 1), name)
+    columns, parts = docs.columns, None
+    for k in range(blocks):
+        part = written(with_matches(docs, item_block(items, k, blocks), name), "contamination-block")
         parts = part if parts is None else parts.unionByName(part)
     m = F.col(name)
     joined = parts.groupBy(*columns).agg(
@@ -306,22 +307,10 @@ def _marked(docs: DataFrame, items: DataFrame, name: str) -> DataFrame:
             *[F.max_by(m[c], m["longest"]).alias(c) for c in ("longest", "longest_item", "longest_item_word", "longest_doc_word")],
         ).alias(name),
     )
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), (F.col(f"{name}_n") / n).cast("long"))).alias(f"{name}_c")
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), (F.col(f"{name}_n") / blocks).cast("long"))).alias(f"{name}_c")
     return joined.select(*columns, name, copy).drop(f"{name}_c")
 
 
-def _one_block(items: DataFrame) -> bool:
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    return total <= ITEM_BLOCK_BYTES
-
-
-def free_name(docs: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column has it."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name
-
-
 def _verdict(m: Column) -> tuple[Column, Column]:
     hits = hit_words(m["hit_runs"])
     return hits, (hits > 0) & (20 * hits >= m["n_words"])
@@ -348,6 +337,6 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents, all columns kept."""
-    name = free_name(docs, "matches")
+    name = free_name(docs.columns, "matches")
     marked = _marked(docs, items.select("item_id", "text"), name)
     return marked.where(~_verdict(F.col(name))[1]).select(*docs.columns)

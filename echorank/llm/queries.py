@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from echorank.llm import contamination_queries, native_queries, neardup_queries  # noqa: F401
+from echorank.llm import bpe_queries, contamination_queries, native_queries, neardup_queries  # noqa: F401
 from echorank.llm.registry import query
 
 QUERIES, ORACLES = query.queries, query.oracles
