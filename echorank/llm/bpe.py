@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echorank.llm.lookup import Places, gather
 from echorank.llm.tables import free_name
-from echorank.llm.words import mix, slices
+from echorank.llm.words import slices
 
 #: Numbers in one matrix, bytes from which a piece is merged with a heap, and text cut together.
 CELLS, LONG_PIECE, SLICE = 1 << 20, 256, 4 << 20
@@ -37,12 +38,6 @@ KEPT_PIECES = 200_000
 NO_RANK = np.int32(2**31 - 1)
 
 
-def gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The stretches of ``flat`` that begin at ``begins``, one after the other."""
-    shift = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
-    return flat[np.arange(len(shift)) + shift]
-
-
 class Vocabulary:
     """Token bytes by id, and the rank and id of every pair of ids that merges."""
 
@@ -60,44 +55,16 @@ class Vocabulary:
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     lefts.append(a), rights.append(b), made.append(rank)
-        self.fill(np.array(lefts, np.uint64), np.array(rights, np.uint64), np.array(made, np.int32))
+        self.pairs = Places((np.array(lefts, np.uint64) << np.uint64(32)) | np.array(rights, np.uint64))
+        self.made = np.array(made, np.int32)
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.begins = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
 
-    def fill(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> None:
-        """An open hash table; every key is stored within ``self.probes`` places of its own."""
-        keys = (left << np.uint64(32)) | right
-        size = 1 << int(4 * len(keys) - 1).bit_length()
-        self.mask = np.uint64(size - 1)
-        self.keys, self.ranks = np.full(size, 2**64 - 1, np.uint64), np.full(size, NO_RANK, np.int32)
-        todo, at, self.probes = np.arange(len(keys)), mix(keys) & self.mask, 0
-        while len(todo):
-            self.probes += 1
-            free = todo[self.keys[at[todo].astype(np.int64)] == np.uint64(2**64 - 1)]
-            _, one = np.unique(at[free], return_index=True)
-            stored = free[one]
-            self.keys[at[stored].astype(np.int64)], self.ranks[at[stored].astype(np.int64)] = keys[stored], rank[stored]
-            todo = np.setdiff1d(todo, stored, assume_unique=True)
-            at[todo] = (at[todo] + np.uint64(1)) & self.mask
-
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``NO_RANK`` where it does not merge or an id is -1."""
-        keys = (left.astype(np.uint32).astype(np.uint64) << np.uint64(32)) | right.astype(np.uint32).astype(np.uint64)
-        at = (mix(keys) & self.mask).astype(np.int64)
-        got = self.keys[at]
-        out = np.where(got == keys, self.ranks[at], NO_RANK)
-        other = np.flatnonzero((got != keys) & (got != np.uint64(2**64 - 1)))
-        for _ in range(self.probes - 1):
-            if not len(other):
-                break
-            at[other] = (at[other] + 1) & int(self.mask)
-            got = self.keys[at[other]]
-            same = got == keys[other]
-            out[other[same]] = self.ranks[at[other[same]]]
-            other = other[~same & (got != np.uint64(2**64 - 1))]
-        out[(left < 0) | (right < 0)] = NO_RANK
-        return out
+        place = self.pairs((left.astype(np.uint32).astype(np.uint64) << np.uint64(32)) | right.astype(np.uint32).astype(np.uint64))
+        return np.where((place >= 0) & (left >= 0) & (right >= 0), self.made[place], NO_RANK)
 
     def merge_matrix(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each row merged to the end: the ids, padded with -1, and their number."""
