@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from echorank.llm import bpe_queries, contamination_queries, hmm_queries, native_queries, neardup_queries, pii_queries, toxicity_queries  # noqa: F401
+from echorank.llm import bpe_queries, contamination_queries, hmm_queries, native_queries, neardup_queries, pii_queries, toxicity_queries, warc_queries  # noqa: F401
 from echorank.llm.registry import query
 
 QUERIES, ORACLES = query.queries, query.oracles
