@@ -1,2 +1,83 @@
-"""The corpus pipeline."""
-QUERIES, ORACLES = {}, {}
+"""From raw documents to token ids, one operator a stage.
+
+``run`` applies the stages in order; each result is written as Parquet and read again
+as the next stage's documents. All stages but the last return the columns of
+``documents``. The stages' decisions:
+
+1. toxicity: texts that score 0.3 or more are dropped; the classifier learns from the
+   labels of the three folds that ``op10`` may use.
+2. near_duplicates: of texts linked by shingles of five words with a similarity of 0.8
+   or more, the one with the smallest id stays (rows without an id stay). Of repeated
+   rows with that id one stays.
+3. decontamination: contaminated texts are dropped.
+4. personal_data: spans are replaced by their kind, ``n_chars`` follows the text.
+5. tokens: the columns of documents without the text, ``ids`` and ``n_tokens``.
+
+NULL texts pass all stages and have no tokens. Extra columns are kept up to the end.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from echorank.llm import bpe, contamination, neardup, pii, toxicity
+from echorank.llm.bpe_queries import VOCABULARY
+from echorank.llm.tables import free_name, table, written
+from echorank.llm.toxicity_queries import THRESHOLD, classifier
+
+SHINGLE, PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, classifier(spark, sf_dir), THRESHOLD)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept texts; only slim rows are joined and counted, the texts move once."""
+    found = neardup.near_duplicates(docs, SHINGLE, PERCENT)
+    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count()
+    once = kept.where(F.col("count") == 1).select("doc_id")
+    repeated = kept.where(F.col("count") > 1).select("doc_id")
+    stay = docs.join(once, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    return stay.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = pii.redact(docs, pii.train(docs))
+    length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.withColumn("n_chars", length) if "n_chars" in docs.columns else done
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep = [c for c in docs.columns if c != "text"]
+    ids, n = free_name(keep, "ids"), free_name(keep, "n_tokens")
+    tokens = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep, ids)
+    return tokens.withColumn(n, F.size(ids).cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("tokens", encode),
+]
+
+#: No SQL: the classifier, the labelling of spans and the token merges are no queries.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
+
+
+QUERIES, ORACLES = {"pipeline": run}, {}
