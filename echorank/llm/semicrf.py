@@ -26,6 +26,7 @@ ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]) ?[A-Za-z0-9-]
 NUMBER = re.compile(r"\+?[(0-9][0-9 ().+-]*[0-9]")
 DIGITS = re.compile("[0-9]+")
 WORD = re.compile(r"([A-Za-z]+)[\s:.#-]{0,3}$")
+LONGER = re.compile(r"[\w-]|\.\w")  # a domain goes on
 CUES = frozenset("tel phone mobile cell call fax mail email contact ip host server address card visa credit number".split())
 
 
@@ -57,28 +58,32 @@ def well_formed(kind: str, span: str) -> bool:
     return 10 <= n <= 15 and len(groups) > 1 and "." * 3 not in span
 
 
+def bounded(kind: str, text: str, start: int, end: int) -> bool:
+    """Whether a span is not a part of a longer name or number."""
+    before, after = text[start - 1 : start], text[end : end + 1]
+    if kind == "email":
+        return not before.isalnum() and before not in set("._%+-") and not LONGER.match(text, end)
+    return not before.isalnum() and not after.isalnum()
+
+
 def features(kind: str, text: str, start: int, end: int) -> list[str]:
     """Whole-span features of a candidate."""
     span = text[start:end]
     groups = DIGITS.findall(span)
     before, after = text[start - 1 : start], text[end : end + 1]
     cue = WORD.search(text[max(0, start - 24) : start])
-    found = [
-        "bias",
-        f"digits={min(20, sum(map(len, groups)))}",
-        "groups=" + "-".join(str(len(g)) for g in groups[:7]),
-        "marks=" + "".join(sorted(set(span) - set("0123456789"))) if kind != "email" else f"dots={min(4, span.count('.'))}",
-        f"before={before if not before.isalnum() else 'x'}",
-        f"after={after if not after.isalnum() else 'x'}",
-    ]
+    found = ["bias", f"before={before}", f"after={after}"]
     if cue and cue[1].lower() in CUES:
         found.append("cue=" + cue[1].lower())
-    if before.isalnum() or after.isalnum():
-        found.append("glued")
     if kind == "email":
-        found.append("plain" if "@" in span else "written")
-    elif luhn("".join(groups)):
-        found.append("luhn")
+        tail = re.search("[A-Za-z]*$", span)[0]
+        found += ["plain" if "@" in span else "written", "tail" if 2 <= len(tail) <= 6 else "no tail"]
+    else:
+        found.append(f"digits={min(20, sum(map(len, groups)))}")
+        found.append("groups=" + "-".join(str(len(g)) for g in groups[:7]))
+        found.append("marks=" + "".join(sorted(set(span) - set("0123456789"))))
+        if luhn("".join(groups)):
+            found.append("luhn")
     return [f"{kind}|{f}" for f in found]
 
 
@@ -101,7 +106,7 @@ class Segments:
                 if not text[end - 1].isalnum():
                     continue
                 for k, kind in enumerate(KINDS, 1):
-                    if well_formed(kind, text[start:end]):
+                    if bounded(kind, text, start, end) and well_formed(kind, text[start:end]):
                         ending[j].append((i, k, features(kind, text, start, end)))
         return cls(tokens, ending)
 
