@@ -157,11 +157,16 @@ def tempo_bins(beats: DataFrame, order: str = "t", width: float = 60.0) -> DataF
 
 
 def tempo_histogram(beats: DataFrame, order: str = "t", width: float = 60.0) -> DataFrame:
-    """``(id, bpm, bh)``: median tempo and the dense histogram of 250 bins."""
+    """``(id, bpm, bh)``: median tempo and the dense histogram of 250 bins.
+
+    Every item with a beat has a row. Intervals of 250 bpm and more are in no bin and
+    no share, but in the median; an item without an interval has no tempo (NULL), one
+    without an interval in the bins has a histogram of zeros.
+    """
     bins = tempo_bins(beats, order, width)
     sparse = bins.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("_m"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(TEMPO_BINS - 1)), lambda b: F.coalesce(F.try_element_at(F.col("_m"), b), F.lit(0.0))
-    )
+    known = F.coalesce("_m", F.create_map().cast("map<int,double>"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(TEMPO_BINS - 1)), lambda b: F.coalesce(F.try_element_at(known, b), F.lit(0.0)))
     medians = grouped_median(beat_tempi(beats, order, width), ["id"], "bpm", "bpm")
-    return medians.join(sparse, "id").select("id", "bpm", dense.alias("bh"))
+    items = beats.where(F.col(order).isNotNull()).select("id").distinct()
+    return items.join(medians, "id", "left").join(sparse, "id", "left").select("id", "bpm", dense.alias("bh"))

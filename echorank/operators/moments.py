@@ -11,6 +11,9 @@ from .medians import SMALL_GROUP, grouped_median
 # The statistics and their order in a flattened vector.
 MOMENTS = ("mean", "var", "skew", "kurtosis", "median", "min", "max")
 
+# A deviation below this share of the mean is rounding.
+RESOLUTION = 1e-15
+
 
 def _or_zero(value: Column) -> Column:
     return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
@@ -19,7 +22,8 @@ def _or_zero(value: Column) -> Column:
 def moments7(df: DataFrame, keys: Sequence[str], value: str, small_group: int = SMALL_GROUP) -> DataFrame:
     """mean, population variance, skewness, Pearson kurtosis, median, min, max.
 
-    Undefined ones are 0. Everything but the median merges partial results, so a
+    Undefined ones are 0. A group that is constant up to rounding has variance,
+    skewness and kurtosis 0. Everything but the median merges partial results, so a
     hot group is one row per partition in the shuffle.
     """
     keys = list(keys)
@@ -32,6 +36,9 @@ def moments7(df: DataFrame, keys: Sequence[str], value: str, small_group: int =
         _or_zero(F.min(x)).alias("min"),
         _or_zero(F.max(x)).alias("max"),
     )
+    flat = F.col("var") <= F.pow(F.lit(RESOLUTION) * F.col("mean"), F.lit(2.0))
+    spread = {m: F.when(flat, F.lit(0.0)).otherwise(F.col(m)) for m in ("skew", "kurtosis", "var")}
+    stats = stats.withColumns(spread)
     medians = grouped_median(df, keys, value, small_group=small_group)
     return stats.join(medians, keys, "left").select(*keys, *[F.coalesce(m, F.lit(0.0)).alias(m) for m in MOMENTS])
 

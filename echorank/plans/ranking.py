@@ -73,13 +73,13 @@ def _scale_columns(pairs: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def _complete(features: Sequence[str]) -> list[Column]:
-    return [F.col(DISTANCES[f].column).isNotNull() for f in features]
+    return [F.col(DISTANCES[f].column).isNotNull() & ~F.isnan(DISTANCES[f].column) for f in features]
 
 
 def _present(feature: str) -> Column:
-    """The distance is there, and finite if the distance demands it."""
+    """The distance is there and a number, and finite if the distance demands it."""
     distance = DISTANCES[feature]
-    present = F.col(distance.column).isNotNull()
+    present = F.col(distance.column).isNotNull() & ~F.isnan(distance.column)
     return present & is_finite(distance.column) if distance.drops_infinite else present
 
 

@@ -8,16 +8,23 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.integrity import check_duplicates, check_id_consistency
 
 IDS = "id"
 
 
-def _positions(id_column: int | Sequence[int], width: int) -> list[int]:
-    wanted = [id_column] if isinstance(id_column, int) else list(id_column)
-    return [p % width for p in wanted]
+def split_fields(line: Column, sep: str = ",") -> Column:
+    """The fields of a CSV line; a field in double quotes keeps its separators."""
+    mark = re.escape(sep)
+    quoted = F.regexp_extract_all(line, F.lit(f'(?:^|{mark})(?:"[^"]*(?:""[^"]*)*"|[^{mark}]*)'), F.lit(0))
+    bare = F.transform(quoted, lambda f, n: F.when(n > 0, F.substring(f, len(sep) + 1, 1 << 30)).otherwise(f))
+    unquoted = F.transform(
+        bare,
+        lambda f: F.when(f.startswith('"'), F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f),
+    )
+    return F.when(line.contains('"'), unquoted).otherwise(F.split(line, mark))
 
 
 def read_features_csv(
@@ -28,23 +35,41 @@ def read_features_csv(
     separate_ids: bool = True,
     ids_only: bool = False,
     name: str = "vec",
+    ragged: str = "fail",
 ) -> DataFrame:
-    """Header-less CSV of ids and numbers; ids may be quoted.
+    """Header-less CSV of ids and numbers; ids may be quoted, but hold no line break.
 
     ``id_column`` is a position, negative from the end, or a list of them: the
     first becomes ``id``, the others ``id2``, ``id3`` …. Without ``separate_ids``
-    every column comes back as it is, in an array of strings.
+    every field comes back as it is, in an array of strings. An empty field is NULL.
+
+    Every line is cut for itself, so no value is lost or made up. A line of another
+    width than the first fails the job that reads it; with ``ragged="keep"`` its
+    vector is as long as the line has it, to be set aside by its size.
     """
-    raw = spark.read.csv(path, sep=sep, header=False, quote='"', escape='"')
-    columns = raw.columns
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    fields = split_fields(F.col("value"), sep)
+    if ragged == "fail":
+        first = lines.select(F.size(fields)).first()
+        width = first[0] if first else 0
+        message = F.concat(F.lit(f"a line of the features has not {width} fields but "), F.size("_f").cast("string"))
+        rows = lines.select(fields.alias("_f")).select(
+            F.when(F.size("_f") == width, F.col("_f")).otherwise(F.raise_error(message).cast("array<string>")).alias("_f")
+        )
+    elif ragged == "keep":
+        rows = lines.select(fields.alias("_f"))
+    else:
+        raise ValueError("ragged is 'fail' or 'keep'")
+    rows = rows.select(F.transform("_f", lambda f: F.nullif(f, F.lit(""))).alias("_f"))
     if not separate_ids and not ids_only:
-        return raw.select(F.array(*columns).alias(name))
-    at = _positions(id_column, len(columns))
-    ids = [F.col(columns[p]).alias(IDS if n == 0 else f"{IDS}{n + 1}") for n, p in enumerate(at)]
+        return rows.select(F.col("_f").alias(name))
+    at = [id_column] if isinstance(id_column, int) else list(id_column)
+    ids = [F.try_element_at("_f", F.lit(p + 1 if p >= 0 else p)).alias(IDS if n == 0 else f"{IDS}{n + 1}") for n, p in enumerate(at)]
     if ids_only:
-        return raw.select(*ids)
-    values = [F.col(c).cast("double") for p, c in enumerate(columns) if p not in at]
-    return raw.select(*ids, F.array(*values).alias(name))
+        return rows.select(*ids)
+    places = [F.lit(p) if p >= 0 else F.size("_f") + p for p in at]
+    values = F.filter("_f", lambda f, n: ~n.isin(*places))
+    return rows.select(*ids, F.transform(values, lambda f: f.cast("double")).alias(name))
 
 
 def read_feature_set(

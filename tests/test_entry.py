@@ -14,7 +14,9 @@ TABLES = (
 # The same job with another feature type; one of them is enough here.
 HEAVY = {"signal_rp", "signal_ssd", "signal_mvd", "signal_rh", "signal_trh", "signal_options"}
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+BASE = {name for module in entry.BASE_MODULES for name in module.QUERIES}
+QUERIES = {name: fn for name, fn in entry.queries().items() if name in BASE}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in BASE}
 
 
 @pytest.fixture(scope="module")

@@ -323,6 +323,19 @@ def moments7(spark, sf_dir):
     return rounded(stats, *moments.MOMENTS, digits=5)
 
 
+@register(
+    "moments7_flat",
+    """SELECT event_type, round(avg(x), 6) AS mean, 0.0::DOUBLE AS var, 0.0::DOUBLE AS skew, 0.0::DOUBLE AS kurtosis, round(median(x), 6) AS median,
+  round(min(x), 6) AS min, round(max(x), 6) AS max
+FROM (SELECT event_type, CASE WHEN user_id % 2 = 0 THEN 0.30000000000000004::DOUBLE ELSE 0.3::DOUBLE END AS x FROM events) GROUP BY event_type""",
+)
+def moments7_flat(spark, sf_dir):
+    """Groups that are constant but for the last digit of their values."""
+    x = F.when(F.col("user_id") % 2 == 0, F.lit(0.1) + F.lit(0.2)).otherwise(F.lit(0.3))
+    stats = moments.moments7(table(spark, sf_dir, "events").select("event_type", x.alias("x")), ["event_type"], "x")
+    return rounded(stats, "mean", "median", "min", "max")
+
+
 @register("grouped_median", "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type")
 def grouped_median(spark, sf_dir):
     """Every group goes the way of large groups here."""
@@ -531,9 +544,9 @@ def tempo_bins(spark, sf_dir):
 @register(
     "tempo_histogram",
     f"""WITH {_TEMPO_SQL}, b AS (SELECT id, CAST(floor(bpm) AS INTEGER) AS bin, count(*) AS n FROM tp WHERE floor(bpm) BETWEEN 0 AND 249 GROUP BY ALL),
-d AS (SELECT i.id, g.bin, coalesce(b.n, 0) AS n FROM (SELECT DISTINCT id FROM b) i CROSS JOIN (SELECT unnest(range(0, 250)) AS bin) g LEFT JOIN b ON b.id = i.id AND b.bin = g.bin),
-h AS (SELECT id, array_to_string(list(printf('%.8f', round(n / total + 3e-12, 8)) ORDER BY bin), ',') AS bh FROM (SELECT *, sum(n) OVER (PARTITION BY id) AS total FROM d) GROUP BY id)
-SELECT h.id, round(m.bpm, 5) AS bpm, h.bh FROM h JOIN (SELECT id, median(bpm) AS bpm FROM tp GROUP BY id) m USING (id)""",
+d AS (SELECT i.id, g.bin, coalesce(b.n, 0) AS n FROM (SELECT DISTINCT id FROM cl) i CROSS JOIN (SELECT unnest(range(0, 250)) AS bin) g LEFT JOIN b ON b.id = i.id AND b.bin = g.bin),
+h AS (SELECT id, array_to_string(list(printf('%.8f', CASE WHEN total = 0 THEN 0 ELSE round(n / total + 3e-12, 8) END) ORDER BY bin), ',') AS bh FROM (SELECT *, sum(n) OVER (PARTITION BY id) AS total FROM d) GROUP BY id)
+SELECT h.id, round(m.bpm, 5) AS bpm, h.bh FROM h LEFT JOIN (SELECT id, median(bpm) AS bpm FROM tp GROUP BY id) m USING (id)""",
 )
 def tempo_histogram(spark, sf_dir):
     tempo = B.tempo_histogram(click_times(spark, sf_dir))

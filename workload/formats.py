@@ -58,6 +58,17 @@ def features_csv_append(spark, sf_dir):
     return tables.read_features_csv(spark, f"{stub}.rh", ids_only=True).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("features_csv_ragged", _E + f"SELECT vec.id, 1 + label % 3 AS n, {_text_sql('feat.rh[1 : 1 + label % 3]')} AS vec FROM feat JOIN vec USING (id)")
+def features_csv_ragged(spark, sf_dir):
+    """Lines of one, two and three numbers: each keeps what it has."""
+    path = scratch_path(spark, "csv")
+    some = F.slice(F.slice("e", 25, 12), F.lit(1), (F.col("label") % 3 + 1).cast("int"))
+    line = F.concat_ws(",", F.concat(F.lit('"'), "id", F.lit('"')), F.transform(some, lambda x: x.cast("string")))
+    vectors(spark, sf_dir).select(line.alias("value")).write.text(path)
+    read = tables.read_features_csv(spark, path, ragged="keep")
+    return read.select("id", F.size("vec").cast("int").alias("n"), _as_text("vec").alias("vec"))
+
+
 @register("columnar_round_trip", _BOTH_SQL)
 def columnar_round_trip(spark, sf_dir):
     stub = scratch_path(spark, "columnar")

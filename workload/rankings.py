@@ -249,6 +249,22 @@ def rank_merged(spark, sf_dir):
     return rounded(R.rank_merged(wide_table(spark, sf_dir), SONG), *_scores(ALL_FEATURES))
 
 
+@register(
+    "rank_without_nan",
+    f"""WITH {TABLES_SQL},
+d AS (SELECT x.id, {DISTANCE_SQL['distances_rp']} AS a, {DISTANCE_SQL['distances_rh']} AS b FROM feat x JOIN feat q ON q.id = '{SONG}'
+  WHERE right(x.id, 1) <> '3' OR x.id = '{SONG}'),
+s AS (SELECT id, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) AS a, (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) AS b FROM d)
+SELECT id, round((a + b) / 2, 6) AS aggregated FROM s""",
+)
+def rank_without_nan(spark, sf_dir):
+    """One number of some vectors is not a number: these items drop out, the others keep their scores."""
+    spoiled = F.concat(F.slice("rp", 1, 3), F.array(F.lit(float("nan"))), F.slice("rp", 5, 1 << 20))
+    bad = (F.right("id", F.lit(1)) == "3") & (F.col("id") != SONG)
+    wide = wide_table(spark, sf_dir).withColumn("rp", F.when(bad, spoiled).otherwise(F.col("rp")))
+    return rounded(R.rank_merged(wide, SONG, ["rp", "rh"]).select("id", "aggregated"), "aggregated")
+
+
 _SCORE_LIST = ", ".join(f"round({DISTANCES[f].scaled}, 6) AS score_{f}" for f in R.SCORE_ORDER)
 
 
