@@ -7,11 +7,12 @@ numbers onto themselves. Texts that agree in all rows of a band are candidates,
 link is confirmed on the full sets.
 
 Equal sets are one class from the start and are never compared. In a bucket every
-member is compared with the smallest one first; links become components, and only
-buckets that still hold several components go on, with 8, 64, 512 ... members
-compared against the rest, until every pair of different components has been tested.
-So a group of near copies costs about one comparison a member, no bucket is capped,
-and no task holds a bucket.
+member is compared with the smallest one first; links become components. Only buckets
+that still hold several components go on: up to ``LEADERS`` of the members outside
+the largest component are compared with all others, part by part of bounded size, and
+are then done. This goes on until the rest of each bucket is one component, so every
+pair of different components has been tested. A group of near copies costs about one
+comparison a member, no bucket is capped, and no task holds a bucket.
 
 A link of similarity 0.8 is missed with a probability of (1 - 0.8**4)**32 = 5e-8.
 
@@ -36,8 +37,8 @@ from echorank.llm.words import SPACED, Hasher, cut, mix, slices
 BANDS, ROWS = 32, 4
 #: Shingles whose coordinates are computed together.
 BLOCK = 4096
-#: Members of a bucket compared with the others in the first rounds after the smallest.
-LEADERS = 8
+#: Members of a bucket compared with all the others in one round, and bytes of sets in a part of it.
+LEADERS, PART_BYTES = 256, 8 << 20
 
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -143,11 +144,8 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = written(full_sets(rows, size), "neardup-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(
         sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a"
     )
@@ -156,6 +154,58 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return both.where(100 * common >= percent * union).select("a", "b").distinct()
 
 
+def compare(group: pa.Table, percent: int) -> pa.Table:
+    """Links that join components of a part of a bucket: its leaders against all its rows."""
+    ids, component = np.asarray(group["doc_id"]), np.asarray(group["component"]).copy()
+    sets = group["shingles"].combine_chunks()
+    size = np.asarray(sets.value_lengths()).astype(np.int64)
+    _, codes = np.unique(np.asarray(sets.flatten()), return_inverse=True)
+    begin = np.cumsum(size) - size
+    mark = np.zeros(int(codes.max()) + 1, np.int64)
+    a, b = [], []
+    for i in np.flatnonzero(np.asarray(group["leader"])).tolist():
+        if (component == component[i]).all():
+            continue
+        own = codes[begin[i] : begin[i] + size[i]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[codes], begin)
+        mark[own] = 0
+        linked = np.flatnonzero((100 * common >= percent * (size + size[i] - common)) & (component != component[i]))
+        for j in linked.tolist():
+            if component[j] != component[i]:
+                a.append(min(ids[i], ids[j])), b.append(max(ids[i], ids[j]))
+                component[component == component[j]] = component[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def compare_leaders(open_: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One round over buckets with several components: ``(links, leaders)``.
+
+    ``open_ (band, doc_id, component, n_shingles)``. Leaders are members of a bucket's
+    smaller components first; they are compared with every member of the bucket, which
+    is dealt out in parts of ``PART_BYTES`` of sets with the leaders added to each.
+    """
+    sizes = open_.groupBy("band", "component").agg(F.count("*").alias("mates"))
+    order = Window.partitionBy("band").orderBy("mates", F.xxhash64("doc_id"), "doc_id")
+    first = (
+        open_.join(sizes, ["band", "component"])
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= LEADERS)
+        .withColumn("sum", F.sum("n_shingles").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .where((F.col("place") == 1) | (8 * F.col("sum") <= PART_BYTES // 2))
+        .select("band", "doc_id", "component")
+    )
+    leaders = written(first, "neardup-leaders")
+    parts = open_.groupBy("band").agg(F.ceil(8 * F.sum("n_shingles") / PART_BYTES).cast("int").alias("parts"))
+    members = open_.join(leaders.select("band", "doc_id"), ["band", "doc_id"], "left_anti").join(parts, "band")
+    dealt = members.select("band", "doc_id", "component", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), F.lit(False).alias("leader"))
+    every = leaders.join(parts, "band").select(
+        "band", "doc_id", "component", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"), F.lit(True).alias("leader")
+    )
+    rows = dealt.unionByName(every).join(sets, "doc_id")
+    return rows.groupBy("band", "part").applyInArrow(lambda t: compare(t, percent), "a long, b long").distinct(), leaders
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per text: ``doc_id, n_shingles, component_id, kept``.
 
@@ -171,49 +221,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "neardup-classes",
     )
     members = classes.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    buckets = written(members.join(shared.select("band", "first"), "band"), "neardup-buckets")
-    small = F.least("n_shingles", "m_shingles")
-    large = F.greatest("n_shingles", "m_shingles")
-    starts = buckets.where(F.col("doc_id") == F.col("first")).select(
-        "band", F.col("doc_id").alias("other"), F.col("n_shingles").alias("m_shingles")
-    )
-    links, tested, leaders = None, None, 1
-    labels = None
+    shared = members.groupBy("band").agg(F.min(F.struct("doc_id", "n_shingles")).alias("first"), F.count("*").alias("n"))
+    rest = members.join(shared.where(F.col("n") > 1).select("band", "first"), "band").where(F.col("doc_id") != F.col("first.doc_id"))
+    buckets = written(rest.select("band", "doc_id", "n_shingles", "first"), "neardup-buckets")
+    ids = buckets.select("doc_id").union(buckets.select("first.doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    sets = written(full_sets(texts, size), "neardup-sets")
+    near = 100 * F.least("n_shingles", "first.n_shingles") >= percent * F.greatest("n_shingles", "first.n_shingles")
+    pairs = buckets.where(near).select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = written(confirm(pairs, sets, percent), "neardup-links")
+    pool = buckets.select("band", "doc_id", "n_shingles")
     while True:
-        if leaders == 1:
-            pool, heads = buckets, starts
-        else:
-            pool = buckets.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn(
-                "component", F.coalesce("component", "doc_id")
-            )
-            open_ = pool.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            pool = written(pool.join(open_.select("band"), "band"), "neardup-open")
-            order = Window.partitionBy("band").orderBy(F.xxhash64("doc_id", F.lit(leaders)), "doc_id")
-            heads = (
-                pool.withColumn("place", F.row_number().over(order))
-                .where(F.col("place") <= leaders)
-                .select("band", F.col("doc_id").alias("other"), F.col("n_shingles").alias("m_shingles"), F.col("component").alias("c"))
-            )
-        pairs = pool.join(heads, "band").where((F.col("doc_id") != F.col("other")) & (100 * small >= percent * large))
-        if leaders > 1:
-            pairs = pairs.where(F.col("component") != F.col("c"))
-        pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "neardup-pairs")
-        if leaders > 1 and pairs.isEmpty() and pool.groupBy("band").count().where(F.col("count") > leaders).isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(confirm(pairs, docs, size, percent), "neardup-links")
-        links = found if links is None else links.unionByName(found)
         labels = components(links)
-        leaders *= LEADERS
-    named_class = classes.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select(
+        known = labels.select(F.col("id").alias("doc_id"), "component")
+        pool = pool.drop("component").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several = (
+            pool.groupBy("band")
+            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id") % (1 << 52)).alias("h"), F.min("doc_id").alias("f"))
+            .where("lo < hi")
+        )
+        once = several.groupBy("n", "h", "f").agg(F.min("band").alias("band"))  # equal buckets of several bands
+        pool = written(pool.join(once.select("band"), "band", "left_semi"), "neardup-open")
+        if pool.isEmpty():
+            break
+        found, leaders = compare_leaders(pool, sets, percent)
+        links = links.unionByName(written(found, "neardup-links"))
+        pool = pool.join(leaders.select("band", "doc_id"), ["band", "doc_id"], "left_anti")
+    own_class = classes.join(known, "doc_id", "left").select(
         "f1", "f2", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
     joined = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     own = F.when(joined, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.join(named_class, ["f1", "f2", "n_shingles"], "left").select(
+    return rows.join(own_class, ["f1", "f2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")
     )
