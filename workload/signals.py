@@ -7,15 +7,19 @@ feature has a closed form that SQL can compute from the 64 numbers.
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from echorank.functions import loudness as S
 from echorank.functions.rhythm import RhythmOptions
 from echorank.operators.segments import segment_errors, segment_signal, with_time
+from echorank.plans import extraction as X
 from echorank.plans.extraction import aggregate_features, extract_from_waveforms, file_segment_features
-from echorank.session import SEGMENT_ROWS, materialize, spread_small
+from echorank.session import SEGMENT_ROWS, materialize, scratch_path, spread_small
 from echorank.sinks.text import audit
 from echorank.sources.media import decode_wav
+from echorank.sources.tables import read_features_csv
 
 from .catalogue import TABLES_SQL, table, vectors
 from .registry import Registry
@@ -238,8 +242,54 @@ _FILE = f"""WITH {TABLES_SQL}, {sonogram_sql(f"SELECT id, unnest(range(0, 64)) A
     _FILE + _MOD + f", m AS (SELECT id, sum(c) / 256 AS c FROM sono GROUP BY id) SELECT id, {_agg_text('c', 'k')} AS rh FROM m, md GROUP BY id",
 )
 def file_features(spark, sf_dir):
-    raw = materialize(file_segment_features(wav_files(spark, sf_dir, 1024), ["rh"]), "file-features", SEGMENT_ROWS)
-    return aggregate_features(raw, ["rh"])["rh"].select("id", _text("rh").alias("rh"))
+    raw = materialize(X.file_features(wav_files(spark, sf_dir, 1024), ["rh"]), "file-features", SEGMENT_ROWS)
+    return X.feature_tables(raw, ["rh"])["rh"].select("id", _text("rh").alias("rh"))
+
+
+@register(
+    "stored_segments",
+    _TWO + _MOD + f", m AS (SELECT id, sum(c) / 2 / 256 AS c FROM sono GROUP BY id) SELECT id, {_agg_text('c', 'k')} AS rh FROM m, md GROUP BY id",
+)
+def stored_segments(spark, sf_dir):
+    """Aggregates of a stored table of segment features, where no task has a whole song."""
+    segments = extract_from_waveforms(waveforms(spark, sf_dir), ["rh"], segments_only=True)
+    return aggregate_features(segments, ["rh"])["rh"].select("id", _text("rh").alias("rh"))
+
+
+def write_files(files, folder: str):
+    """``(name, content)`` rows as files below a shared folder, each complete or not there."""
+
+    def put(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                path = f"{root}/{name}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{path}.part", compression=None) as out:
+                    out.write(content.as_buffer())
+                store.move(f"{path}.part", path)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return files.select("name", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0]
+
+
+@register(
+    "extract_job",
+    _FILE + _MOD + f", m AS (SELECT id, sum(c) / 256 AS c FROM sono GROUP BY id) SELECT id || '.wav' AS id, 'tone' || CAST(label AS VARCHAR) AS id2, {_agg_text('c', 'k')} AS rh"
+    " FROM m JOIN (SELECT id, label FROM vec) USING (id), md GROUP BY id, label",
+)
+def extract_job(spark, sf_dir):
+    """Files on disk to a feature CSV with labels: first a part, then what is new, then nothing."""
+    stub = scratch_path(spark, "extract")
+    labels = vectors(spark, sf_dir).select("id", F.concat(F.lit("tone"), "label").alias("folder"))
+    files = wav_files(spark, sf_dir, 1024).join(labels, "id").withColumn("name", F.concat_ws("/", "folder", F.concat("id", F.lit(".wav"))))
+    early = F.col("folder") == "tone1"
+    for some in (files.where(early), files.where(~early), None):
+        if some is not None:
+            write_files(some, f"{stub}/media")
+        X.extract_features(spark, f"{stub}/media", ["rh"], f"{stub}/out", append_new=True, label=True)
+    read = read_features_csv(spark, f"{stub}/out.rh", [0, 1])
+    return read.select(F.substring_index("id", "/", -1).alias("id"), "id2", _text("vec").alias("rh"))
 
 
 @register("decode_errors", "SELECT 'doc' || doc_id AS id, true AS failed FROM documents")
