@@ -19,7 +19,7 @@ from echorank.plans import ranking as R
 from echorank.plans.refine import BH_FIRST, CHROMA_FIRST, rank_filter_refine
 from echorank.session import build_session, materialize
 from workload import catalogue as C
-from workload import features, signals
+from workload import features, formats, signals
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -64,12 +64,14 @@ def main() -> None:
         "rank_filter_refine_chroma_first": lambda: rank_filter_refine(wide, C.SONG, CHROMA_FIRST, unique_ids=True),
         "rank_filter_refine_bh_first": lambda: rank_filter_refine(wide, C.SONG, BH_FIRST, unique_ids=True),
         "rank_batch_100": lambda: R.rank_batch(wide, hundred, unique_ids=True),
-        "top_20_of_100": lambda: top_k(R.rank_batch(wide, hundred, unique_ids=True), 20, by=["query_id"]),
+        "top_20_of_100": lambda: top_k(R.rank_batch(wide, hundred, unique_ids=True, store=False), 20, by=["query_id"]),
         "gaussian_model": lambda: features.gaussian_model_query(spark, SF_DIR),
         "beat_chroma": lambda: features.beat_chroma(spark, SF_DIR),
         "tempo_histogram": lambda: features.tempo_histogram(spark, SF_DIR),
         "moments7": lambda: features.moments7(spark, SF_DIR),
         "signal_rh": lambda: signals.QUERIES["signal_rh"](spark, SF_DIR),
+        "signal_rp": lambda: signals.QUERIES["signal_rp"](spark, SF_DIR),
+        "features_csv": lambda: formats.QUERIES["features_csv"](spark, SF_DIR),
     }
     if ITEMS:
         big = materialize(synthetic(spark, ITEMS), "synthetic")

@@ -26,8 +26,11 @@ def assemble_features(tables: Sequence[DataFrame], how: str = "inner", dedupe: b
 
 
 def fuse_join(tables: Sequence[DataFrame], on: Sequence[str] = ("id",)) -> DataFrame:
-    """Inner join of score tables by id, whole-row duplicates removed."""
-    return reduce(lambda a, b: a.join(b, list(on), "inner"), [t.dropDuplicates() for t in tables])
+    """Inner join of score tables by id, whole-row duplicates removed.
+
+    A table is dealt out by id once: equal rows meet there, and so do the tables.
+    """
+    return reduce(lambda a, b: a.join(b, list(on), "inner"), [t.repartition(*on).dropDuplicates() for t in tables])
 
 
 def anti_existing(new: DataFrame, existing: DataFrame, on: str = "id") -> DataFrame:

@@ -93,7 +93,8 @@ def wide_distances(
 ) -> DataFrame:
     """The distance table of a wide catalogue, written once.
 
-    Copies of a row collapse before it is written, unless ids are known unique.
+    Copies of a row collapse before it is written, if any id repeats in the catalogue:
+    that is looked up in its ids alone, unless they are known unique.
     Without ``store`` nothing is written and every use computes it again: that is
     cheaper where many queries want only their top-k of a very large catalogue.
     """
@@ -105,7 +106,8 @@ def wide_distances(
         checks = _complete(features) if keep_infinite else [_present(f) for f in features]
         parts.append(pairs.where(reduce(lambda a, b: a & b, checks)))
     pairs = reduce(DataFrame.unionByName, parts)
-    pairs = pairs if unique_ids else pairs.dropDuplicates()
+    repeated = not unique_ids and not wide.groupBy("id").count().where("count > 1").isEmpty()
+    pairs = pairs.dropDuplicates() if repeated else pairs
     return materialize(pairs, "distances") if store else pairs
 
 

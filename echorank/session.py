@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,13 +43,13 @@ def build_session(app: str = "echorank", master: str | None = None, **conf: str)
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors are one process, may fall
-    back to a temporary folder of its own; a cluster has to name the folder.
+    Only a session whose driver and executors are one process may fall back to a
+    temporary folder of its own; a cluster, ``local-cluster`` too, has to name one.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     root = tempfile.mkdtemp(prefix="echorank-")
     spark.conf.set(CHECKPOINT_DIR, root)
@@ -59,6 +60,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/echorank/{label}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what the library has written below the shared folder; results read from there go too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/echorank")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread_small(df: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:
     """Give a small table one partition per core before CPU-heavy scoring.
 

@@ -172,7 +172,7 @@ def append_new_only(new: DataFrame, path: str, fmt: str = "parquet") -> None:
     spark = new.sparkSession
     others = [c for c in new.columns if c != "id"]
     once = new.groupBy("id").agg(F.min(F.struct(*others)).alias("_row")).select("id", "_row.*") if others else new.distinct()
-    existing = try_parquet(spark, path)
+    existing = try_parquet(spark, path, fmt)
     fresh = once if existing is None else anti_existing(once, existing)
     fresh.select(*new.columns).write.mode("append").format(fmt).save(path)
 
@@ -190,7 +190,7 @@ def write_csv_encoded(
     Columns outside ``columns`` are an error or are left out.
     """
     if extras not in ("raise", "ignore"):
-        raise ValueError(f"extras ({extras}) must be 'raise' or 'ignore'")
+        raise ValueError(f"unknown rule for other columns: {extras}")
     wanted = list(columns) if columns else df.columns
     extra = [c for c in df.columns if c not in wanted]
     if extra and extras == "raise":

@@ -114,14 +114,18 @@ def decode_wav(files: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                row = {"path": path, "error": None}
                 try:
                     rate, width, samples = decode_pcm(content)
-                    row |= {"sample_rate": rate, "sample_width": width, "n_channels": samples.shape[1]}
-                    row |= {"n_samples": len(samples), "samples": samples.astype(float).tolist()}
+                    n, channels = samples.shape
+                    flat = pa.array(np.ascontiguousarray(samples, float).ravel())
+                    frames = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * channels, flat)
+                    about = [path, rate, width, channels, n]
+                    columns = [pa.array([v], t) for v, t in zip(about, _WAVEFORM_ARROW.types)]
+                    columns += [pa.ListArray.from_arrays(np.array([0, n], np.int32), frames), pa.array([None], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_WAVEFORM_ARROW)
                 except Exception as error:  # noqa: BLE001 - one bad file must not stop the job
-                    row["error"] = f"{type(error).__name__}: {error}"
-                yield pa.RecordBatch.from_pylist([row], schema=_WAVEFORM_ARROW)
+                    row = {"path": path, "error": f"{type(error).__name__}: {error}"}
+                    yield pa.RecordBatch.from_pylist([row], schema=_WAVEFORM_ARROW)
 
     return files.select("path", "content").mapInArrow(decode, WAVEFORM)
 

@@ -103,10 +103,10 @@ def read_features_multi(
     return {t: reduce(DataFrame.unionByName, [s[t] for s in sets]) for t in sets[0]}
 
 
-def try_parquet(spark: SparkSession, path: str) -> DataFrame | None:
+def try_parquet(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     """The table at ``path``, or None if there is none."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.format(fmt).load(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -152,27 +152,21 @@ def read_arff(spark: SparkSession, path: str, header_lines: int = 100_000) -> Da
     return row.select(*ids, vec, F.trim(f"r._{len(names) - 1}").alias("class"))
 
 
-class FieldSizeLimitError(ValueError):
-    """A CSV field is longer than the limit."""
-
-
 def read_csv_encoded(
     spark: SparkSession, path: str, encoding: str = "utf-8", max_field_size: int | None = None, header: bool = False
 ) -> DataFrame:
     """CSV in a given encoding; ``header`` names the columns.
 
     A field above ``max_field_size`` fails the read with its length, when the
-    field is used.
+    field is used. UTF-16 text cannot be split at line breaks by bytes, so each such
+    file is read by one task.
     """
     df = spark.read.csv(path, encoding=encoding, header=header, quote='"', escape='"', multiLine=encoding.lower().startswith("utf-16"))
     if max_field_size is None:
         return df
 
     def limited(name: str):
-        message = F.concat(
-            F.lit(f"CSV contains fields longer than maximum length of {max_field_size} characters: "),
-            F.length(name).cast("string"),
-        )
+        message = F.concat(F.lit(f"a field has more than {max_field_size} characters: "), F.length(name).cast("string"))
         return F.when(F.length(name) > max_field_size, F.raise_error(message).cast("string")).otherwise(F.col(name))
 
     return df.select(*[limited(f"`{c}`").alias(c) for c in df.columns])

@@ -346,7 +346,7 @@ _POSITION = "row_number() OVER (PARTITION BY query_id ORDER BY r.aggregated, id)
     ),
 )
 def top_k_per_query(spark, sf_dir):
-    ranked = R.rank_batch(wide_table(spark, sf_dir), SONGS).select("query_id", "id", "aggregated")
+    ranked = R.rank_batch(wide_table(spark, sf_dir), SONGS, store=False).select("query_id", "id", "aggregated")
     return rounded(top_k(ranked, 10, by=["query_id"]), "aggregated")
 
 
