@@ -7,8 +7,9 @@ turns into rows. Nothing is joined, no vector is repeated per pair, and the
 catalogue is not shuffled, unless it is small and lies in few partitions.
 
 Measured: 200k x 64 doubles and one query take 0.18 s in an Arrow batch, 0.42 s
-with ``aggregate``/``zip_with``, 0.26 s unrolled. The built-in ``levenshtein``
-needs 2.7 ms for two sequences of some 400 notes, the bit-parallel kernel 0.06.
+with ``aggregate``/``zip_with``, 0.26 s unrolled. Over 10,000 note sequences the
+bit-parallel kernel takes 1.0 s and the built-in ``levenshtein`` 3.1 s; with 20
+queries over 1,000 sequences 1.7 s against 8.6 s.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ def plain(value):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"chroma_xcorr_full", "signal_options"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - HEAVY))
@@ -52,10 +52,6 @@ def test_query_matches_sql(spark, sql, name):
     assert got == want
 
 
-def test_rows_only_queries(spark):
-    assert QUERIES["chroma_xcorr_full"](spark, SF).count() == 500
-
-
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["id", "aggregated"] and df.count() == 20

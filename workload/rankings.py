@@ -150,7 +150,23 @@ def chroma_xcorr_2d(spark, sf_dir):
     return rounded(distance_pairs(table, queries, ["chroma"], chroma_variant="2d"), "distances_corr")
 
 
-@register("chroma_xcorr_full")
+@register(
+    "chroma_xcorr_full",
+    f"""WITH {TABLES_SQL}, pairs AS (
+  SELECT q.id AS query_id, x.id, q.chroma AS qc, x.chroma AS xc FROM feat x JOIN feat q ON q.id = '{SONG}'),
+cell AS (
+  SELECT query_id, id, di, dj,
+    list_sum(list_transform(range(0, 24), lambda k: CASE
+      WHEN k // 12 + di < 0 OR k // 12 + di > 1 OR k % 12 + dj < 0 OR k % 12 + dj > 11 THEN 0
+      ELSE qc[(k // 12 + di) * 12 + k % 12 + dj + 1] * xc[k + 1] END)) AS s
+  FROM pairs, generate_series(-1, 1) a(di), generate_series(-11, 11) b(dj)),
+line AS (
+  SELECT query_id, id, dj, max(s) AS top, max(s) FILTER (di = -1) AS s0, max(s) FILTER (di = 0) AS s1, max(s) FILTER (di = 1) AS s2
+  FROM cell GROUP BY query_id, id, dj QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY top DESC, dj) = 1),
+pass AS (SELECT query_id, id, s0, s1, s2, 1 / (1 + tan(pi() * 0.05)) AS g, (1 - tan(pi() * 0.05)) / (1 + tan(pi() * 0.05)) AS f FROM line)
+SELECT query_id, id, round(greatest(g * s0, g * (s1 - s0) + f * g * s0, g * (s2 - s1) + f * (g * (s1 - s0) + f * g * s0)), 6) AS distances_corr
+FROM pass""",
+)
 def chroma_xcorr_full(spark, sf_dir):
     table = feature_tables(spark, sf_dir)["chroma"]
     queries = load_queries(table, [SONG], ["chroma"])

@@ -146,7 +146,14 @@ def segment_feature_rows(spark, sf_dir):
     )
 
 
-@register("signal_options")
+@register(
+    "signal_options",
+    _TWO
+    + """, sp12 AS (SELECT x.id, seg, y.b, sum(x.p * a * 10 ^ ((15.81 + 7.5 * (y.b - x.b + 0.474) - 17.5 * sqrt(1 + (y.b - x.b + 0.474) ^ 2)) / 10)) AS p
+  FROM bk x, ed y, sg WHERE x.b < 12 AND y.b < 12 GROUP BY x.id, seg, y.b),
+v12 AS (SELECT id, part, b, avg(CASE WHEN part IN (0, 4, 5, 6) THEN 10 * log10(greatest(p, 1)) ELSE 0 END) AS v FROM sp12, range(7) t(part) GROUP BY id, part, b)"""
+    + f" SELECT id, 360 AS rp_dim, 84 AS ssd_dim, {_agg_text('v', 'part, b', 3)} AS ssd FROM v12 GROUP BY id",
+)
 def signal_options(spark, sf_dir):
     """Twelve bands, thirty modulation bins, no loudness transforms."""
     options = RhythmOptions(n_bark_bands=12, mod_ampl_limit=30, phon=False, sone=False, fluctuation_weighting=False)
