@@ -6,11 +6,17 @@ are rows of d means followed by d·d covariances.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 # Fixed value: cut-off of the first-order high-pass, relative to Nyquist.
 HIGH_PASS_CUTOFF = 0.1
 
+# Bytes of symbols in a block of texts, and numbers in a block of correlations.
+SYMBOL_BYTES = 64 << 20
+BLOCK_VALUES = 1 << 21
+
 # Below this many running pairs big integers beat numpy's cost per operation.
 FEW_PAIRS = 96
 
@@ -122,10 +128,14 @@ def edit_distances_to(texts: list[str], queries: list[str], block: int = 1 << 15
             bits = np.uint64(1) << (at % 64).astype(np.uint64)
             np.bitwise_or.at(match, (at // 64, np.searchsorted(alphabet, pattern) + 1, n), bits)
             np.bitwise_or.at(valid, (at // 64, n), bits)
-        step = max(1, block // len(members))
-        for start in range(0, len(order), step):
+        small = np.uint16 if len(alphabet) < 1 << 16 else np.uint32
+        start = 0
+        while start < len(order):
+            longest = max(1, int(lengths[order[start]]))
+            step = max(1, min(block // len(members), SYMBOL_BYTES // (longest * np.dtype(small).itemsize)))
             rows = order[start : start + step]
-            symbols = np.zeros((int(lengths[rows[0]]), len(rows)), dtype=np.int64)
+            start += step
+            symbols = np.zeros((int(lengths[rows[0]]), len(rows)), dtype=small)
             for n, row in enumerate(rows):
                 text = _codes(texts[row])
                 found = np.minimum(np.searchsorted(alphabet, text), len(alphabet) - 1)
@@ -244,21 +254,34 @@ def chroma_xcorr_to(items: list[np.ndarray], query: ChromaQuery, max_values: int
     return out
 
 
-def _correlate_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Full 2-D correlation of two matrices, lag (0, 0) at (rows_b-1, cols_b-1)."""
-    rows, cols = a.shape[0] + b.shape[0] - 1, a.shape[1] + b.shape[1] - 1
-    spectrum = np.fft.rfft2(a, (rows, cols)) * np.fft.rfft2(b[::-1, ::-1], (rows, cols))
-    return np.fft.irfft2(spectrum, (rows, cols))
+def _by_length(items: list[np.ndarray], values: int) -> Iterator[np.ndarray]:
+    """Places of items of one length, in blocks of bounded size."""
+    lengths = np.array([item.size for item in items])
+    for length in np.unique(lengths):
+        members = np.flatnonzero(lengths == length)
+        step = max(1, BLOCK_VALUES // max(1, values + int(length)))
+        for at in range(0, len(members), step):
+            yield members[at : at + step]
+
+
+def _correlations(items: np.ndarray, query: np.ndarray, item_first: bool) -> np.ndarray:
+    """Full 2-D correlations of a stack of items with a query, lag (0, 0) at the second one's size less 1."""
+    shape = items.shape[1] + query.shape[0] - 1, items.shape[2] + query.shape[1] - 1
+    a, b = (items, query[None]) if item_first else (query[None], items)
+    spectrum = np.fft.rfft2(a, shape) * np.fft.rfft2(b[:, ::-1, ::-1], shape)
+    return np.fft.irfft2(spectrum, shape)
 
 
 def chroma_xcorr_2d_to(items: list[np.ndarray], query: ChromaQuery) -> np.ndarray:
     """Peak of the 2-D correlation, cropped to the longer matrix around its centre."""
     out = np.empty(len(items))
-    for n, item in enumerate(items):
-        a, b = (item, query.matrix) if item.shape[1] > query.length else (query.matrix, item)
-        full = _correlate_rows(a, b)
-        top, left = (b.shape[0] - 1) // 2, (b.shape[1] - 1) // 2
-        out[n] = full[top : top + a.shape[0], left : left + a.shape[1]].max()
+    for block in _by_length(items, 24 * query.length):
+        stack = np.stack([items[i] for i in block])
+        item_first = stack.shape[2] > query.length
+        full = _correlations(stack, query.matrix, item_first)
+        long_, short = (stack.shape[2], query.length) if item_first else (query.length, stack.shape[2])
+        top, left = (12 - 1) // 2, (short - 1) // 2
+        out[block] = full[:, top : top + 12, left : left + long_].max(axis=(1, 2))
     return out
 
 
@@ -267,23 +290,22 @@ def chroma_xcorr_full_to(items: list[np.ndarray], query: ChromaQuery) -> np.ndar
 
     The flat vectors are read as beats x 12 here.
     """
-    out = np.empty(len(items))
-    own = query.matrix.reshape(-1, 12)
-    for n, item in enumerate(items):
-        other = item.reshape(-1, 12)
-        a, b = (other, own) if len(other) > len(own) else (own, other)
-        full = _correlate_rows(a, b)
-        line = full[:, full.max(axis=0).argmax()]
-        out[n] = high_pass_raw(line).max()
+    out, own = np.empty(len(items)), query.matrix.reshape(-1, 12)
+    for block in _by_length(items, 24 * query.length):
+        stack = np.stack([items[i].reshape(-1, 12) for i in block])
+        full = _correlations(stack, own, stack.shape[1] > len(own))
+        best = full.max(axis=1).argmax(axis=1)
+        lines = np.take_along_axis(full, best[:, None, None], axis=2)[:, :, 0]
+        out[block] = high_pass_peak(np.diff(lines, axis=1, prepend=0.0))
     return out
 
 
-def high_pass_raw(signal: np.ndarray) -> np.ndarray:
-    """The filter of ``high_pass_max`` on one signal, its first value kept."""
+def high_pass_peak(steps: np.ndarray) -> np.ndarray:
+    """Largest value of the filter of ``high_pass_max``, all rows together, for rows given as steps."""
     warped = np.tan(np.pi * HIGH_PASS_CUTOFF / 2)
     gain, feedback = 1 / (1 + warped), (1 - warped) / (1 + warped)
-    out, level = np.empty(len(signal)), 0.0
-    for t, step in enumerate(np.diff(signal, prepend=0.0) * gain):
+    level, best = np.zeros(len(steps)), np.full(len(steps), -np.inf)
+    for step in steps.T * gain:
         level = step + feedback * level
-        out[t] = level
-    return out
+        best = np.maximum(best, level)
+    return best

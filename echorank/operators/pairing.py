@@ -125,6 +125,16 @@ def vector_scores(features: Sequence[str], queries: dict[str, list], chroma_vari
     chroma_to = CHROMA_VARIANTS[chroma_variant]
     held = {s: queries[s] if s == "notes" else [np.asarray(v, dtype=float) for v in queries[s]] for s in sources}
     total = len(queries["id"])
+    terms: dict[str, object] = {}  # of the queries, built by the first batch of a task
+
+    def asked(source: str):
+        if source not in terms:
+            if source == "chroma":
+                terms[source] = [ChromaQuery(q) for q in held[source]]
+            else:
+                matrix = np.stack(held[source])
+                terms[source] = GaussianBatch(matrix) if DISTANCES_ON_MODELS & set(features) and source == "mfcc" else matrix
+        return terms[source]
 
     @F.arrow_udf(f"array<struct<query_no: int, {_score_fields(features)}>>")
     def score(*vectors: pa.Array) -> pa.Array:
@@ -139,10 +149,10 @@ def vector_scores(features: Sequence[str], queries: dict[str, list], chroma_vari
                 block = {"notes": edit_distances_to(texts, held[source])}
             elif source == "chroma":
                 index, items = ragged_matrices(columns[source], 12)
-                block = {"chroma": [chroma_to(items, ChromaQuery(q)) for q in held[source]]}
+                block = {"chroma": [chroma_to(items, q) for q in asked(source)]}
             else:
                 index, matrix = matrix_of(columns[source])
-                block = _matrix_scores(wanted, matrix, np.stack(held[source]))
+                block = _matrix_scores(wanted, matrix, asked(source))
             for feature, by_query in block.items():
                 scores[feature] = [restore(index, pa.array(np.asarray(d, dtype=float))) for d in by_query]
         # item-major order: the scores of one item lie side by side
@@ -155,13 +165,18 @@ def vector_scores(features: Sequence[str], queries: dict[str, list], chroma_vari
     return score(*[F.col(s) for s in sources])
 
 
-def _matrix_scores(features: Sequence[str], matrix: np.ndarray, queries: np.ndarray) -> dict[str, list[np.ndarray]]:
+# Distances between Gaussian models, which share the terms of a model.
+DISTANCES_ON_MODELS = {"skl", "js", "mfcc"}
+
+
+def _matrix_scores(features: Sequence[str], matrix: np.ndarray, asked: np.ndarray | GaussianBatch) -> dict[str, list[np.ndarray]]:
+    queries = asked.flat if isinstance(asked, GaussianBatch) else asked
     numbers = range(len(queries))
     if len(matrix) == 0:
         return {f: [np.zeros(0) for _ in numbers] for f in features}
-    if not {"skl", "js", "mfcc"} & set(features):
+    if not isinstance(asked, GaussianBatch):
         return {f: [euclidean_to(matrix, q) for q in queries] for f in features}
-    items, asked = GaussianBatch(matrix), GaussianBatch(queries)
+    items = GaussianBatch(matrix)
     block: dict[str, list[np.ndarray]] = {}
     if "mfcc" in features:
         block["mfcc"] = [euclidean_to(items.flat, asked.flat[n]) for n in numbers]
