@@ -14,7 +14,7 @@ queries over 1,000 sequences 1.7 s against 8.6 s.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -78,6 +78,26 @@ def sources_of(features: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(DISTANCES[f].source for f in features))
 
 
+class QueriesTooLarge(ValueError):
+    """The vectors of a group of queries exceed what is sent to the tasks."""
+
+
+def load_query_groups(
+    tables: DataFrame | Mapping[str, DataFrame], ids: Sequence[str], columns: Sequence[str]
+) -> Iterator[dict[str, list]]:
+    """``load_queries`` in groups of bounded number and bytes; a group too large is halved."""
+    for at in range(0, len(ids), MAX_QUERIES):
+        group = list(ids[at : at + MAX_QUERIES])
+        try:
+            yield load_queries(tables, group, columns)
+        except QueriesTooLarge:
+            if len(group) == 1:
+                raise
+            half = len(group) // 2
+            yield from load_query_groups(tables, group[:half], columns)
+            yield from load_query_groups(tables, group[half:], columns)
+
+
 def load_queries(
     tables: DataFrame | Mapping[str, DataFrame], ids: Sequence[str], columns: Sequence[str]
 ) -> dict[str, list]:
@@ -99,7 +119,7 @@ def load_queries(
         rows = union.groupBy("id").agg(*[F.min(c).alias(c) for c in columns])
     found = rows.toArrow()
     if found.nbytes > MAX_QUERY_BYTES:
-        raise ValueError(f"query vectors take {found.nbytes} bytes, at most {MAX_QUERY_BYTES}: use smaller groups")
+        raise QueriesTooLarge(f"query vectors take {found.nbytes} bytes, at most {MAX_QUERY_BYTES}: use smaller groups")
     at = {name: n for n, name in enumerate(found.column("id").to_pylist())}
     missing = [i for i in ids if i not in at]
     if missing:

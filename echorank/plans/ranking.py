@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.filters import is_finite
 from ..operators.ordering import rank_asc, rank_lexicographic
-from ..operators.pairing import ALL_FEATURES, DISTANCES, MAX_QUERIES, distance_pairs, load_queries, sources_of
+from ..operators.pairing import ALL_FEATURES, DISTANCES, distance_pairs, load_query_groups, sources_of
 from ..operators.scaling import fuse_mean, minmax
 from ..session import materialize
 
@@ -35,11 +35,11 @@ def _labels(features: Sequence[str], columns: Sequence[str]) -> list[str]:
     return [c for source, labels in LABELS.items() if source in used for c in labels if c in columns]
 
 
-def _groups(songs: str | Sequence[str]) -> list[list[str]]:
+def _asked(songs: str | Sequence[str]) -> list[str]:
     songs = [songs] if isinstance(songs, str) else list(dict.fromkeys(songs))
     if not songs:
         raise ValueError("no query items")
-    return [songs[i : i + MAX_QUERIES] for i in range(0, len(songs), MAX_QUERIES)]
+    return songs
 
 
 def _finish(scored: DataFrame, features: Sequence[str], labels: Sequence[str], single: bool) -> DataFrame:
@@ -100,8 +100,7 @@ def wide_distances(
     """
     labels = _labels(features, wide.columns)
     parts = []
-    for group in _groups(songs):
-        queries = load_queries(wide, group, sources_of(features))
+    for queries in load_query_groups(wide, _asked(songs), sources_of(features)):
         pairs = distance_pairs(wide, queries, features, labels)
         checks = _complete(features) if keep_infinite else [_present(f) for f in features]
         parts.append(pairs.where(reduce(lambda a, b: a & b, checks)))
@@ -151,8 +150,7 @@ def table_distances(
     NULL. Distances that share a source share its scan and its Arrow batches.
     """
     parts = []
-    for group in _groups(songs):
-        queries = load_queries(tables, group, sources_of(features))
+    for queries in load_query_groups(tables, _asked(songs), sources_of(features)):
         for source in sources_of(features):
             table = tables[source].where(F.col(source).isNotNull())
             wanted = [f for f in features if DISTANCES[f].source == source]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echorank.functions import kernels as K
 from echorank.operators import ordering, scaling
+from echorank.operators import pairing
 from echorank.operators.pairing import ALL_FEATURES, DISTANCES, distance_pairs, load_queries
 from echorank.plans import ranking as R
 from echorank.plans.refine import BH_FIRST, CHROMA_FIRST, rank_filter_refine
@@ -122,10 +123,11 @@ def test_batch_is_the_union_of_single_rankings(catalogue):
     assert same({r.id: r.aggregated for r in full if r.query_id == "s2"}, scores(R.rank_full(tables(df), "s2")))
 
 
-def test_large_batches_are_split(catalogue, monkeypatch):
+@pytest.mark.parametrize("bound, value", [("MAX_QUERIES", 2), ("MAX_QUERY_BYTES", 4000)])
+def test_large_batches_are_split(catalogue, monkeypatch, bound, value):
     _, df = catalogue
     want = {(r.query_id, r.id): r.aggregated for r in R.rank_batch(df, ["s1", "s2", "s3"]).collect()}
-    monkeypatch.setattr(R, "MAX_QUERIES", 2)
+    monkeypatch.setattr(pairing, bound, value)
     assert same({(r.query_id, r.id): r.aggregated for r in R.rank_batch(df, ["s1", "s2", "s3"]).collect()}, want)
 
 
