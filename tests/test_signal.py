@@ -135,8 +135,17 @@ def test_extraction_from_files(spark, tmp_path):
     for _ in range(2):
         X.extract_features(spark, str(tmp_path / "in"), ["rp", "rh"], out, append_new=True)
     assert sorted(r.id for r in spark.read.csv(f"{out}.rp").select(F.col("_c0").alias("id")).collect()) == ["new [1] {x}.wav", "pop/s 0.wav", "pop/s 1.wav"]
+    (tmp_path / "list.txt").write_text("pop/s 0.wav\nnew [1] {x}.wav\npop/s 9.wav\n")
+    listed = X.extract_features(spark, str(tmp_path / "list.txt"), ["rh"], path_prefix=str(tmp_path / "in"), label=True)
+    assert sorted((r.id, r.id2) for r in listed["rh"].collect()) == [("new [1] {x}.wav", "in"), ("pop/s 0.wav", "pop")]
+    assert [r.id for r in listed["errors"].collect()] == ["pop/s 9.wav"]
+    (tmp_path / "in" / "pop" / "s 0.wav").rename(tmp_path / "in" / "song")
+    first = str(tmp_path / "first")
+    for source in (f"{tmp_path}/in/song", f"{tmp_path}/in/song", f"{tmp_path}/in/pop/s 1.wav"):
+        X.extract_features(spark, source, ["rh"], first, suffixes=None, append_new=True, columnar=True)
+    assert spark.read.parquet(f"{first}.rh.parquet").count() == 2
     labelled = X.media_files(spark, str(tmp_path / "in"), label=True).select("id", "id2").collect()
-    assert ("pop/s 0.wav", "pop") in [tuple(r) for r in labelled]
+    assert ("pop/s 1.wav", "pop") in [tuple(r) for r in labelled]
 
 
 def test_extraction_from_waveforms_with_segments(spark):

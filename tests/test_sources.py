@@ -188,3 +188,16 @@ def test_ranking_csv_has_positions(spark, tmp_path):
     text.write_ranking_csv(df, str(tmp_path / "r"))
     rows = spark.read.csv(str(tmp_path / "r"), header=True).orderBy(F.col("position").cast("int")).collect()
     assert [(r.position, r.id, r.scores) for r in rows] == [("0", "a", "[3.0,4.0]"), ("1", "b", "[1.0,2.0]")]
+
+
+def test_ragged_lines_fail_or_stay_as_they_are(spark, tmp_path):
+    path = tmp_path / "ragged.rp"
+    path.write_text('a,1,2\n\nb,1,2,3,4\n"c, ""d""",1\ne,,2\n')
+    with pytest.raises(Exception, match="has not 3 fields but 5"):
+        tables.read_features_csv(spark, str(path)).collect()
+    kept = {r.id: r.vec for r in tables.read_features_csv(spark, str(path), ragged="keep").collect()}
+    assert kept == {"a": [1.0, 2.0], "b": [1.0, 2.0, 3.0, 4.0], 'c, "d"': [1.0], "e": [None, 2.0]}
+    last = tables.read_features_csv(spark, str(path), [-1, 0], ids_only=True, ragged="keep").collect()
+    assert sorted((r.id, r.id2) for r in last) == [("1", 'c, "d"'), ("2", "a"), ("2", "e"), ("4", "b")]
+    with pytest.raises(ValueError):
+        tables.read_features_csv(spark, str(path), ragged="drop")

@@ -133,3 +133,18 @@ def test_tempo(spark):
 
 def test_beat_frame(spark):
     assert spark.range(1).select(B.beat_frame(F.lit(1.0))).first()[0] == 21
+
+
+def test_every_item_with_a_beat_has_a_tempo_row(spark):
+    beats = [("fast", 0.2 * n) for n in range(5)] + [("one", 1.0)] + [("slow", 1.0 * n) for n in range(3)]
+    got = {r.id: r for r in B.tempo_histogram(spark.createDataFrame(beats, "id string, t double")).collect()}
+    assert set(got) == {"fast", "one", "slow"}
+    assert got["one"].bpm is None and sum(got["one"].bh) == 0 and len(got["one"].bh) == 250
+    assert abs(got["fast"].bpm - 300) < 1e-6 and sum(got["fast"].bh) == 0
+    assert got["slow"].bpm == 60 and got["slow"].bh[60] == 1
+
+
+def test_moments_of_values_that_differ_by_rounding(spark):
+    df = spark.createDataFrame([("a", x) for x in (0.30000000000000004, 0.3, 0.3)], "k string, v double")
+    row = moments7(df, ["k"], "v").first()
+    assert (row["var"], row["skew"], row["kurtosis"]) == (0, 0, 0)
