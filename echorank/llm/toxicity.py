@@ -94,18 +94,14 @@ class Models:
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
         self.levels: list[Level] = []
-        own, order = counts, ORDER
-        keys = grams
-        while order:
-            if order <= SHARED:
-                both = np.repeat((own > 0).any(axis=0)[None], 2, axis=0) if order == ORDER else own
-                self.levels.append(level(keys, both))
-            else:
-                self.levels.append(level(keys, own))
-            order -= 1
-            shorter, of = np.unique(low(keys, order), return_inverse=True)
-            seen = (own > 0) if order > SHARED else np.repeat((own > 0).any(axis=0)[None], 2, axis=0)
-            keys, own = shorter, np.stack([np.bincount(of, s, len(shorter)) for s in seen])
+        keys, own = grams, counts
+        for order in range(ORDER, 0, -1):
+            self.levels.append(level(keys, own))
+            seen = own > 0
+            if order - 1 <= SHARED:  # both classes back off to what either has
+                seen = np.repeat(seen.any(axis=0)[None], 2, axis=0)
+            keys, of = np.unique(low(keys, order - 1), return_inverse=True)
+            own = np.stack([np.bincount(of, s, len(keys)) for s in seen])
         self.levels.reverse()
         self.known = self.levels[-1].grams
         self.ratio = self.score(grams)

@@ -38,6 +38,12 @@ def test_base_patterns():
         pii.base_spans(long_)
 
 
+def test_many_spans_and_runs(crf):
+    text = "a@b.co 4111111111111112 +1 (456) 555-2186 " * 3000
+    base, spans = pii.all_spans(text, SemiCrf({"x": 0.0}))
+    assert base == plain(text) and len(base) == 6000 and set(base) <= set(spans)
+
+
 def test_luhn():
     assert luhn("4111111111111111") and not luhn("4111111111111112")
 
