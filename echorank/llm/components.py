@@ -11,22 +11,23 @@ from echorank.llm.tables import written
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every id in ``links (a, b)``: the smallest id it reaches.
 
-    Each round draws a new order of the ids by a hash. Every id moves to the first of
-    itself and its neighbours, and on to where that one moved; links are rewritten
-    between the ids that are left. A random order shortens chains by a constant
-    factor whatever their ids are, so rounds grow with the logarithm of the longest
-    one; a star takes one or two. A hub's links are a large join key, which AQE
-    splits. Rows with a NULL are void; an empty table gives an empty one.
+    Every id moves to the first of itself and its neighbours, and on to where that one
+    moved; links are rewritten between the ids that are left. The first round and every
+    other one go by the ids, which ends stars and copies at once; the rounds between
+    go by a hash, which shortens chains by a constant factor whatever their ids are.
+    So rounds grow with the logarithm of the longest chain. A hub's links are a large
+    join key, which AQE splits. Rows with a NULL are void; an empty table gives an
+    empty one.
     """
     links = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
-    edges, steps = written(links.distinct(), "cc-links"), []
+    edges, steps = links, []
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        place = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("id"))
+        by = (lambda c: F.lit(0).cast("long")) if len(steps) % 2 == 0 else (lambda c: F.xxhash64(c, F.lit(len(steps))))
+        place = lambda c, by=by: F.struct(by(c).alias("h"), F.col(c).alias("id"))
         pick = both.groupBy("a").agg(F.min(place("b")).alias("n")).select(
             F.col("a").alias("old"), F.least(place("a"), F.col("n"))["id"].alias("new")
         )
-        pick = written(pick, "cc-pick")
         onward = pick.select(F.col("old").alias("new"), F.col("new").alias("newer"))
         steps.append(written(pick.join(onward, "new").select("old", F.col("newer").alias("new")), "cc-step"))
         a, b = (steps[-1].select(F.col("old").alias(c), F.col("new").alias(f"n{c}")) for c in "ab")
@@ -37,6 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     labels = steps[0].select(F.col("old").alias("id"), F.col("new").alias("root"))
     for step in steps[1:]:
         labels = labels.join(step, labels["root"] == step["old"], "left").select("id", F.coalesce("new", "root").alias("root"))
+    if len(steps) == 1:  # by the ids, so the root is the smallest
+        return labels.withColumnRenamed("root", "component")
     labels = written(labels, "cc-labels")
     smallest = labels.groupBy("root").agg(F.min("id").alias("component"))
     return written(labels.join(smallest, "root").select("id", "component"), "cc-components")

@@ -181,7 +181,7 @@ def compare(group: pa.Table, percent: int) -> pa.Table:
 def compare_leaders(open_: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """One round over buckets with several components: ``(links, leaders)``.
 
-    ``open_ (band, doc_id, component, n_shingles)``. Leaders are members of a bucket's
+    ``open_ (band, doc_id, component, n_shingles, parts)``. Leaders are members of a bucket's
     smaller components first; they are compared with every member of the bucket, which
     is dealt out in parts of ``PART_BYTES`` of sets with the leaders added to each.
     """
@@ -193,13 +193,12 @@ def compare_leaders(open_: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
         .where(F.col("place") <= LEADERS)
         .withColumn("sum", F.sum("n_shingles").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .where((F.col("place") == 1) | (8 * F.col("sum") <= PART_BYTES // 2))
-        .select("band", "doc_id", "component")
+        .select("band", "doc_id", "component", "parts")
     )
     leaders = written(first, "neardup-leaders")
-    parts = open_.groupBy("band").agg(F.ceil(8 * F.sum("n_shingles") / PART_BYTES).cast("int").alias("parts"))
-    members = open_.join(leaders.select("band", "doc_id"), ["band", "doc_id"], "left_anti").join(parts, "band")
+    members = open_.join(leaders.select("band", "doc_id"), ["band", "doc_id"], "left_anti")
     dealt = members.select("band", "doc_id", "component", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), F.lit(False).alias("leader"))
-    every = leaders.join(parts, "band").select(
+    every = leaders.select(
         "band", "doc_id", "component", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"), F.lit(True).alias("leader")
     )
     rows = dealt.unionByName(every).join(sets, "doc_id")
@@ -234,14 +233,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     while True:
         labels = components(links)
         known = labels.select(F.col("id").alias("doc_id"), "component")
-        pool = pool.drop("component").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        pool = pool.drop("component", "parts").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         several = (
             pool.groupBy("band")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id") % (1 << 52)).alias("h"), F.min("doc_id").alias("f"))
+            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id") % (1 << 52)).alias("h"), F.min("doc_id").alias("f"), F.ceil(8 * F.sum("n_shingles") / PART_BYTES).cast("int").alias("parts"))
             .where("lo < hi")
         )
-        once = several.groupBy("n", "h", "f").agg(F.min("band").alias("band"))  # equal buckets of several bands
-        pool = written(pool.join(once.select("band"), "band", "left_semi"), "neardup-open")
+        once = several.groupBy("n", "h", "f").agg(F.min(F.struct("band", "parts")).alias("b")).select("b.*")  # equal buckets of several bands
+        pool = written(pool.join(once, "band"), "neardup-open")
         if pool.isEmpty():
             break
         found, leaders = compare_leaders(pool, sets, percent)
