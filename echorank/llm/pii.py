@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,11 +114,28 @@ def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+class Cover:
+    """Which places the spans take; they may overlap."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts = [a for _, a, _ in spans]
+        self.ends = list(accumulate((b for _, _, b in spans), max))  # the furthest end so far
+
+    def reach(self, at: int) -> int:
+        """The furthest end of the spans that begin at ``at`` or before."""
+        i = bisect_right(self.starts, at)
+        return self.ends[i - 1] if i else -1
+
+    def meets(self, start: int, stop: int) -> bool:
+        return self.reach(stop - 1) > start
+
+
 def stretches(text: str, runs: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
     """Bounds around the runs that base spans do not cover, merged and cut at a bounded length."""
-    out: list[list[int]] = []
+    cover, out = Cover(spans), []
     for a, b in sorted(runs):
-        if any(s <= a and b <= e for _, s, e in spans) or any(s <= a and len(OTHER.sub("", text[e:b])) < 7 and e > a for _, s, e in spans):
+        end = cover.reach(a)
+        if end >= b or end > a and len(OTHER.sub("", text[end:b])) < 7:
             continue
         left = max(text.rfind("\n", max(0, a - 2 * CONTEXT), a) + 1, a - 2 * CONTEXT, 0)
         right = text.find("\n", b, b + 2 * CONTEXT)
@@ -125,7 +144,7 @@ def stretches(text: str, runs: list[tuple[int, int]], spans: list[Span]) -> list
             out[-1][1] = max(out[-1][1], right)
         else:
             out.append([left, right])
-    return [(a, k) for a, b in out for a, k in [(s, min(b, s + STRETCH)) for s in range(a, b, STRETCH - 4 * CONTEXT)]]
+    return [(s, min(b, s + STRETCH)) for a, b in out for s in range(a, b, STRETCH - 4 * CONTEXT)]
 
 
 def all_spans(text: str | None, crf: SemiCrf) -> tuple[list[Span], list[Span]]:
@@ -135,10 +154,12 @@ def all_spans(text: str | None, crf: SemiCrf) -> tuple[list[Span], list[Span]]:
     base, runs = base_spans(text)
     added: list[Span] = []
     if runs and crf.weights:
+        cover, free = Cover(base), 0
         for a, b in stretches(text, runs, base):
             for kind, s, e in crf.decode(text[a:b]):
-                if not any(x < a + e and a + s < y for _, x, y in base + added):
+                if a + s >= free and not cover.meets(a + s, a + e):
                     added.append((kind, a + s, a + e))
+                    free = a + e
     return base, ordered(base + added)
 
 
@@ -165,27 +186,24 @@ def spellings(kind: str, span: str, rng: random.Random) -> list[tuple[str, bool]
 def examples(text: str) -> list[tuple[str, list[Span]]]:
     """Training stretches of a text: as they are, with other spellings, and damaged."""
     base, runs = base_spans(text)
-    rng, out = random.Random(len(text)), []
-    for kind, a, b in base:
-        if any(x < b and a < y for k, x, y in base if (k, x, y) != (kind, a, b)):
+    rng, out, before = random.Random(len(text)), [], Cover(base)
+    for n, (kind, a, b) in enumerate(base):
+        if n and before.ends[n - 1] > a or n + 1 < len(base) and base[n + 1][1] < b:  # it meets another one
             continue
         left, right = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
         for span, good in [(text[a:b], True), *spellings(kind, text[a:b], rng)]:
             out.append((left + span + right, [(kind, len(left), len(left) + len(span))] if good else []))
-    for a, b in stretches(text, runs, base):
-        if not any(x < b and a < y for _, x, y in base):
-            out.append((text[a:b], []))
+    out += [(text[a:b], []) for a, b in stretches(text, runs, base) if not before.meets(a, b)]
     return out
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, most: int = EXAMPLES) -> SemiCrf:
     """A CRF trained on the base spans of a bounded sample of ``docs (text)``."""
-    some = (
-        docs.select("text")
-        .where((F.octet_length("text") <= sample_bytes) & F.col("text").rlike("[0-9]{3}|@"))
-        .orderBy(F.xxhash64("text"), "text")
-        .limit(sample)
-    )
+    fit = (F.octet_length("text") <= sample_bytes) & F.col("text").rlike("[0-9]{3}|@")
+    hashed = docs.select("text").where(fit).withColumn("h", F.xxhash64("text"))
+    # The bound is found on hashes alone, so no task gathers the texts of the others.
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    some = hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("text").alias("text")).select("text")
 
     def task(batches):
         for batch in batches:
