@@ -269,7 +269,7 @@ def rank_merged(spark, sf_dir):
     "rank_without_nan",
     f"""WITH {TABLES_SQL},
 d AS (SELECT x.id, {DISTANCE_SQL['distances_rp']} AS a, {DISTANCE_SQL['distances_rh']} AS b FROM feat x JOIN feat q ON q.id = '{SONG}'
-  WHERE right(x.id, 1) <> '3' OR x.id = '{SONG}'),
+  WHERE x.id IN (SELECT id FROM nts) AND (right(x.id, 1) <> '3' OR x.id = '{SONG}')),
 s AS (SELECT id, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) AS a, (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) AS b FROM d)
 SELECT id, round((a + b) / 2, 6) AS aggregated FROM s""",
 )
