@@ -3,8 +3,8 @@
 The base patterns are found exactly (see ``base_spans``). The CRF reads the stretches
 around digits and at-signs that no base span covers, and adds what it takes for an
 e-mail address, an IP address, a card or a phone number written in another way; a
-span that meets a base span is not added. Outside these stretches no segment can be
-well formed, so leaving them out changes no decision.
+span that meets a base span is not added. A stretch reaches to the end of the name, the
+domain or the number it is about, whatever their length.
 
 The CRF is trained on the base spans themselves, in a bounded sample of texts:
 ``SAMPLE`` of them at most, the first in the order of a hash, of at most
@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echorank.llm.semicrf import KINDS, STRETCH, SemiCrf, byte_number, luhn
+from echorank.llm.semicrf import KINDS, LABEL, SemiCrf, byte_number, luhn
 from echorank.llm.tables import free_name
 from echorank.llm.words import slices
 
 SAMPLE, SAMPLE_BYTES, EXAMPLES = 2_000, 1 << 16, 600
-#: Code points of context on either side of a stretch.
-CONTEXT = 24
+#: Code points of context on either side of a stretch, and of a stretch to train on.
+CONTEXT, STRETCH = 24, 2000
 
 Span = tuple[str, int, int]
 
@@ -47,6 +47,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WRITTEN_AT = re.compile(r"[(\[{] ?at ?[)\]}]", re.I)
 OTHER = re.compile("[^0-9]+")
+FIRST_LABEL = re.compile(" ?[A-Za-z0-9-]*")
+MARKS = frozenset(" ().+-")
 
 
 def emails(text: str) -> list[Span]:
@@ -130,21 +132,39 @@ class Cover:
         return self.reach(stop - 1) > start
 
 
+def whole(text: str, a: int, b: int) -> tuple[int, int]:
+    """A run with the name before and the domain after it, or with the marks before a number."""
+    if text[b - 1] in "@)]}" and text[a] in "@([{":
+        a -= text[a - 1 : a] == " "
+        while a and text[a - 1] in LOCAL:
+            a -= 1
+        b = FIRST_LABEL.match(text, b).end()
+        while found := LABEL.match(text, b):
+            b = found.end()
+    else:
+        while a and text[a - 1] in MARKS:
+            a -= 1
+    return a, b
+
+
 def stretches(text: str, runs: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
-    """Bounds around the runs that base spans do not cover, merged and cut at a bounded length."""
-    cover, out = Cover(spans), []
-    for a, b in sorted(runs):
+    """Bounds around the runs that base spans do not cover and what belongs to them, merged."""
+    cover, around, out = Cover(spans), [], []
+    for a, b in runs:
         end = cover.reach(a)
         if end >= b or end > a and len(OTHER.sub("", text[end:b])) < 7:
             continue
+        first, last = whole(text, a, b)
         left = max(text.rfind("\n", max(0, a - 2 * CONTEXT), a) + 1, a - 2 * CONTEXT, 0)
         right = text.find("\n", b, b + 2 * CONTEXT)
         right = min(len(text), b + 2 * CONTEXT) if right < 0 else right
-        if out and left <= out[-1][1] and right - out[-1][0] <= STRETCH:
+        around.append((min(left, first), max(right, last)))
+    for left, right in sorted(around):
+        if out and left <= out[-1][1]:
             out[-1][1] = max(out[-1][1], right)
         else:
             out.append([left, right])
-    return [(s, min(b, s + STRETCH)) for a, b in out for s in range(a, b, STRETCH - 4 * CONTEXT)]
+    return [(a, b) for a, b in out]
 
 
 def all_spans(text: str | None, crf: SemiCrf) -> tuple[list[Span], list[Span]]:
@@ -154,12 +174,9 @@ def all_spans(text: str | None, crf: SemiCrf) -> tuple[list[Span], list[Span]]:
     base, runs = base_spans(text)
     added: list[Span] = []
     if runs and crf.weights:
-        cover, free = Cover(base), 0
+        cover = Cover(base)
         for a, b in stretches(text, runs, base):
-            for kind, s, e in crf.decode(text[a:b]):
-                if a + s >= free and not cover.meets(a + s, a + e):
-                    added.append((kind, a + s, a + e))
-                    free = a + e
+            added += [(kind, s, e) for kind, s, e in crf.decode(text, a, b) if not cover.meets(s, e)]
     return base, ordered(base + added)
 
 
@@ -193,7 +210,8 @@ def examples(text: str) -> list[tuple[str, list[Span]]]:
         left, right = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
         for span, good in [(text[a:b], True), *spellings(kind, text[a:b], rng)]:
             out.append((left + span + right, [(kind, len(left), len(left) + len(span))] if good else []))
-    out += [(text[a:b], []) for a, b in stretches(text, runs, base) if not before.meets(a, b)]
+    around = [(s, min(b, s + STRETCH)) for a, b in stretches(text, runs, base) for s in range(a, b, STRETCH - 4 * CONTEXT)]
+    out += [(text[a:b], []) for a, b in around if not before.meets(a, b)]
     return out
 
 

@@ -1,32 +1,39 @@
 """A semi-Markov conditional random field over short stretches of text.
 
 A stretch is cut into tokens (letters, digits, single other characters). A labelling
-cuts it into segments: one token of no kind, or up to ``LONGEST`` tokens of one kind.
+cuts it into segments: one token of no kind, or the tokens of one entity of a kind.
 Segments are scored as a whole by features of the span and its surroundings, and
 neighbouring segments by their kinds. Only spans that are well formed for a kind are
-candidates. Weights maximise the likelihood of given labellings (forward-backward
-over segments, Adagrad); decoding is the Viterbi path over segments of bounded length.
+candidates; they are found by their form (a name and its domain, digits and marks), so
+no number of tokens bounds an address, and a number ends with its 19th digit. Weights
+maximise the likelihood of given labellings (forward-backward over segments, Adagrad);
+decoding is the Viterbi path, which keeps only the states that a segment can still reach.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens in a segment, tokens decoded together.
-LONGEST, STRETCH = 20, 2000
+#: Digits of the longest number.
+DIGITS_MOST = 19
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]) ?[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?)[A-Za-z0-9-]+)+", re.I)
+#: An address by its parts: a name with the first label of its domain, and each label after that.
+HEAD = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]) ?[A-Za-z0-9-]+", re.I)
+LABEL = re.compile(r"(?:\.| ?[(\[{] ?dot ?[)\]}] ?)[A-Za-z0-9-]+", re.I)
 NUMBER = re.compile(r"\+?[(0-9][0-9 ().+-]*[0-9]")
+GROUP = re.compile("([ ().+-]*)([0-9]+)")
 DIGITS = re.compile("[0-9]+")
 WORD = re.compile(r"([A-Za-z]+)[\s:.#-]{0,3}$")
-LONGER = re.compile(r"[\w-]|\.\w")  # a domain goes on
+LONGER = re.compile(r"[\w-]|\.\w| ?[(\[{] ?dot ?[)\]}] ?\w", re.I)  # a domain goes on
 CUES = frozenset("tel phone mobile cell call fax mail email contact ip host server address card visa credit number".split())
 
 
@@ -87,6 +94,27 @@ def features(kind: str, text: str, start: int, end: int) -> list[str]:
     return [f"{kind}|{f}" for f in found]
 
 
+def candidates(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """All segments of a kind that begin with the token at ``start``: (end, kind)."""
+    first, before = text[start], text[start - 1 : start]
+    if before.isalnum():
+        return
+    if first.isalnum() or first == "+":
+        found = before not in set("._%+-") and HEAD.match(text, start, stop)
+        while found and (found := LABEL.match(text, found.end(), stop)):
+            end = found.end()
+            if text[end - 1].isalnum() and bounded("email", text, start, end):
+                yield end, 1
+    if first in "0123456789(+":
+        end, tokens, digits = start, 0, 0
+        while (found := GROUP.match(text, end, stop)) and digits + len(found[2]) <= DIGITS_MOST:
+            end, tokens, digits = found.end(), tokens + len(found[1]) + 1, digits + len(found[2])
+            if tokens > 2 and not text[end : end + 1].isalnum():
+                for k, kind in enumerate(KINDS[1:], 2):
+                    if well_formed(kind, text[start:end]):
+                        yield end, k
+
+
 @dataclass
 class Segments:
     """Token bounds of a stretch and its candidates by their last token: (first, kind, features)."""
@@ -98,16 +126,10 @@ class Segments:
     def of(cls, text: str) -> Segments:
         tokens = [m.span() for m in TOKEN.finditer(text)]
         ending: list[list[tuple[int, int, list[str]]]] = [[] for _ in range(len(tokens) + 1)]
+        last = {b: j for j, (_, b) in enumerate(tokens, 1)}
         for i, (start, _) in enumerate(tokens):
-            if not (text[start].isalnum() or text[start] in "+("):
-                continue
-            for j in range(i + 3, min(len(tokens), i + LONGEST) + 1):
-                end = tokens[j - 1][1]
-                if not text[end - 1].isalnum():
-                    continue
-                for k, kind in enumerate(KINDS, 1):
-                    if bounded(kind, text, start, end) and well_formed(kind, text[start:end]):
-                        ending[j].append((i, k, features(kind, text, start, end)))
+            for end, k in candidates(text, start, len(text)):
+                ending[last[end]].append((i, k, features(KINDS[k - 1], text, start, end)))
         return cls(tokens, ending)
 
 
@@ -126,27 +148,29 @@ class SemiCrf:
     def score(self, names: list[str]) -> float:
         return sum(self.weights.get(n, 0.0) for n in names)
 
-    def decode(self, text: str) -> list[tuple[str, int, int]]:
-        """The best segments of a kind, as (kind, start, end)."""
-        s = Segments.of(text)
-        n = len(s.tokens)
-        if not any(s.ending):
-            return []
-        best, back = np.full((n + 1, len(KINDS) + 1), -np.inf), {}
-        best[0, 0] = 0.0
-        for j in range(1, n + 1):
-            steps = [(j - 1, 0, 0.0), *((i, k, self.score(f)) for i, k, f in s.ending[j])]
-            for i, k, score in steps:
-                come = best[i] + self.following[:, k]
-                p = int(come.argmax())
-                if come[p] + score > best[j, k]:
-                    best[j, k], back[j, k] = come[p] + score, (i, p)
-        out, j, k = [], n, int(best[n].argmax())
-        while j > 0:
-            i, p = back[j, k]
-            if k:
-                out.append((KINDS[k - 1], s.tokens[i][0], s.tokens[j - 1][1]))
-            j, k = i, p
+    def decode(self, text: str, start: int = 0, stop: int | None = None) -> list[tuple[str, int, int]]:
+        """The best segments of a kind between two places of a text, as (kind, start, end).
+
+        A state is the best score of a labelling up to a place and its segments so far, as
+        a chain that labellings share; states behind the place are given up.
+        """
+        stop = len(text) if stop is None else stop
+        follow, none = self.following.tolist(), [(float("-inf"), None)] * (len(KINDS) + 1)
+        states, here = {start: [(0.0, None), *none[1:]]}, start
+        for token in TOKEN.finditer(text, start, stop):
+            at, here = token.span()
+            come = states.pop(at)
+            steps = [(here, 0, 0.0), *((end, k, self.score(features(KINDS[k - 1], text, at, end))) for end, k in candidates(text, at, stop))]
+            for end, k, score in steps:
+                top, p = max((come[p][0] + follow[p][k], -p) for p in range(len(come)))
+                to = states.setdefault(end, none.copy())
+                if top + score > to[k][0]:
+                    chain = come[-p][1]
+                    to[k] = top + score, ((KINDS[k - 1], at, end), chain) if k else chain
+        out, chain = [], max(states[here], key=lambda s: s[0])[1]
+        while chain:
+            span, chain = chain
+            out.append(span)
         return out[::-1]
 
     def gradient(self, s: Segments, gold: set[tuple[int, int, int]]) -> tuple[dict[str, float], np.ndarray]:
@@ -198,6 +222,7 @@ class SemiCrf:
                     g -= ridge * self.weights.get(name, 0.0)
                     square[name] += g * g
                     self.weights[name] = self.weights.get(name, 0.0) + rate * g / (1e-3 + square[name] ** 0.5)
+                follow[0, 0] = 0.0  # no weight for a token of no kind, so long segments are not at a loss
                 square_f += follow**2
                 self.following += rate * follow / (1e-3 + np.sqrt(square_f)) * (square_f > 0)
         return self

@@ -149,3 +149,39 @@ def test_query_and_empty(spark):
         assert [r[f"n_{k}"] for k in KINDS] == [sum(x == k for x, _, _ in base) for k in KINDS]
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_spans(none, pii.train(none), ["doc_id"]).count() == 0
+
+
+def test_long_spellings_are_found_whole(crf):
+    name, label = "jane.q-doe_" * 9 + "x", "a-long-part-of-a-name" * 3
+    for address in [
+        "jane.doe [at] mail [dot] example [dot] com",
+        "jane.m.doe [at] a [dot] b [dot] c [dot] d [dot] mail [dot] example [dot] com",
+        f"{name} (at) {label}.{label}.{label}.example.com",
+        f"{name} [at] {label} [dot] {label} [dot] 7b4c2 [dot] example [dot] com",
+    ]:
+        for text in (address, f"please mail {address} today", f"{'word ' * 700}{address}, {address}\n{address}"):
+            got = pii.all_spans(text, crf)[1]
+            assert {(k, text[a:b]) for k, a, b in got} == {("email", address)} and len(got) == text.count(address), text
+
+
+def test_candidates_are_all_well_formed_bounded_spans():
+    from echorank.llm.semicrf import bounded, well_formed
+
+    rng = random.Random(5)
+    parts = ["a", "b-c", "7", "12", "4111", ".", "-", " ", "(", ")", "+", "@", "[at]", " (at) ", "[dot]", " [dot] ", "\n", "_", "é", "com", "..", "  "]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        s, want = Segments.of(text), set()
+        for i, (a, _) in enumerate(s.tokens):
+            for j in range(i + 3, len(s.tokens) + 1):
+                b = s.tokens[j - 1][1]
+                if (text[a].isalnum() or text[a] in "+(") and text[b - 1].isalnum():
+                    want |= {(i, j, k) for k, kind in enumerate(KINDS, 1) if bounded(kind, text, a, b) and well_formed(kind, text[a:b])}
+        assert {(i, j, k) for j, row in enumerate(s.ending) for i, k, _ in row} == want, text
+
+
+def test_spelt_addresses_are_candidates_of_the_training():
+    for address in ("jane.doe@mail.example.com", "a.b.c.d.e.f@g.h.i.j.k.example.com"):
+        for span, good in pii.spellings("email", address, random.Random(1)):
+            s = Segments.of(f"mail {span} now")
+            assert not good or any(s.tokens[i][0] == 5 and s.tokens[j - 1][1] == 5 + len(span) for j, row in enumerate(s.ending) for i, k, _ in row if k == 1)
