@@ -8,11 +8,14 @@ query's threshold by its length and the longest vector there. A bucket whose thr
 is above 1 is skipped. In the others a query prunes by coordinates where the local
 threshold is high (a unit vector that near to the query has its leading coordinates
 in narrow ranges, found in sorted lists), and by length where it is low. What is left
-is verified by whole-number products. Blocks of queries meet cells of vectors; no
+is verified by exact products of whole numbers, in doubles, 64-bit or unbounded integers
+as their size demands. Blocks of queries meet cells of vectors; no
 task holds more than a block and a cell.
 
-Defined results: vectors that are NULL, hold a NULL, a non-finite component or one
-beyond ``LARGEST``, and rows without an id, take no part; vectors of different
+Defined results: vectors that are NULL, hold a NULL, a non-finite component or one that
+scaled reaches ``largest`` (the query sets no such limit), and rows without an id, take
+no part; a score of more than 38 digits or a squared length beyond a double is an error;
+vectors of different
 dimension do not meet; an empty vector is of length 0; of repeated ids the best
 product counts; equal products are ordered by the smaller id; a query with fewer than
 k partners gets them all; empty tables give no rows.
@@ -20,6 +23,9 @@ k partners gets them all; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,19 +37,20 @@ from echorank.llm.tables import written
 RATIO, CELL_ROWS, QUERY_ROWS, SEEDS = 1.1, 16384, 16384, 4096
 #: Local threshold from which coordinates prune better than lengths, and how many are used.
 COORDINATES_FROM, COORDINATES = 0.3, 4
-LARGEST = 1 << 22
+#: Default of ``largest``: scaled components from this size on take no part.
+LARGEST = 2.0**63
+#: The type of scores, and the doubles from which on all are whole numbers.
+SCORE, WHOLE_FROM = "decimal(38,0)", 2.0**52
 #: Allowance for rounding in bounds; a bound has to be missed by more.
 SLACK = 1e-9
 
 
-def whole(vector: Column, scale: int) -> Column:
-    """Components as floor(scale * x); NULL for a vector that takes no part."""
-    made = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = F.forall(
-        vector,
-        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(LARGEST / scale)),
-    )
-    return F.when(fine, F.transform(made, lambda x: x.cast("int")))
+def whole(vector: Column, scale: int, largest: float) -> Column:
+    """Components as floor(scale * x), as doubles, which hold them exactly; NULL for a vector that takes no part."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(largest / scale)))
+    scaled = F.transform(vector, lambda x: F.lit(float(scale)) * x.cast("double"))
+    made = F.transform(scaled, lambda y: F.when(F.abs(y) < F.lit(WHOLE_FROM), F.floor(y).cast("double")).otherwise(y))
+    return F.when(fine, made)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +69,29 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products; doubles hold them as long as no partial sum leaves 2**53."""
-    bound = np.abs(rows).max(initial=0) * np.abs(query).max(initial=0) * max(1, len(query))
-    if bound < 2**53:
+    """Exact inner products: doubles hold them if no partial sum leaves 2**53, 64 bits up to 2**62, Python's integers all."""
+    bound = np.abs(rows).max(axis=1, initial=0) * (np.abs(query).max(initial=0) * max(1, len(query)))
+    if bound.max(initial=0) < 2**53:
         return (rows @ query).astype(np.int64)
-    return rows.astype(np.int64) @ query.astype(np.int64)
+    out = np.zeros(len(rows), np.int64)
+    middle = bound < 2**62
+    if np.abs(query).max(initial=0) < 2**62:
+        out[middle] = rows[middle].astype(np.int64) @ query.astype(np.int64)
+    if not middle.all():
+        out, own = out.astype(object), [int(x) for x in query]
+        for i in np.flatnonzero(~middle).tolist():
+            out[i] = sum(int(x) * y for x, y in zip(rows[i], own))
+    return out
+
+
+def below(score: int) -> float:
+    """The score as a double that is not above it."""
+    return float(score) if abs(score) <= 2**53 else float(np.nextafter(float(score), -np.inf))
+
+
+def decimals(scores: np.ndarray) -> pa.Array:
+    whole_numbers = pa.decimal128(38, 0)
+    return pa.array(scores).cast(whole_numbers) if scores.dtype == np.int64 else pa.array([Decimal(int(x)) for x in scores], whole_numbers)
 
 
 class Cell:
@@ -117,14 +142,15 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return flat.reshape(-1, width) if width else np.zeros((len(column), 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, scale: int) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for every query among ``vectors (vec_id, embedding)``."""
-    v = whole(F.col("embedding"), scale)
+def search(vectors: DataFrame, is_query: Column, k: int, scale: int, largest: float = LARGEST) -> DataFrame:
+    """``query_id, rank, vec_id, score (decimal)`` for every query among ``vectors (vec_id, embedding)``."""
+    v = whole(F.col("embedding"), scale, largest)
     rows = (
         vectors.where(F.col("vec_id").isNotNull())
         .select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
         .where(F.col("v").isNotNull())
         .withColumn("square", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+        .withColumn("square", F.when(F.col("square") < F.lit(math.inf), F.col("square")).otherwise(F.raise_error(F.lit("a vector's squared length is beyond a double")).cast("double")))
         .withColumn("dim", F.size("v"))
         .withColumn("bucket", F.when(F.col("square") > 0, F.floor(F.log("square") / (2 * np.log(RATIO)))).otherwise(-1).cast("int"))
     )
@@ -154,7 +180,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, scale: int) -> DataFram
                 other = np.asarray(seeds[dim]["vec_id"])
                 scores = products(matrix(seeds[dim]["v"], dim).astype(float), q)[other != own]
                 _, top = best(other[other != own], scores, k)
-                t = float(top[-1]) if len(top) == k else -np.inf
+                t = below(top[-1]) if len(top) == k else -np.inf
                 size = float(np.sqrt(q @ q))
                 threshold.append(t)
                 alive.append([c for d, _, at, parts, longest in buckets if d == dim and size * longest * (1 + SLACK) >= t for c in range(at, at + parts)])
@@ -163,13 +189,13 @@ def search(vectors: DataFrame, is_query: Column, k: int, scale: int) -> DataFram
                 ["vec_id", "v", "threshold", "cells"],
             )
 
-    thresholds = queries.select("vec_id", "v", "dim").mapInArrow(first_thresholds, "vec_id long, v array<int>, threshold double, cells array<int>")
+    thresholds = queries.select("vec_id", "v", "dim").mapInArrow(first_thresholds, "vec_id long, v array<double>, threshold double, cells array<int>")
     left = written(thresholds, "topk-queries").select(
         "vec_id", "v", "threshold", F.explode("cells").alias("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block")
     )
     places = rows.sparkSession.createDataFrame([b[:4] for b in buckets], "dim int, bucket int, at int, parts int") if buckets else None
     if places is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return rows.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {SCORE}")
     right = rows.join(F.broadcast(places), ["dim", "bucket"]).select(
         "vec_id",
         "v",
@@ -198,10 +224,10 @@ def search(vectors: DataFrame, is_query: Column, k: int, scale: int) -> DataFram
                 top, score = best(other[keep], scores[keep], k)
                 for column, a in zip(out, (np.full(len(top), ids[i]), top, score)):
                     column.append(a)
-        made = [np.concatenate(a).astype(np.int64) if a else np.zeros(0, np.int64) for a in out]
-        return pa.table(made, ["query_id", "vec_id", "score"])
+        query_id, other, score = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in out)
+        return pa.table([query_id.astype(np.int64), other.astype(np.int64), decimals(score)], ["query_id", "vec_id", "score"])
 
-    pairs = left.unionByName(right).groupBy("cell", "block").applyInArrow(meet, "query_id long, vec_id long, score long")
+    pairs = left.unionByName(right).groupBy("cell", "block").applyInArrow(meet, f"query_id long, vec_id long, score {SCORE}")
     each = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -55,3 +55,45 @@ def test_against_all_products(spark, monkeypatch, cells):
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(5, [1.0])]) == []
+
+
+def all_products(rows, k, scale, every):
+    """Every row with finite components, whatever its size."""
+    fine = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if all(map(math.isfinite, v))]
+    out = []
+    for q, a in fine:
+        if q % every == 0:
+            top = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in fine if i != q and len(a) == len(b)))[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(top, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cells", [False, True])
+def test_long_vectors_take_part(spark, monkeypatch, cells):
+    rng = random.Random(6)
+    if cells:
+        monkeypatch.setattr(topk, "CELL_ROWS", 20)
+        monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+        monkeypatch.setattr(topk, "SEEDS", 10)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    rows += [(100 + i, [rng.gauss(0, 1) * 10.0 ** rng.randrange(4, 14) for _ in range(6)]) for i in range(60)]
+    rows += [(200 + i, [2.0**45 + i, *[0.0] * 5]) for i in range(20)]  # products that differ behind a double's digits
+    rows += [(300, [16384.0] + [0.0] * 5), (301, [float("nan")] * 6), (302, [float("inf")] * 6)]
+    rows += [(310, [2.0**60 / 3] + [0.0] * 5), (311, [0.0, 1e19] + [0.0] * 4)]  # components and scores beyond 64 bits
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, F.col("vec_id") % 5 == 0, 5, 256, math.inf)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], int(r["score"])) for r in got.collect()) == all_products(rows, 5, 256, 5)
+
+
+def test_scores_beyond_64_bits_are_an_error(spark, tmp_path):
+    from echorank.llm.topk_queries import op2_norm_bucket_topk
+
+    for size, fits in ((2.0**22, True), (2.0**30, False)):
+        rows = [(0, [size, 0.0]), (1, [size, 1.0])]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{size}/embeddings.parquet")
+        found = op2_norm_bucket_topk(spark, f"{tmp_path}/{size}")
+        if fits:
+            assert [tuple(r) for r in found.collect()] == [(0, 1, 1, 2**60)]
+        else:
+            with pytest.raises(Exception, match="64 bits"):
+                found.collect()
