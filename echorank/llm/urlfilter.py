@@ -2,8 +2,8 @@
 
 A list is a log of dated entries (pattern, action, effective). The entries of one
 pattern become validity intervals by ``lead``; each capture offers the patterns that
-could name its URL (host, parent domains, host with the leading path segments), and
-an as-of join finds the interval that holds the fetch time. Of several active
+could name its URL (host, parent domains, host with the leading path segments, as many
+as the list's longest pattern has), and an as-of join finds the interval that holds the fetch time. Of several active
 patterns the most specific one decides: more path segments first, then more host
 labels. Actions are ``block``, ``allow`` and ``remove`` (the pattern is off the list).
 
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOREVER = "9999-12-31 00:00:00"
-PATH_SEGMENTS = 2
 
 
 def host_of(url: Column) -> Column:
@@ -33,8 +32,8 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def patterns_of(url: Column) -> Column:
-    """``array<struct<rank, pattern>>``: all patterns that could name a URL."""
+def patterns_of(url: Column, segments: Column) -> Column:
+    """``array<struct<rank, pattern>>``: all patterns of at most so many path segments that could name a URL."""
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
@@ -45,8 +44,9 @@ def patterns_of(url: Column) -> Column:
         ),
     )
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    most = F.least(F.size(parts), segments)
     paths = F.transform(
-        F.slice(F.sequence(F.lit(1), F.lit(PATH_SEGMENTS)), F.lit(1), F.least(F.size(parts), F.lit(PATH_SEGMENTS))),
+        F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
             (i * 1000 + n).cast("int").alias("rank"),
             F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("pattern"),
@@ -82,10 +82,13 @@ def judge_captures(captures: DataFrame, entries: DataFrame, key: str, url: str,
     """
     slim = captures.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(fetched).alias("t"))
     distinct = slim.groupBy("k", "u", "t").agg(F.count("*").alias("copies"))
-    offered = distinct.select("k", "u", "t", "copies", F.explode_outer(patterns_of(F.col("u"))).alias("p")).select(
+    valid = intervals(entries)
+    slashes = F.length("pattern") - F.length(F.replace("pattern", F.lit("/")))
+    longest = valid.agg(F.coalesce(F.max(slashes), F.lit(0)).alias("segments"))
+    offers = F.explode_outer(patterns_of(F.col("u"), F.col("segments")))
+    offered = distinct.crossJoin(F.broadcast(longest)).select("k", "u", "t", "copies", offers.alias("p")).select(
         "k", "u", "t", "copies", F.col("p.rank").alias("rank"), F.col("p.pattern").alias("offer")
     )
-    valid = intervals(entries)
     active = offered.join(
         valid,
         (F.col("offer") == F.col("pattern")) & (F.col("t") >= F.col("valid_from")) & (F.col("t") < F.col("valid_to")),

@@ -98,3 +98,18 @@ def test_empty_list_and_captures(spark):
     caps = spark.createDataFrame([(1, "http://a.b", dt.datetime(2024, 1, 1))], "page_id long, u string, t timestamp")
     assert [r["blocked"] for r in judge_captures(caps, none, "page_id", "u", "t").collect()] == [False]
     assert judge_captures(caps.limit(0), none, "page_id", "u", "t").count() == 0
+
+
+def test_entries_of_any_depth_are_met(spark):
+    day = dt.datetime(2024, 1, 1)
+    deep = "a.b/" + "/".join(f"p{i}" for i in range(40))
+    entries = [("a.b/x/y/z", "block", day), ("a.b/x", "allow", day), (deep, "block", day), ("a.b/p0/p1/p2", "allow", day), ("b", "block", day)]
+    urls = {
+        "http://a.b/x/y/z": "a.b/x/y/z", "http://a.b/x//y/z/w?q=/x": "a.b/x/y/z", "http://a.b/x/y": "a.b/x", "http://a.b/q/x/y/z": "b",
+        f"https://{deep}/more": deep, "https://" + deep.rsplit("/", 1)[0]: "a.b/p0/p1/p2", "http://c.d/x/y/z": None, "": None,
+    }
+    caps = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, u string, t timestamp")
+    listed = spark.createDataFrame(entries, "pattern string, action string, effective timestamp")
+    got = judge_captures(caps, listed, "page_id", "u", "t").collect()
+    actions = {p: a for p, a, _ in entries}
+    assert {r["u"]: (r["pattern"], r["action"], r["blocked"]) for r in got} == {u: (p, actions.get(p), actions.get(p) == "block") for u, p in urls.items()}
