@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echorank.llm.tables import free_name, written
+from echorank.llm.tables import free_name, received, send, written
 from echorank.llm.words import ALNUM, Hasher, Words, cut, slices
 
 WINDOW = 13
@@ -248,10 +248,10 @@ def item_block(items: DataFrame, k: int, blocks: int) -> Items:
 
 def with_matches(docs: DataFrame, items: Items, name: str) -> DataFrame:
     """``docs`` with one more column ``name``: the matches with one block of items."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent = send(docs.sparkSession, items)
 
     def task(batches):
-        hasher, tests = Hasher(), sent.value
+        hasher, tests = Hasher(), received(sent)
         for batch in batches:
             for part in slices(batch, "text", SHARD_BYTES):
                 words = cut(part.column("text"), ALNUM, hasher)
@@ -287,19 +287,20 @@ def hit_words(runs: Column) -> Column:
 def _marked(docs: DataFrame, items: DataFrame, name: str) -> DataFrame:
     """``docs`` with the matches of all items in the column ``name``.
 
-    Beyond one block the passes meet by the whole row: equal rows have equal
-    matches, so they are counted, and given back as often as they came.
+    Beyond one block of items the rows are numbered and written once; every pass gives
+    matches by number, and only the joined matches meet the rows again.
     """
     blocks = n_blocks(items)
     if blocks == 1:
         return with_matches(docs, item_block(items, 0, 1), name)
-    columns, parts = docs.columns, None
+    row, parts = free_name([*docs.columns, name], "row"), None
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "contamination-rows")
     for k in range(blocks):
-        part = written(with_matches(docs, item_block(items, k, blocks), name), "contamination-block")
+        found = with_matches(numbered.select(row, "text"), item_block(items, k, blocks), name).select(row, name)
+        part = written(found, "contamination-block")
         parts = part if parts is None else parts.unionByName(part)
     m = F.col(name)
-    joined = parts.groupBy(*columns).agg(
-        F.count("*").alias(f"{name}_n"),
+    joined = parts.groupBy(row).agg(
         F.struct(
             F.max(m["n_words"]).alias("n_words"),
             F.array_distinct(F.flatten(F.collect_set(m["item_ids"]))).alias("item_ids"),
@@ -307,8 +308,7 @@ def _marked(docs: DataFrame, items: DataFrame, name: str) -> DataFrame:
             *[F.max_by(m[c], m["longest"]).alias(c) for c in ("longest", "longest_item", "longest_item_word", "longest_doc_word")],
         ).alias(name),
     )
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), (F.col(f"{name}_n") / blocks).cast("long"))).alias(f"{name}_c")
-    return joined.select(*columns, name, copy).drop(f"{name}_c")
+    return numbered.join(joined, row).select(*docs.columns, name)
 
 
 def _verdict(m: Column) -> tuple[Column, Column]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echorank.llm.lookup import Places
-from echorank.llm.tables import written
+from echorank.llm.tables import received, send, written
 from echorank.llm.words import SPACED, Hasher, cut, mix, slices
 
 STATES, ITERATIONS = 8, 6
@@ -126,10 +126,10 @@ class Vocabulary:
 
 def word_rows(coded: DataFrame, without: Vocabulary | None = None) -> DataFrame:
     """``block, place, word, train, shared``: the distinct words of every block."""
-    sent = coded.sparkSession.sparkContext.broadcast(without)
+    sent = send(coded.sparkSession, without)
 
     def task(batches):
-        skip = sent.value
+        skip = received(sent)
         for batch in batches:
             for i in range(batch.num_rows):
                 words = flat(batch.column("words"), i)
@@ -242,12 +242,11 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterat
     """Baum-Welch: expected counts from every task, summed by Spark in each iteration."""
     share = vocabulary.share()
     model = first_model(share, states)
-    context = coded.sparkSession.sparkContext
     for _ in range(iterations):
-        sent = context.broadcast((vocabulary, model))
+        sent = send(coded.sparkSession, (vocabulary, model))
 
         def task(batches, sent=sent):
-            words, now = sent.value
+            words, now = received(sent)
             emitted, moved, started = np.zeros((states, words.classes)), np.zeros((states, states)), np.zeros(states)
             for batch in batches:
                 for i in range(batch.num_rows):
@@ -292,10 +291,10 @@ def score(coded: DataFrame, counts: DataFrame, words: Vocabulary, model: Model)
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text."""
     rare = word_rows(coded, without=words).select("block", "place", "word")
     known = rare.join(counts.select("word", "c"), "word").select("block", "place", "c")
-    sent = coded.sparkSession.sparkContext.broadcast((words, model))
+    sent = send(coded.sparkSession, (words, model))
 
     def task(found: pa.Table, block: pa.Table) -> pa.Table:
-        words, model = sent.value
+        words, model = received(sent)
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         parts = []
         for i in range(block.num_rows):

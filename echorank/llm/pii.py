@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echorank.llm.semicrf import KINDS, LABEL, SemiCrf, byte_number, luhn
-from echorank.llm.tables import free_name
+from echorank.llm.tables import free_name, received, send
 from echorank.llm.words import slices
 
 SAMPLE, SAMPLE_BYTES, EXAMPLES = 2_000, 1 << 16, 600
@@ -242,11 +242,11 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop
 
 def mapped_spans(docs: DataFrame, crf: SemiCrf, keep: list[str], fields: list[T.StructField], types: list[pa.DataType], derive: Callable) -> DataFrame:
     """``keep`` and what ``derive(text, base, spans)`` gives of each text."""
-    sent = docs.sparkSession.sparkContext.broadcast(crf)
+    sent = send(docs.sparkSession, crf)
     kept = docs.select(*keep).schema.fields
 
     def task(batches):
-        model = sent.value
+        model = received(sent)
         for batch in batches:
             for part in slices(batch, len(kept)):
                 rows = [derive(t, *all_spans(t, model)) for t in part.column(len(kept)).to_pylist()]

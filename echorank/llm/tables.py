@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from typing import Any
+
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from echorank.session import scratch_path
@@ -22,6 +26,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def send(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast of ``value`` with the classes of its parts, for workers without this package.
+
+    Spark pickles what it broadcasts by reference to modules; only closures go by value.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast) -> Any:
+    """What ``send`` was given, inside a task."""
+    return pickle.loads(sent.value)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, lengthened until no column has it."""
     while name.lower() in {c.lower() for c in columns}:

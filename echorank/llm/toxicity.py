@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echorank.llm.lookup import Places, gather
-from echorank.llm.tables import free_name, written
+from echorank.llm.tables import free_name, received, send, written
 from echorank.llm.words import ALNUM, Hasher, Words, cut, slices
 
 ORDER, SHARED = 6, 2
@@ -224,11 +224,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
 
 def figures(docs: DataFrame, classifier: Classifier, keep: list[str]) -> DataFrame:
     """``keep``, ``f1`` and ``f2``: the two figures of each text."""
-    sent = docs.sparkSession.sparkContext.broadcast(classifier)
+    sent = send(docs.sparkSession, classifier)
     kept = docs.select(*keep).schema.fields
 
     def task(batches):
-        hasher, models = Hasher(), sent.value.models
+        hasher, models = Hasher(), received(sent).models
         for batch in batches:
             for part in slices(batch, len(kept)):
                 f = models.figures(cut(part.column(len(kept)), ALNUM, hasher))
@@ -241,11 +241,11 @@ def figures(docs: DataFrame, classifier: Classifier, keep: list[str]) -> DataFra
 
 def with_score(docs: DataFrame, classifier: Classifier, name: str) -> DataFrame:
     """``docs`` and one more column ``name``: the toxicity of ``text``, 0 to 1."""
-    sent = docs.sparkSession.sparkContext.broadcast(classifier)
+    sent = send(docs.sparkSession, classifier)
     place = docs.columns.index("text")
 
     def task(batches):
-        hasher, judge = Hasher(), sent.value
+        hasher, judge = Hasher(), received(sent)
         for batch in batches:
             for part in slices(batch, place):
                 if judge.models is None:

@@ -58,7 +58,7 @@ def case():
 
 
 def run(spark, docs, items):
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("matches", F.lit("mine"))
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("matches", F.lit("mine")).withColumn("matches_n", F.lit(1)).withColumn("row", F.lit("r"))
     t = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
     got = C.contamination(d, t).collect()
     kept = C.decontaminate(d, t)

@@ -106,6 +106,29 @@ def test_token_stage(stages):
     assert stages[5].where(F.col("n_tokens") != F.size("ids")).isEmpty()
 
 
+def test_unlike_rows_of_one_id_stay(spark):
+    """Ids 6 and 7 copy one of the two unlike texts of id 5; the other one stays."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    texts = [(5, one), (5, two), (6, one), (7, two), (7, two), (8, ""), (8, ""), (8, None), (9, one + " more"), (None, two)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, n) for n, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, row long")
+    found = []
+    for order in ("row", F.desc("row")):
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs.orderBy(order), SF)
+        assert kept.columns == docs.columns
+        found.append(sorted(r["row"] for r in kept.collect()))
+    assert found[0] == found[1] and found[0] in ([0, 1, 5, 7, 9], [0, 1, 6, 7, 9])
+
+
+def test_tokens_that_do_not_decode_fail(spark, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    wrong = lambda tokens, path, keep, ids, name: tokens.select(*keep).withColumn(name, F.lit("else"))
+    monkeypatch.setattr(corpus_pipeline.bpe, "decode", wrong)
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    with pytest.raises(PySparkException):
+        corpus_pipeline.encode(spark, docs, SF).collect()
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "ids", "n_tokens"} <= set(got.columns) and got.count() > 100
