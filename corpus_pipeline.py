@@ -7,13 +7,16 @@ as the next stage's documents. All stages but the last return the columns of
 1. toxicity: texts that score 0.3 or more are dropped; the classifier learns from the
    labels of the three folds that ``op10`` may use.
 2. near_duplicates: of texts linked by shingles of five words with a similarity of 0.8
-   or more, the one with the smallest id stays (rows without an id stay). Of repeated
-   rows with that id one stays.
+   or more, the one with the smallest id stays, of several with that id the first by the
+   MD5 of its text. Unlike texts of one id both stay. Of rows equal in id and text one
+   stays, texts without words included. Rows without an id stay.
 3. decontamination: contaminated texts are dropped.
 4. personal_data: spans are replaced by their kind, ``n_chars`` follows the text.
-5. tokens: the columns of documents without the text, ``ids`` and ``n_tokens``.
+5. tokens: the columns of documents without the text, ``ids`` and ``n_tokens``; the ids
+   have been decoded and compared with the text.
 
-NULL texts pass all stages and have no tokens. Extra columns are kept up to the end.
+NULL texts pass all stages and have no tokens. Texts of any length are read whole. Extra
+columns are kept up to the end. Empty tables give empty tables with the same columns.
 """
 
 from __future__ import annotations
@@ -35,13 +38,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept texts; only slim rows are joined and counted, the texts move once."""
-    found = neardup.near_duplicates(docs, SHINGLE, PERCENT)
-    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count()
-    once = kept.where(F.col("count") == 1).select("doc_id")
-    repeated = kept.where(F.col("count") > 1).select("doc_id")
-    stay = docs.join(once, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
-    return stay.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """The kept rows. Rows are numbered and written once, so that rows of one id are told apart;
+    only slim rows are joined and counted, the texts move once."""
+    row, others = free_name(docs.columns, "row"), [c for c in docs.columns if c not in ("doc_id", "text")]
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    named = numbered.where(F.col("doc_id").isNotNull())
+    found = neardup.near_duplicates(named.select(F.col(row).alias("doc_id"), "text"), SHINGLE, PERCENT)
+    digest = F.md5(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")))
+    rest = F.md5(F.to_json(F.struct(*others))) if others else F.lit("")
+    slim = named.select(F.col(row).alias("n"), F.col("doc_id").alias("id"), digest.alias("digest"), rest.alias("rest"))
+    slim = slim.join(found.select(F.col("doc_id").alias("n"), F.col("component_id").alias("component")), "n")
+    first = slim.groupBy("component").agg(F.min(F.struct("id", "digest", "rest", "n")).alias("m")).select("m.*")
+    once = first.groupBy("id", "digest").agg(F.min(F.struct("rest", "n")).alias("m")).select(F.col("m.n").alias(row))
+    stay = numbered.join(once, row, "left_semi").unionByName(numbered.where(F.col("doc_id").isNull()))
+    return stay.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +65,14 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = [c for c in docs.columns if c != "text"]
-    ids, n = free_name(keep, "ids"), free_name(keep, "n_tokens")
-    tokens = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep, ids)
-    return tokens.withColumn(n, F.size(ids).cast("long"))
+    """Token ids, decoded again and compared with the text; a difference fails the job."""
+    keep, path = [c for c in docs.columns if c != "text"], public_tokenizers.path(VOCABULARY)
+    ids, n, back = free_name(docs.columns, "ids"), free_name(docs.columns, "n_tokens"), free_name(docs.columns, "decoded")
+    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN, docs.columns, ids)
+    checked = bpe.decode(tokens, path, [*docs.columns, ids], ids, back)
+    same = F.col(back) == F.coalesce("text", F.lit(""))
+    sound = F.when(same, F.col(ids)).otherwise(F.raise_error(F.lit("token ids that do not decode to their text")))
+    return checked.select(*keep, sound.alias(ids)).withColumn(n, F.size(ids).cast("long"))
 
 
 STAGES = [
