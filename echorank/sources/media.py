@@ -27,16 +27,21 @@ def _reader(spark: SparkSession, types: str | Sequence[str] | None):
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if types is None:
         return reader
+    return reader.option("pathGlobFilter", suffix_glob(types))
+
+
+def suffix_glob(types: str | Sequence[str]) -> str:
+    """A file name pattern for suffixes, compared without case."""
     types = [types] if isinstance(types, str) else types
     either = lambda c: f"[{c.lower()}{c.upper()}]" if c.isalpha() else c
-    return reader.option("pathGlobFilter", "*{" + ",".join("".join(map(either, t)) for t in types) + "}")
+    return "*{" + ",".join("".join(map(either, t)) for t in types) + "}"
 
 
-def _local(path: Column) -> Column:
+def local_name(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def _below(path: Column, root: str) -> Column:
+def below(path: Column, root: str) -> Column:
     return F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
 
 
@@ -52,10 +57,10 @@ def scan_media(
     Suffixes are compared without case; ``types=None`` takes every file. Spark
     itself never lists names that start with ``_`` or ``.``, nor empty files.
     """
-    files = _reader(spark, types).load(path).drop("content").withColumn("path", _local(F.col("path")))
+    files = _reader(spark, types).load(path).drop("content").withColumn("path", local_name(F.col("path")))
     if ignore_hidden:
         files = files.where(~F.substring_index("path", "/", -1).startswith("."))
-    return files.withColumn("path", _below(F.col("path"), path)) if relative else files
+    return files.withColumn("path", below(F.col("path"), path)) if relative else files
 
 
 def media_files(
@@ -75,7 +80,7 @@ def media_files(
         return spark.createDataFrame([], "id string, content binary" + (", id2 string" if label else ""))
     literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths] if paths is not None else root
     files = _reader(spark, types).load(literal)
-    inside = _below(_local(F.col("path")), root)
+    inside = below(local_name(F.col("path")), root)
     columns = [file_id(inside, compat_ids).alias("id"), F.col("content")]
     return files.select(*columns, *([class_label(inside).alias("id2")] if label else []))
 

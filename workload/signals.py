@@ -20,6 +20,7 @@ from echorank.session import SEGMENT_ROWS, materialize, scratch_path, spread_sma
 from echorank.sinks.text import audit
 from echorank.sources.media import decode_wav
 from echorank.sources.tables import read_features_csv
+from echorank.streaming.media import extract_stream, streamed_features
 
 from .catalogue import TABLES_SQL, table, vectors
 from .registry import Registry
@@ -306,3 +307,24 @@ def decode_errors(spark, sf_dir):
         F.concat(F.lit("doc"), "doc_id").alias("id"), F.encode("text", "utf-8").alias("content")
     )
     return file_segment_features(files, ["rh"]).select("id", F.col("error").isNotNull().alias("failed"))
+
+
+@register(
+    "extract_stream",
+    _FILE + _MOD + f", m AS (SELECT id, sum(c) / 256 AS c FROM sono GROUP BY id) SELECT id || '.wav' AS id, 'tone' || CAST(label AS VARCHAR) AS id2, {_agg_text('c', 'k')} AS rh, NULL AS failed"
+    " FROM m JOIN (SELECT id, label FROM vec) USING (id), md GROUP BY id, label UNION ALL SELECT source || '.wav', NULL, NULL, true FROM documents GROUP BY source",
+)
+def extract_stream_query(spark, sf_dir):
+    """Files arrive in three lots, broken ones among them; every file is read in one run only."""
+    root = scratch_path(spark, "stream")
+    labels = vectors(spark, sf_dir).select("id", F.concat(F.lit("tone"), "label").alias("folder"))
+    files = wav_files(spark, sf_dir, 1024).join(labels, "id").withColumn("name", F.concat_ws("/", "folder", F.concat("id", F.lit(".wav"))))
+    broken = table(spark, sf_dir, "documents").groupBy("source").agg(F.encode(F.min("text"), "utf-8").alias("content"))
+    broken = broken.select(F.concat(F.lit("texts/"), "source", F.lit(".wav")).alias("name"), "content")
+    early = F.col("folder") == "tone1"
+    for some in (files.where(early), files.where(~early), broken):
+        write_files(some, f"{root}/media")
+        extract_stream(spark, f"{root}/media", f"{root}/table", f"{root}/checkpoint", ["rh"]).awaitTermination()
+    found = streamed_features(spark, f"{root}/table", ["rh"], label=True)
+    good = found["rh"].select(F.substring_index("id", "/", -1).alias("id"), "id2", _text("rh").alias("rh"))
+    return good.unionByName(found["errors"].select(F.substring_index("id", "/", -1).alias("id"), F.lit(True).alias("failed")), allowMissingColumns=True)
