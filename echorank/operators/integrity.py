@@ -54,8 +54,8 @@ def order_consistency(tables: Mapping[str, DataFrame], position: str = "position
 def check_id_consistency(tables: Mapping[str, DataFrame]) -> None:
     """Raise unless all types hold the same ids, equally often.
 
-    Files have no row order in Spark: pass tables with a position column to
-    ``order_consistency`` where the order matters.
+    The order does not count: for files see ``fileorder.check_file_order``, for tables
+    with a position column ``order_consistency``.
     """
     if len(tables) < 2:
         return

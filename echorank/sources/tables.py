@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.fileorder import check_file_order
 from ..operators.integrity import check_duplicates, check_id_consistency
 
 IDS = "id"
@@ -79,17 +80,22 @@ def read_feature_set(
     id_column: int | Sequence[int] = 0,
     error_on_duplicates: bool = True,
     check: bool = True,
+    check_order: bool = False,
 ) -> dict[str, DataFrame]:
     """``{type: table}`` of the files ``stub.<type>``.
 
     With ``check`` the types must hold the same ids, each once. Duplicates are
-    an error or a warning.
+    an error or a warning. With ``check_order`` the ids must also stand in the same
+    order, line by line.
     """
     types = [types] if isinstance(types, str) else list(types)
     tables = {t: read_features_csv(spark, f"{stub}.{t}", id_column, name=t) for t in types}
     if check:
         check_id_consistency(tables)
         check_duplicates(tables[types[0]], raise_error=error_on_duplicates)
+    if check_order:
+        first = id_column if isinstance(id_column, int) else id_column[0]
+        check_file_order(spark, {t: f"{stub}.{t}" for t in types}, first)
     return tables
 
 

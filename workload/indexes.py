@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from echorank.operators.fileorder import order_differences, order_fingerprints
 from echorank.session import scratch_path
-from echorank.sinks import store
+from echorank.sinks import store, text
 
-from .catalogue import TABLES_SQL, feature_tables
+from .catalogue import TABLES_SQL, feature_tables, vectors
 from .features import _as_text, _text_sql
 from .registry import Registry
 
@@ -33,3 +34,43 @@ def store_assemble(spark, sf_dir):
     store.close_store(spark, prefix, _SOURCES)
     wide = store.assemble_store(store.open_store(spark, path, prefix, _SOURCES, n))
     return wide.select("id", "key", "scale", "bpm", "notes", *[_as_text(c).alias(c) for c in ("rp", "rh", "bh", "chroma")])
+
+
+def _ordered_files(spark, sf_dir):
+    """Two feature files in the order of their vectors, one of them with some pairs swapped."""
+    stub = scratch_path(spark, "order")
+    rows = vectors(spark, sf_dir).select("id", "vec_id", F.slice("e", 1, 3).alias("rp"), F.slice("e", 4, 3).alias("rh"))
+    swapped = F.when(F.floor(F.col("vec_id") / 2) % 7 == 3, F.col("vec_id").bitwiseXOR(F.lit(1))).otherwise(F.col("vec_id"))
+    text.write_features_csv({"rp": rows.orderBy("vec_id").select("id", "rp")}, stub)
+    text.write_features_csv({"rh": rows.repartition(3).orderBy(swapped).select("id", "rh")}, stub)
+    return {t: f"{stub}.{t}" for t in ("rp", "rh")}
+
+
+_ORDER = """WITH a AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS position, 'song' || vec_id AS id FROM embeddings),
+b AS (SELECT row_number() OVER (ORDER BY CASE WHEN vec_id // 2 % 7 = 3 THEN xor(vec_id, 1) ELSE vec_id END) - 1 AS position, 'song' || vec_id AS id FROM embeddings) """
+
+
+@register(
+    "file_order",
+    _ORDER + """SELECT position, id, count(*) FILTER (WHERE t = 'rp') AS rp, count(*) FILTER (WHERE t = 'rh') AS rh
+FROM (SELECT *, 'rp' AS t FROM a UNION ALL SELECT *, 'rh' FROM b) GROUP BY position, id HAVING rp <> rh""",
+)
+def file_order(spark, sf_dir):
+    """The lines at which two feature files differ."""
+    return order_differences(spark, _ordered_files(spark, sf_dir))
+
+
+@register("file_order_fingerprints", "SELECT 3 AS files, count(*) AS lines, 2 AS orders, true AS copy_agrees FROM embeddings")
+def file_order_fingerprints(spark, sf_dir):
+    """A file, a copy in other part files, and one with swapped lines: two orders."""
+    paths = _ordered_files(spark, sf_dir)
+    copy = scratch_path(spark, "order-copy")
+    spark.read.text(paths["rp"]).coalesce(1).write.text(copy)
+    found = order_fingerprints(spark, {**paths, "copy": copy})
+    by_name = [F.max(F.when(F.col("table") == n, F.col("fingerprint"))) for n in ("rp", "copy")]
+    return found.agg(
+        F.count(F.lit(1)).cast("int").alias("files"),
+        F.max("lines").alias("lines"),
+        F.countDistinct("fingerprint").cast("int").alias("orders"),
+        (by_name[0] == by_name[1]).alias("copy_agrees"),
+    )
