@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from echorank.operators.fileorder import order_differences, order_fingerprints
+from echorank.plans.pivots import METRIC, build_index, load_index, pivot_top_k, save_index
 from echorank.session import scratch_path
 from echorank.sinks import store, text
 
-from .catalogue import TABLES_SQL, feature_tables, vectors
+from .catalogue import SONGS, TABLES_SQL, feature_tables, rounded, vectors, wide_table
 from .features import _as_text, _text_sql
+from .rankings import _POSITION, merged_sql
 from .registry import Registry
 
 register = Registry()
@@ -74,3 +76,15 @@ def file_order_fingerprints(spark, sf_dir):
         F.countDistinct("fingerprint").cast("int").alias("orders"),
         (by_name[0] == by_name[1]).alias("copy_agrees"),
     )
+
+
+@register(
+    "pivot_top_k",
+    merged_sql(METRIC, SONGS, f"SELECT query_id, id, round(aggregated, 6) AS aggregated FROM r QUALIFY {_POSITION} <= 10"),
+)
+def pivot_top_k_query(spark, sf_dir):
+    """The ten best items of every query, from a stored index of pivot distances."""
+    path = scratch_path(spark, "pivot-index")
+    save_index(build_index(wide_table(spark, sf_dir), METRIC), path)
+    best, _ = pivot_top_k(load_index(spark, path), SONGS, 10)
+    return rounded(best, "aggregated")
