@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from echorank.operators.fileorder import order_differences, order_fingerprints
 from echorank.plans.pivots import METRIC, build_index, load_index, pivot_top_k, save_index
+from echorank.plans.qgrams import build_gram_index, edit_nearest, edit_within, load_gram_index, save_gram_index
 from echorank.session import scratch_path
 from echorank.sinks import store, text
 
-from .catalogue import SONGS, TABLES_SQL, feature_tables, rounded, vectors, wide_table
+from .catalogue import SONGS, TABLES_SQL, feature_tables, notes_table, rounded, vectors, wide_table
 from .features import _as_text, _text_sql
-from .rankings import _POSITION, merged_sql
+from .rankings import _POSITION, _in, merged_sql
 from .registry import Registry
 
 register = Registry()
@@ -88,3 +89,24 @@ def pivot_top_k_query(spark, sf_dir):
     save_index(build_index(wide_table(spark, sf_dir), METRIC), path)
     best, _ = pivot_top_k(load_index(spark, path), SONGS, 10)
     return rounded(best, "aggregated")
+
+
+def _gram_index(spark, sf_dir):
+    path = scratch_path(spark, "grams")
+    save_gram_index(build_gram_index(notes_table(spark, sf_dir)), path)
+    return load_gram_index(spark, path)
+
+
+_EDITS = _E + f", d AS (SELECT q.id AS query_id, x.id, CAST(levenshtein(x.notes, q.notes) AS DOUBLE) AS distance FROM nts AS q, nts AS x WHERE q.id IN ({_in(SONGS)})) SELECT query_id, id, distance FROM d "
+
+
+@register("edit_nearest", _EDITS + "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10")
+def edit_nearest_query(spark, sf_dir):
+    """The ten note sequences nearest to each query, through the index of their grams."""
+    return edit_nearest(_gram_index(spark, sf_dir), SONGS, 10)[0]
+
+
+@register("edit_within", _EDITS + "WHERE distance <= 24")
+def edit_within_query(spark, sf_dir):
+    """All note sequences within 24 edits of a query."""
+    return edit_within(_gram_index(spark, sf_dir), SONGS, 24)
