@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.ids import class_label, file_id
 from ..functions.rhythm import SEGMENT_SIZES, SEGMENT_TYPES, RhythmOptions, row_moments, segment_vectors
+from ..functions.spectral import resample
 from ..operators.joins import anti_existing
 from ..operators.moments import segment_mean, segment_median, segment_stats
 from ..operators.segments import SEGMENT_FEATURES_ARROW, feature_batch, segment_features, segment_plan, segment_signal
@@ -83,8 +84,10 @@ def recording_vectors(
     """The features of one recording and the number of its segments.
 
     Segments are analysed one after the other; only their vectors are kept, a few
-    dozen in a song, and aggregated as ``aggregate_features`` does it.
+    dozen in a song, and aggregated as ``aggregate_features`` does it. Other sampling
+    rates than the three of the segments are converted first.
     """
+    mono, rate = supported(mono, rate)
     wanted, starts = base_types(types), segment_plan(len(mono), rate, skip, step)
     parts = [segment_vectors(mono[a : a + SEGMENT_SIZES[rate]], rate, wanted, options) for a in starts]
     stack = {t: np.stack([p[t] for p in parts]) for t in wanted}
@@ -97,6 +100,16 @@ def recording_vectors(
     return out, len(starts)
 
 
+def supported(mono: np.ndarray, rate: int) -> tuple[np.ndarray, int]:
+    """The recording at a sampling rate that has segments: its own, else 22,050 or 44,100 Hz."""
+    if rate in SEGMENT_SIZES:
+        return mono, rate
+    if rate <= 0:
+        raise ValueError(f"a sample rate of {rate}")
+    to = 22050 if rate < 22050 else 44100
+    return resample(mono, rate, to), to
+
+
 def _recording_rows(name: str, label: str | None, found: dict, about: dict) -> pa.RecordBatch:
     rows = [{"id": name, "id2": label, "feature_type": t, "vec": v, **about} for t, v in found.items()]
     return pa.RecordBatch.from_pylist(rows, schema=RECORDING)
@@ -212,7 +225,7 @@ def file_segment_features(
 
     def rows_of(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
         rate, width, samples = decode_pcm(content)
-        mono = samples.mean(axis=1) / 2.0 ** (8 * width - 1)
+        mono, rate = supported(samples.mean(axis=1) / 2.0 ** (8 * width - 1), rate)
         about = [pa.scalar(width, pa.int32()), pa.scalar(samples.shape[1], pa.int32()), pa.scalar(len(samples), pa.int64())]
         for n, start in enumerate(segment_plan(len(mono), rate, skip_leadin_fadeout, step_width)):
             end = start + SEGMENT_SIZES[rate]
