@@ -6,7 +6,6 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -22,6 +21,7 @@ from ..sinks.columnar import write_columnar
 from ..sinks.text import write_features_csv
 from ..sources.lines import read_file_list
 from ..sources.media import AUDIO_SUFFIXES, decode_pcm, media_files, scan_media  # noqa: F401
+from ..sources.stores import read_bytes
 from ..sources.tables import load_features, read_features_csv, try_parquet
 
 TYPES = ("rp", "ssd", "rh", "tssd", "trh", "mvd")
@@ -164,7 +164,7 @@ def file_features(
         for batch in batches:
             for name, second, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 try:
-                    content = place.as_buffer().to_pybytes() if source == "content" else _opened(place.as_py())
+                    content = place.as_buffer().to_pybytes() if source == "content" else read_bytes(place.as_py())
                     rate, width, samples = decode_pcm(content)
                     mono = samples.mean(axis=1) / 2.0 ** (8 * width - 1)
                     found, n = recording_vectors(mono, rate, types, options, skip_leadin_fadeout, step_width)
@@ -176,12 +176,6 @@ def file_features(
     return files.select("id", label, source).mapInArrow(extract, from_arrow_schema(RECORDING))
 
 
-def _opened(path: str) -> bytes:
-    store, place = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(place, compression=None) as f:
-        return f.read()
-
-
 def feature_tables(rows: DataFrame, types: Sequence[str], label: bool = False) -> dict[str, DataFrame]:
     """``{type: (id[, id2], type)}`` of the rows of ``wave_features`` or ``file_features``."""
     ids = ["id", "id2"] if label else ["id"]

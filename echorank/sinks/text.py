@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,10 +28,14 @@ def write_ranking_csv(ranking: DataFrame, path: str, score: str = "aggregated",
 
 
 def _quoted(column: str) -> Column:
-    """A CSV field, quoted if it holds a separator, a quote or a line break."""
+    """A CSV field, quoted if it holds a separator or a quote.
+
+    An id with a line break fails the write: files are read line by line.
+    """
     value = F.coalesce(F.col(column).cast("string"), F.lit(""))
     quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(value.rlike(r"""[,"\r\n]"""), quoted).otherwise(value)
+    broken = F.raise_error(F.concat(F.lit(f"a line break in {column}: "), value)).cast("string")
+    return F.when(value.rlike(r"[\r\n]"), broken).when(value.rlike('[,"]'), quoted).otherwise(value)
 
 
 def feature_row(df: DataFrame, vec: str) -> Column:
@@ -92,16 +97,25 @@ def write_feature_lines(df: DataFrame, path: str, ext: str, decimals: int | None
     df.select(feature_line(ext, decimals).alias("value")).write.mode(mode).text(path)
 
 
+# Characters that an ARFF value is quoted for; an empty one is too.
+_ARFF_SPECIAL = r"""[,\s"'{}%]|^$"""
+
+
 def _arff_value(column: str, numeric: bool) -> Column:
     value = F.col(column).cast("string")
     if numeric:
         return F.coalesce(value, F.lit("?"))
     return F.coalesce(
-        F.when(value.rlike(r"""[,\s"']"""), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value),
+        F.when(value.rlike(_ARFF_SPECIAL), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value),
         F.lit("?"),
     )
 
 
+def _arff_name(name: str) -> str:
+    """A class name as ``_arff_value`` writes it in the rows."""
+    return '"' + name.replace('"', '""') + '"' if re.search(_ARFF_SPECIAL, name) else name
+
+
 def write_arff(df: DataFrame, path: str, relation: str, max_classes: int = 100_000) -> None:
     """A flat frame (``to_feature_frame``) as one ARFF folder.
 
@@ -117,7 +131,7 @@ def write_arff(df: DataFrame, path: str, relation: str, max_classes: int = 100_0
             classes = [r[0] for r in df.select("class").distinct().orderBy("class").limit(max_classes + 1).collect()]
             if len(classes) > max_classes:
                 raise ValueError(f"more than {max_classes} classes")
-            kind = "{" + ",".join(str(c) for c in classes if c is not None) + "}"
+            kind = "{" + ",".join(_arff_name(str(c)) for c in classes if c is not None) + "}"
         else:
             kind = "numeric"
         lines.append(f"@Attribute {name} {kind}")

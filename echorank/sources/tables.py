@@ -19,8 +19,9 @@ IDS = "id"
 def split_fields(line: Column, sep: str = ",") -> Column:
     """The fields of a CSV line; a field in double quotes keeps its separators."""
     mark = re.escape(sep)
-    quoted = F.regexp_extract_all(line, F.lit(f'(?:^|{mark})(?:"[^"]*(?:""[^"]*)*"|[^{mark}]*)'), F.lit(0))
-    bare = F.transform(quoted, lambda f, n: F.when(n > 0, F.substring(f, len(sep) + 1, 1 << 30)).otherwise(f))
+    # With a separator before the first field too, no match is empty, so none is skipped.
+    quoted = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f'{mark}(?:"[^"]*(?:""[^"]*)*"|[^{mark}]*)'), F.lit(0))
+    bare = F.transform(quoted, lambda f: F.substring(f, len(sep) + 1, 1 << 30))
     unquoted = F.transform(
         bare,
         lambda f: F.when(f.startswith('"'), F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f),

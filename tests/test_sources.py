@@ -201,3 +201,52 @@ def test_ragged_lines_fail_or_stay_as_they_are(spark, tmp_path):
     assert sorted((r.id, r.id2) for r in last) == [("1", 'c, "d"'), ("2", "a"), ("2", "e"), ("4", "b")]
     with pytest.raises(ValueError):
         tables.read_features_csv(spark, str(path), ragged="drop")
+
+
+def test_fields_around_quotes(spark):
+    lines_ = [',"a",1', '"a",1', 'a,"b, ""c""",', ',,"x"', '"",', '"a"', ",", "a;b", '" a ",2,"",""', ',"",']
+    got = df_of(spark, *lines_).select(tables.split_fields(F.col("value"))).collect()
+    want = [["", "a", "1"], ["a", "1"], ["a", 'b, "c"', ""], ["", "", "x"], ["", ""], ["a"], ["", ""], ["a;b"], [" a ", "2", "", ""], ["", "", ""]]
+    assert [r[0] for r in got] == want
+    semicolon = df_of(spark, ';"a;b";1', "x;y").select(tables.split_fields(F.col("value"), ";")).collect()
+    assert [r[0] for r in semicolon] == [["", "a;b", "1"], ["x", "y"]]
+
+
+def test_empty_first_field_is_kept(spark, tmp_path):
+    (tmp_path / "f").write_text(',"a",1\n"x, y","b",2\n')
+    for ragged in ("keep", "fail"):
+        rows = tables.read_features_csv(spark, str(tmp_path / "f"), [0, 1], ragged=ragged).collect()
+        assert [(r.id, r.id2, r.vec) for r in rows] == [(None, "a", [1.0]), ("x, y", "b", [2.0])]
+
+
+def test_ids_with_line_breaks_are_refused(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    for bad in ("a\nb", "a\rb"):
+        df = spark.createDataFrame([(bad, [1.0])], "id string, v array<double>")
+        with pytest.raises(PySparkException, match="line break"):
+            text.write_features_csv({"v": df}, str(tmp_path / "out"))
+
+
+def test_arff_class_names_are_quoted_alike(spark, tmp_path):
+    names = ["rock, hard", "drum and bass", "it's", 'say "x"', "%", "pop", ""]
+    df = spark.createDataFrame([(c, float(n)) for n, c in enumerate(names)], "class string, f double").select("f", "class")
+    text.write_arff(df, str(tmp_path / "a"), "r")
+    written = [r.value for r in spark.read.text(str(tmp_path / "a")).collect()]
+    header = next(line for line in written if line.startswith("@Attribute class"))
+    for name in names:
+        quoted = name if name == "pop" else '"' + name.replace('"', '""') + '"'
+        assert quoted in header.partition("{")[2] and any(line.endswith(f",{quoted}") for line in written)
+    assert sorted((r.vec[0], r["class"]) for r in tables.read_arff(spark, str(tmp_path / "a")).collect())[:6] == [(float(n), c) for n, c in enumerate(names)][:6]
+
+
+def test_paths_of_stores(tmp_path):
+    from echorank.sources.stores import read_bytes, store_uri
+
+    assert store_uri("s3a://bucket/a b.wav") == "s3://bucket/a b.wav" and store_uri("s3n://b/x") == "s3://b/x"
+    assert store_uri("dbfs:/mnt/x.wav") == "/dbfs/mnt/x.wav" and store_uri("/plain/x") == "/plain/x" and store_uri("file:/x/y") == "/x/y"
+    assert store_uri("gs://b/x") == "gs://b/x" and store_uri("hdfs://n:8020/x") == "hdfs://n:8020/x"
+    with pytest.raises(ValueError, match="streaming.media"):
+        store_uri("viewfs://c/x")
+    (tmp_path / "f.bin").write_bytes(b"abc")
+    assert read_bytes(str(tmp_path / "f.bin")) == read_bytes(f"file:{tmp_path}/f.bin") == read_bytes(f"file://{tmp_path}/f.bin") == b"abc"
