@@ -3,22 +3,26 @@
 Vectors of like length (within ``RATIO``) form a bucket; a bucket is dealt out in
 cells of bounded size by a hash of the id, so many equal vectors do not meet in one
 task. Every query gets a first threshold from the ``SEEDS`` longest vectors, a bounded
-set that is sent to all tasks. A bucket's local cosine threshold follows from it: the
-query's threshold by its length and the longest vector there. A bucket whose threshold
-is above 1 is skipped. In the others a query prunes by coordinates where the local
-threshold is high (a unit vector that near to the query has its leading coordinates
-in narrow ranges, found in sorted lists), and by length where it is low. What is left
-is verified by exact products of whole numbers, in doubles, 64-bit or unbounded integers
-as their size demands. Blocks of queries meet cells of vectors; no
+set that is sent to all tasks; buckets too short for it are skipped, and only cells that
+some query of a block can need are copied to it.
+
+In a cell a query's threshold is raised first, by the exact products of the ``FIRST`` rows
+that look best. The bucket's local cosine threshold follows from it, by the query's length
+and the longest vector there. Where it is low, the query prunes by length alone. Where it
+is high it prunes by coordinates: with the query's largest coordinates F of both unit
+vectors, q.x <= q_F.x_F + |q_rest| |x_rest|. The bound is computed from a few coordinates
+for all rows, and from twice as many for those that are left, until half the coordinates
+are used. What remains is verified by exact products of whole numbers, in doubles, 64-bit
+or unbounded integers as their size demands. Blocks of queries meet cells of vectors; no
 task holds more than a block and a cell.
 
-Defined results: vectors that are NULL, hold a NULL, a non-finite component or one that
-scaled reaches ``largest`` (the query sets no such limit), and rows without an id, take
-no part; a score of more than 38 digits or a squared length beyond a double is an error;
-vectors of different
-dimension do not meet; an empty vector is of length 0; of repeated ids the best
-product counts; equal products are ordered by the smaller id; a query with fewer than
-k partners gets them all; empty tables give no rows.
+Defined results: vectors that are NULL, hold a NULL or a non-finite component, and rows
+without an id, take no part; a score of more than 38 digits or a squared length beyond a
+double is an error; vectors of different dimension do not meet; an empty vector is of
+length 0; rows that repeat an id are partners of their own, and as queries share one list,
+of the pairs of all of them; a row never meets one of its own id; equal products are
+ordered by the smaller id; a query with fewer than k partners gets them all; empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -28,44 +32,37 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from echorank.llm.tables import written
 
-RATIO, CELL_ROWS, QUERY_ROWS, SEEDS = 1.1, 16384, 16384, 4096
-#: Local threshold from which coordinates prune better than lengths, and how many are used.
-COORDINATES_FROM, COORDINATES = 0.3, 4
-#: Default of ``largest``: scaled components from this size on take no part.
-LARGEST = 2.0**63
+RATIO, CELL_ROWS, QUERY_ROWS, SEEDS, FIRST = 1.1, 16384, 16384, 512, 32
+#: Local threshold from which coordinates prune better than lengths, and how many are used first.
+COORDINATES_FROM, COORDINATES = 0.2, 8
 #: The type of scores, and the doubles from which on all are whole numbers.
 SCORE, WHOLE_FROM = "decimal(38,0)", 2.0**52
 #: Allowance for rounding in bounds; a bound has to be missed by more.
 SLACK = 1e-9
 
 
-def whole(vector: Column, scale: int, largest: float) -> Column:
+def whole(vector: Column, scale: int) -> Column:
     """Components as floor(scale * x), as doubles, which hold them exactly; NULL for a vector that takes no part."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(largest / scale)))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(math.inf)))
     scaled = F.transform(vector, lambda x: F.lit(float(scale)) * x.cast("double"))
     made = F.transform(scaled, lambda y: F.when(F.abs(y) < F.lit(WHOLE_FROM), F.floor(y).cast("double")).otherwise(y))
     return F.when(fine, made)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores of distinct ids, ties to the smaller id."""
+    """The k highest scores, ties to the smaller id."""
     if len(scores) > 8 * k:
-        low = np.partition(scores, len(scores) - k)[len(scores) - k]
-        # Repeated ids may hide others below: look further only if there are any.
-        if len(np.unique(ids[scores >= low])) >= k:
-            keep = scores >= low
-            ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))
-    ids, scores = ids[order], scores[order]
-    _, first = np.unique(ids, return_index=True)
-    first = np.sort(first)[:k]
-    return ids[first], scores[first]
+        keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        ids, scores = ids[keep], scores[keep]
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
 
 
 def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -95,46 +92,66 @@ def decimals(scores: np.ndarray) -> pa.Array:
 
 
 class Cell:
-    """Vectors of like length: longest first, with sorted lists of unit coordinates."""
+    """Vectors of like length: longest first, and their unit vectors by coordinate."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, longest: float):
         length = np.sqrt((rows.astype(float) ** 2).sum(axis=1))
         order = np.argsort(-length, kind="stable")
         self.ids, self.rows, self.length, self.longest = ids[order], rows[order].astype(float), length[order], longest
-        self.unit = self.rows / np.maximum(self.length, 1e-300)[:, None]
-        self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def sorted_list(self, f: int) -> tuple[np.ndarray, np.ndarray]:
-        if f not in self.lists:
-            order = np.argsort(self.unit[:, f], kind="stable")
-            self.lists[f] = order, self.unit[order, f]
-        return self.lists[f]
-
-    def candidates(self, query: np.ndarray, size: float, threshold: float) -> np.ndarray | slice:
-        """Rows that can reach the threshold."""
-        if threshold <= 0 or size == 0:
+        self.unit = np.ascontiguousarray((self.rows / np.maximum(self.length, 1e-300)[:, None]).T)
+        self.verified = 0
+
+    def verify(self, some: np.ndarray | slice, query: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact products of some rows, the query's own id left out."""
+        ids = self.ids[some]
+        self.verified += len(ids)
+        scores = products(self.rows[some], query)
+        return ids[ids != own], scores[ids != own]
+
+    def top(self, query: np.ndarray, own: int, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of the cell that reach the threshold."""
+        size = float(np.sqrt(query @ query))
+        n = len(self.ids)
+        if size == 0 or n <= FIRST:
+            ids, scores = self.verify(slice(None), query, own)
+        else:
+            unit = query / size
+            order = np.argsort(-np.abs(unit), kind="stable")
+            used = min(COORDINATES, len(unit))
+            x = self.unit[order[:used]]
+            part, energy = unit[order[:used]] @ x, np.einsum("ij,ij->j", x, x)
+            looks = part * self.length
+            first = np.argpartition(-looks, FIRST)[:FIRST]
+            score = np.sort(self.verify(first, query, own)[1])
+            if len(score) >= k:
+                threshold = max(threshold, below(score[-k]))
+            some = self.candidates(unit, order, used, part, energy, size, threshold)
+            ids, scores = self.verify(some, query, own)
+        keep = scores >= threshold if np.isfinite(threshold) else slice(None)
+        return best(ids[keep], scores[keep], k)
+
+    def candidates(
+        self, unit: np.ndarray, order: np.ndarray, used: int, part: np.ndarray, energy: np.ndarray, size: float, threshold: float
+    ) -> np.ndarray | slice:
+        """Rows that can reach the threshold, by length or by the coordinates used so far and more."""
+        if not np.isfinite(threshold):
             return slice(None)
         local = threshold / (size * max(self.longest, 1e-300))
-        if local > 1 + SLACK:
-            return slice(0, 0)
         if local < COORDINATES_FROM:
-            return slice(0, int(np.searchsorted(-self.length, -threshold / size * (1 - SLACK), "right")))
-        local, unit = min(1.0, local), query / size
-        ranges = []
-        for f in np.argsort(-np.abs(unit))[:COORDINATES].tolist():
-            middle, half = unit[f] * local, np.sqrt(max(0.0, (1 - local * local) * (1 - unit[f] * unit[f]))) + SLACK
-            low = middle - half if unit[f] > local or middle - half > -1 else -1.0
-            high = 1.0 if unit[f] > local else middle + half
-            low = -1.0 if -unit[f] > local else low
-            order, values = self.sorted_list(f)
-            a, b = np.searchsorted(values, low - SLACK, "left"), np.searchsorted(values, high + SLACK, "right")
-            ranges.append((b - a, f, low, high, order[a:b]))
-        ranges.sort(key=lambda r: r[0])
-        found = ranges[0][4]
-        for _, f, low, high, _ in ranges[1:]:
-            x = self.unit[found, f]
-            found = found[(x >= low - SLACK) & (x <= high + SLACK)]
-        return found
+            short = int(np.searchsorted(-self.length, -threshold / size * (1 - SLACK), "right")) if threshold > 0 else len(self.ids)
+            return slice(0, short)
+        some = None
+        while True:
+            rest = np.sqrt(max(0.0, 1 - float(unit[order[:used]] @ unit[order[:used]])))
+            length = self.length if some is None else self.length[some]
+            bound = (part + rest * np.sqrt(np.maximum(0, 1 - energy)) + SLACK) * length * size
+            stay = np.flatnonzero(bound >= threshold)
+            some, part, energy = stay if some is None else some[stay], part[stay], energy[stay]
+            more = min(2 * used, len(unit))
+            if used >= len(unit) // 2 or not len(some):
+                return some
+            x = self.unit[order[used:more]][:, some]
+            part, energy, used = part + unit[order[used:more]] @ x, energy + np.einsum("ij,ij->j", x, x), more
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -142,9 +159,12 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return flat.reshape(-1, width) if width else np.zeros((len(column), 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, scale: int, largest: float = LARGEST) -> DataFrame:
-    """``query_id, rank, vec_id, score (decimal)`` for every query among ``vectors (vec_id, embedding)``."""
-    v = whole(F.col("embedding"), scale, largest)
+def search(vectors: DataFrame, is_query: Column, k: int, scale: int, verified: Accumulator | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score (decimal)`` for every query among ``vectors (vec_id, embedding)``.
+
+    ``verified`` is raised by the number of exact products in cells.
+    """
+    v = whole(F.col("embedding"), scale)
     rows = (
         vectors.where(F.col("vec_id").isNotNull())
         .select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
@@ -196,12 +216,13 @@ def search(vectors: DataFrame, is_query: Column, k: int, scale: int, largest: fl
     places = rows.sparkSession.createDataFrame([b[:4] for b in buckets], "dim int, bucket int, at int, parts int") if buckets else None
     if places is None:
         return rows.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {SCORE}")
-    right = rows.join(F.broadcast(places), ["dim", "bucket"]).select(
-        "vec_id",
-        "v",
-        F.lit(None).cast("double").alias("threshold"),
-        (F.col("at") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("cell"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
+    at = (F.col("at") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")
+    live = left.select("cell", "block").distinct()  # blocks and the cells that any of their queries needs
+    right = (
+        rows.join(F.broadcast(places), ["dim", "bucket"])
+        .select("vec_id", "v", F.lit(None).cast("double").alias("threshold"), at.alias("cell"))
+        .join(live, "cell")
+        .select("vec_id", "v", "threshold", "cell", "block")
     )
 
     def meet(group: pa.Table) -> pa.Table:
@@ -215,19 +236,14 @@ def search(vectors: DataFrame, is_query: Column, k: int, scale: int, largest: fl
         if (~asks).any():
             c = Cell(ids[~asks], values[~asks], longest)
             for i in np.flatnonzero(asks).tolist():
-                q = values[i].astype(float)
-                some = c.candidates(q, float(np.sqrt(q @ q)), threshold[i])
-                other, scores = c.ids[some], products(c.rows[some], q)
-                keep = other != ids[i]
-                if np.isfinite(threshold[i]):
-                    keep &= scores >= threshold[i]
-                top, score = best(other[keep], scores[keep], k)
+                top, score = c.top(values[i].astype(float), int(ids[i]), float(threshold[i]), k)
                 for column, a in zip(out, (np.full(len(top), ids[i]), top, score)):
                     column.append(a)
+            if verified is not None:
+                verified.add(c.verified)
         query_id, other, score = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in out)
         return pa.table([query_id.astype(np.int64), other.astype(np.int64), decimals(score)], ["query_id", "vec_id", "score"])
 
     pairs = left.unionByName(right).groupBy("cell", "block").applyInArrow(meet, f"query_id long, vec_id long, score {SCORE}")
-    each = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

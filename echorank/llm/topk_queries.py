@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +28,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @query("op2_norm_bucket_topk", OP2_SQL)
 def op2_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = search(vectors, F.pmod(F.col("vec_id"), F.lit(QUERY_EVERY)) == 0, K, SCALE, math.inf)
+    found = search(vectors, F.pmod(F.col("vec_id"), F.lit(QUERY_EVERY)) == 0, K, SCALE)
     fits = F.col("score").between(F.lit(Decimal(-(2**63))), F.lit(Decimal(2**63 - 1)))
     return found.withColumn("score", F.when(fits, F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score leaves 64 bits")).cast("long")))
