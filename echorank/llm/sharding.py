@@ -22,6 +22,8 @@ from echorank.llm.tables import written
 HASH_BITS = 60
 # Fine prefixes counted in one pass beyond those that an even split would need.
 SPARE_BITS = 6
+# Buckets up to this depth are broadcast: fewer than 2 ** (SHALLOW + 1) rows of four numbers.
+SHALLOW = 11
 
 
 def hash60(*parts: Column) -> Column:
@@ -46,10 +48,13 @@ def _level(cells: DataFrame, bits: int, start: int, limit: int, deepest: bool) -
     if deepest:
         fits = fits | (F.col("depth") == bits)
     leaves = sums.where(fits).select("depth", "bucket", F.col("b").alias("bucket_bytes"), F.col("rows").alias("bucket_rows"))
+    # A shallow bucket has many cells, but there are few such buckets: they go to all tasks.
+    # A deeper one has its share of the cells, by the hash.
+    places, shallow = every.select("cell", "depth", "bucket"), F.col("depth") <= SHALLOW
+    met = places.where(shallow).join(F.broadcast(leaves.where(shallow)), ["depth", "bucket"])
+    met = met.unionByName(places.where(~shallow).join(leaves.where(~shallow), ["depth", "bucket"]))
     return (
-        every.select("cell", "depth", "bucket")
-        .join(leaves, ["depth", "bucket"])
-        .groupBy("cell")
+        met.groupBy("cell")
         .agg(F.min(F.struct("depth", "bucket", "bucket_bytes", "bucket_rows")).alias("leaf"))
         .select("cell", "leaf.*")
     )
