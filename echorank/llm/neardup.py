@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echorank.llm.components import components
+from echorank.llm.components import components, salted_join
 from echorank.llm.tables import written
 from echorank.llm.words import SPACED, Hasher, cut, mix, slices
 
@@ -146,9 +146,8 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(
-        sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a"
-    )
+    both = salted_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a", "b")
+    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     union = F.size("x") + F.size("y") - common
     return both.where(100 * common >= percent * union).select("a", "b").distinct()
@@ -227,7 +226,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     sets = written(full_sets(texts, size), "neardup-sets")
     near = 100 * F.least("n_shingles", "first.n_shingles") >= percent * F.greatest("n_shingles", "first.n_shingles")
-    pairs = buckets.where(near).select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = written(buckets.where(near).select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "neardup-pairs")
     links = written(confirm(pairs, sets, percent), "neardup-links")
     pool = buckets.select("band", "doc_id", "n_shingles")
     while True:
