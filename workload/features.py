@@ -508,16 +508,28 @@ def beat_notes_pre_averaged(spark, sf_dir):
 @register(
     "note_sequences",
     f"""WITH {_BEATS_SQL}, mn AS (SELECT id, beat, s, [{_MEANS_SQL}] AS m FROM jn GROUP BY id, s, beat)
-SELECT id, count(*) AS beats, {_text_sql('list_concat(' + ', '.join(f'list(m[{i}] ORDER BY beat, s)' for i in (1, 12)) + ')')} AS edge_rows FROM mn GROUP BY id""",
+SELECT id, count(*) AS beats, {_text_sql('list_concat(' + ', '.join(f'list(m[{i}] ORDER BY beat, s)' for i in range(1, 13)) + ')')} AS rows FROM mn GROUP BY id""",
 )
 def note_sequences(spark, sf_dir):
-    """Beat means as one 12-row matrix per item; the first and the last row of it."""
+    """Beat means as one matrix of twelve rows per item."""
     frames, beats = event_beats(spark, sf_dir)
     means = B.beat_means(frames, beats, _WIDTH).select("id", "beat", F.col("mean").alias("chroma"))
     matrix = B.chroma_matrix(means)
-    n = (F.size("chroma") / 12).cast("int")
-    edges = F.concat(F.slice("chroma", F.lit(1), n), F.slice("chroma", n * 11 + 1, n))
-    return matrix.select("id", n.cast("long").alias("beats"), _as_text(edges).alias("edge_rows"))
+    return matrix.select("id", (F.size("chroma") / 12).cast("long").alias("beats"), _as_text("chroma").alias("rows"))
+
+
+@register(
+    "note_pitches",
+    f"""WITH {_BEATS_SQL}, li AS (SELECT id, avg(list_sum(v)) / 2 AS lim FROM fr GROUP BY id),
+hd AS (SELECT jn.id, s, beat, CASE WHEN v IS NULL OR list_sum(v) <= lim THEN {_SILENT_SQL} ELSE {_STRONG_SQL.format(v='v')} END AS h FROM jn LEFT JOIN li USING (id)),
+sm AS (SELECT id, beat, s, [{', '.join(f'round(sum(h[{i}]), 9)' for i in range(1, 13))}] AS t FROM hd GROUP BY id, s, beat)
+SELECT id, string_agg(CAST(list_position(t, list_max(t)) - 1 AS VARCHAR), ',' ORDER BY beat, CAST(list_position(t, list_max(t)) - 1 AS INTEGER)) AS pitches FROM sm GROUP BY id""",
+)
+def note_pitches(spark, sf_dir):
+    """The notes of every item in the order of its beats."""
+    frames, beats = event_beats(spark, sf_dir)
+    notes = B.note_sequence(B.beat_notes(frames, beats, width=_WIDTH))
+    return notes.select("id", F.array_join(F.col("pitches").cast("array<string>"), ",").alias("pitches"))
 
 
 _TEMPO_SQL = """cl AS (SELECT user_id AS id, epoch_us(ts) / 1e6 / 7200 AS t FROM events WHERE event_type = 'click'),
