@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from echorank.llm.tables import written
 
 
-#: A key with more than this share of the rows is joined by broadcast.
+#: A key with more than this share of the rows is dealt to several tasks.
 HOT_SHARE = 1000
 
 
@@ -23,9 +23,10 @@ def hot_keys(left: DataFrame, on: str) -> DataFrame | None:
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
-    """As ``spread_join`` for rows of ``right`` of any width: a hot row is copied once per part.
+    """The inner join of ``left`` and ``right``, which has each value of ``on`` once.
 
-    ``left``'s rows of a hot value are dealt to its parts by the column ``by``.
+    A hot row of ``right`` is copied once per part, and ``left``'s rows of its value are
+    dealt to the parts by the column ``by``. So no task gets all rows of a value.
     """
     hot = hot_keys(left, on)
     if hot is None:
@@ -36,19 +37,6 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFram
     return dealt.join(copied, [on, "_part"]).drop("_part")
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """The inner join of ``left`` and ``right``, which has each value of ``on`` once.
-
-    Fewer than ``HOT_SHARE`` values can have more than that share of ``left``'s rows. Their
-    rows of ``right`` go to all tasks; what is left has no large key.
-    """
-    named = hot_keys(left, on)
-    if named is None:
-        return left.join(right, on)
-    few = F.broadcast(right.join(named, on, "left_semi"))
-    return left.join(few, on).unionByName(left.join(named, on, "left_anti").join(right, on))
-
-
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every id in ``links (a, b)``: the smallest id it reaches.
 
@@ -57,8 +45,8 @@ def components(links: DataFrame) -> DataFrame:
     other one go by the ids, which ends stars and copies at once; the rounds between
     go by a hash, which shortens chains by a constant factor whatever their ids are.
     So rounds grow with the logarithm of the longest chain. A hub's links are a large
-    join key: ``spread_join`` leaves them where they are. Rows with a NULL are void; an
-    empty table gives an empty one.
+    join key, which AQE splits. Rows with a NULL are void; an empty table gives an
+    empty one.
     """
     links = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
     edges, steps = links, []
@@ -69,22 +57,18 @@ def components(links: DataFrame) -> DataFrame:
         pick = both.groupBy("a").agg(F.min(place("b")).alias("n")).select(
             F.col("a").alias("old"), F.least(place("a"), F.col("n"))["id"].alias("new")
         )
-        pick = written(pick, "cc-pick")
         onward = pick.select(F.col("old").alias("new"), F.col("new").alias("newer"))
-        steps.append(written(spread_join(pick, onward, "new").select("old", F.col("newer").alias("new")), "cc-step"))
+        steps.append(written(pick.join(onward, "new").select("old", F.col("newer").alias("new")), "cc-step"))
         a, b = (steps[-1].select(F.col("old").alias(c), F.col("new").alias(f"n{c}")) for c in "ab")
-        half = written(spread_join(edges, a, "a"), "cc-half")
-        moved = spread_join(half, b, "b").where(F.col("na") != F.col("nb"))
+        moved = edges.join(a, "a").join(b, "b").where(F.col("na") != F.col("nb"))
         edges = written(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "cc-links")
         if edges.isEmpty():
             break
     labels = steps[0].select(F.col("old").alias("id"), F.col("new").alias("root"))
     for step in steps[1:]:
-        # Roots that no later round has moved stay: the others meet their step.
-        moved = step.select(F.col("old").alias("root"), "new")
-        every = moved.unionByName(labels.select("root").distinct().join(moved, "root", "left_anti").withColumn("new", F.col("root")))
-        labels = written(spread_join(labels, every, "root").select("id", F.col("new").alias("root")), "cc-labels")
+        labels = labels.join(step, labels["root"] == step["old"], "left").select("id", F.coalesce("new", "root").alias("root"))
     if len(steps) == 1:  # by the ids, so the root is the smallest
         return labels.withColumnRenamed("root", "component")
+    labels = written(labels, "cc-labels")
     smallest = labels.groupBy("root").agg(F.min("id").alias("component"))
-    return written(spread_join(labels, smallest, "root").select("id", "component"), "cc-components")
+    return written(labels.join(smallest, "root").select("id", "component"), "cc-components")

@@ -15,14 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once below ``spark.checkpoint.dir`` and read again.
 
     The written table survives lost executors and cuts the lineage; later readers
     prune its columns.
     """
     path = scratch_path(df.sparkSession, f"llm-{label}")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
