@@ -21,9 +21,13 @@ columns are kept up to the end. Empty tables give empty tables with the same col
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echorank.llm import bpe, contamination, neardup, pii, toxicity
 from echorank.llm.bpe_queries import VOCABULARY
@@ -39,19 +43,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept rows. Rows are numbered and written once, so that rows of one id are told apart;
-    only slim rows are joined and counted, the texts move once."""
+    only slim rows are joined and counted. The numbers of the dropped rows are written, so
+    Spark knows their size: few enough go to all tasks, else the texts move once."""
     row, others = free_name(docs.columns, "row"), [c for c in docs.columns if c not in ("doc_id", "text")]
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows", "zstd")
     named = numbered.where(F.col("doc_id").isNotNull())
     found = neardup.near_duplicates(named.select(F.col(row).alias("doc_id"), "text"), SHINGLE, PERCENT)
     digest = F.md5(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")))
     rest = F.md5(F.to_json(F.struct(*others))) if others else F.lit("")
     slim = named.select(F.col(row).alias("n"), F.col("doc_id").alias("id"), digest.alias("digest"), rest.alias("rest"))
-    slim = slim.join(found.select(F.col("doc_id").alias("n"), F.col("component_id").alias("component")), "n")
+    slim = written(slim.join(found.select(F.col("doc_id").alias("n"), F.col("component_id").alias("component")), "n"), "pipeline-slim")
     first = slim.groupBy("component").agg(F.min(F.struct("id", "digest", "rest", "n")).alias("m")).select("m.*")
     once = first.groupBy("id", "digest").agg(F.min(F.struct("rest", "n")).alias("m")).select(F.col("m.n").alias(row))
-    stay = numbered.join(once, row, "left_semi").unionByName(numbered.where(F.col("doc_id").isNull()))
-    return stay.select(*docs.columns)
+    gone = written(slim.select(F.col("n").alias(row)).join(once, row, "left_anti"), "pipeline-gone")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,14 +70,18 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, decoded again and compared with the text; a difference fails the job."""
+    """Token ids, decoded again in the same task and compared with the text; a difference fails the job."""
     keep, path = [c for c in docs.columns if c != "text"], public_tokenizers.path(VOCABULARY)
-    ids, n, back = free_name(docs.columns, "ids"), free_name(docs.columns, "n_tokens"), free_name(docs.columns, "decoded")
-    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN, docs.columns, ids)
-    checked = bpe.decode(tokens, path, [*docs.columns, ids], ids, back)
-    same = F.col(back) == F.coalesce("text", F.lit(""))
-    sound = F.when(same, F.col(ids)).otherwise(F.raise_error(F.lit("token ids that do not decode to their text")))
-    return checked.select(*keep, sound.alias(ids)).withColumn(n, F.size(ids).cast("long"))
+    ids, n, own, back = (free_name(docs.columns, c) for c in ("ids", "n_tokens", "text_md5", "decoded_md5"))
+
+    def round_trip(vocabulary, found):
+        return found.astype(np.int32), hashlib.md5(vocabulary.decode(found).tobytes()).hexdigest()
+
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(back, T.StringType())]
+    named = docs.withColumn(own, F.md5(F.coalesce("text", F.lit(""))))
+    tokens = bpe.encode(named, path, public_tokenizers.PATTERN, [*keep, own], derive=(fields, round_trip))
+    sound = F.when(F.col(own) == F.col(back), F.col(ids)).otherwise(F.raise_error(F.lit("token ids that do not decode to their text")))
+    return tokens.select(*keep, sound.alias(ids)).withColumn(n, F.size(ids).cast("long"))
 
 
 STAGES = [
