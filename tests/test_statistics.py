@@ -53,6 +53,24 @@ def test_segment_statistics(spark):
     assert np.allclose(get(segment_stats(df, ["id"], "v")), row_moments(data.T).ravel(order="F"))
 
 
+def test_segment_statistics_of_groups_taken_apart(spark):
+    """Large groups, ragged ones and ones with gaps go by position, with the same results."""
+    rng = np.random.default_rng(5)
+    rows = [(k, v.tolist()) for k in ("a", "hot", None) for v in rng.random((40 if k == "hot" else 5, 3))]
+    rows += [("ragged", [1.0]), ("ragged", [3.0, 5.0]), ("gap", [None, 2.0]), ("gap", [4.0, 6.0]), ("void", None), ("empty", [])]
+    df = spark.createDataFrame(rows, "id string, v array<double>").repartition(4)
+    for statistic in (segment_mean, segment_median, segment_stats):
+        whole, apart = ({r.id: r.m for r in statistic(df, ["id"], "v", "m", group_values=n).collect()} for n in (60, 0))
+        assert set(whole) == set(apart) == {"a", "hot", None, "ragged", "gap"}
+        assert all(np.allclose(whole[k], apart[k]) for k in whole if k is not None or statistic is not segment_stats)
+    want = np.array([v for k, v in rows if k is None])
+    assert np.allclose(whole[None], row_moments(want.T).ravel(order="F"))
+    means = {r.id: r.m for r in segment_mean(df, ["id"], "v", "m").collect()}
+    assert means["ragged"] == [2.0, 5.0] and means["gap"] == [4.0, 4.0]
+    plan = segment_mean(df, ["id"], "v", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
+
+
 def test_gaussian_model(spark):
     frames = np.random.default_rng(2).random((30, 13))
     row = gaussian_model(spark.createDataFrame([("a", f.tolist()) for f in frames], "id string, v array<double>")).first()
