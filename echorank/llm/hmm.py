@@ -13,9 +13,10 @@ and emissions in every task and sums them by Spark; a block gets the counts of i
 words back by a join on the distinct words, so no token is shuffled for itself. The
 likelihood of a text is that of the scaled forward recursion over all its tokens.
 
-Training reads all tokens of the training texts; there a text longer than
-``SEGMENT`` tokens counts as several sequences, which bounds the memory of the
-backward recursion. Scores are exact for any length.
+Training reads all tokens of the training texts, whole: a text longer than ``SEGMENT``
+tokens is worked on in pieces, which bounds the memory of the backward recursion, but
+products of the pieces' transfer matrices carry the states from piece to piece, so its
+expected counts are those of one sequence. Scores are exact for any length too.
 
 Defined results: NULL is an empty text, whose only token is its end; a NULL id counts
 as an empty text for its fold; repeated rows each give a row; without training texts
@@ -38,7 +39,7 @@ from echorank.llm.words import SPACED, Hasher, cut, mix, slices
 
 STATES, ITERATIONS = 8, 6
 OWN, SHARED = 4096, 1024
-#: Bytes of text in a block, blocks in a file, tokens of a training sequence, tokens computed together.
+#: Bytes of text in a block, blocks in a file, tokens of a piece in training, tokens computed together.
 BLOCK, BLOCKS_PER_FILE, SEGMENT, CELLS = 16 << 20, 4, 512, 1 << 17
 END = np.uint64(0)
 #: Weight of the overall class shares in each state's emissions.
@@ -189,26 +190,84 @@ def first_model(share: np.ndarray, states: int, seed: int = 7) -> Model:
     return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def batches_of(begin: np.ndarray, size: np.ndarray):
-    """Sequences of like length, longest first, in groups of bounded size."""
+def batches_of(size: np.ndarray):
+    """Places of sequences of like length, longest first, in groups of bounded size."""
     order, i = np.argsort(-size, kind="stable"), 0
     while i < len(order):
         j = i + max(1, CELLS // max(1, int(size[order[i]])))
-        yield begin[order[i:j]], size[order[i:j]]
+        yield order[i:j]
         i = j
 
 
-def expected(model: Model, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> float:
-    """Adds the expected counts of some sequences; their log10 likelihood."""
+@dataclass
+class Pieces:
+    """Stretches of training texts, with the states before their first and after their last token."""
+
+    begin: np.ndarray
+    size: np.ndarray
+    first: np.ndarray  # begins its text
+    before: np.ndarray  # pieces x states: forward shares at the end of the piece before
+    entry: np.ndarray  # the same one move later, the start of the model for a first piece
+    leave: np.ndarray  # backward shares at the last token, up to a factor; ones for a last piece
+
+
+def links(model: Model, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Per piece, up to a factor, the likelihood of its tokens by the states of the first and the last one."""
+    states = len(model.start)
+    out = np.empty((len(begin), states, states))
+    for pick in batches_of(size):
+        b, n = begin[pick], size[pick]
+        live = np.searchsorted(-n, -np.arange(int(n[0])), "left")
+        x = np.eye(states)[None] * model.emit[codes[b]][:, None, :]
+        for t in range(1, int(n[0])):
+            k = live[t]
+            y = (x[:k].reshape(k * states, states) @ model.move).reshape(k, states, states)
+            y *= model.emit[codes[b[:k] + t]][:, None, :]
+            if t % 8 == 0:
+                y /= y.sum(axis=(1, 2), keepdims=True)
+            x[:k] = y
+        out[pick] = x / x.sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def pieces(model: Model, codes: np.ndarray, size: np.ndarray, pick: np.ndarray) -> Pieces:
+    """The picked texts of a block in pieces of at most ``SEGMENT`` tokens."""
+    begin, size = (np.cumsum(size) - size)[pick], size[pick]
+    parts = -(-size // SEGMENT)
+    head = np.cumsum(parts) - parts
+    number = np.arange(parts.sum()) - np.repeat(head, parts)
+    at, length = np.repeat(begin, parts) + number * SEGMENT, np.minimum(SEGMENT, np.repeat(size, parts) - number * SEGMENT)
+    states = len(model.start)
+    before, entry, leave = np.zeros((len(at), states)), np.tile(model.start, (len(at), 1)), np.ones((len(at), states))
+    long = np.flatnonzero(np.repeat(parts, parts) > 1)
+    if len(long):
+        link = links(model, codes, at[long], length[long])
+        place = np.full(len(at), -1)
+        place[long] = np.arange(len(long))
+        for j in range(1, int(parts.max())):
+            now = head[parts > j] + j
+            a = np.einsum("wi,wij->wj", entry[now - 1], link[place[now - 1]])
+            before[now] = a / a.sum(axis=1, keepdims=True)
+            entry[now] = before[now] @ model.move
+        for j in range(int(parts.max()) - 1, 0, -1):
+            now = head[parts > j] + j
+            v = np.einsum("wij,wj->wi", link[place[now]], leave[now]) @ model.move.T
+            leave[now - 1] = v / v.sum(axis=1, keepdims=True)
+    return Pieces(at, length, number == 0, before, entry, leave)
+
+
+def expected(model: Model, codes: np.ndarray, texts: Pieces, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> float:
+    """Adds the expected counts of some texts; their log10 likelihood."""
     total, states = 0.0, len(model.start)
-    for b, n in batches_of(begin, size):
+    for pick in batches_of(texts.size):
+        b, n, first, leave = texts.begin[pick], texts.size[pick], texts.first[pick], texts.leave[pick]
         steps, width = int(n[0]), len(b)
         live = np.searchsorted(-n, -np.arange(steps), "left")  # sequences longer than t
         at = np.minimum(b[None, :] + np.arange(steps)[:, None], len(codes) - 1)
         seen = codes[at]
         out = model.emit[seen]
         alpha, beta, scale = np.zeros((steps, width, states)), np.ones((steps, width, states)), np.ones((steps, width))
-        a = model.start * out[0]
+        a = texts.entry[pick] * out[0]
         for t in range(steps):
             k = live[t]
             if t:
@@ -216,6 +275,8 @@ def expected(model: Model, codes: np.ndarray, begin: np.ndarray, size: np.ndarra
             s = a.sum(axis=1)
             alpha[t, :k], scale[t, :k] = a / s[:, None], s
         out /= scale[:, :, None]
+        end = (n - 1, np.arange(width))
+        beta[end] = leave / (alpha[end] * leave).sum(axis=1, keepdims=True)
         for t in range(steps - 2, -1, -1):
             k = live[t + 1]
             beta[t, :k] = (out[t + 1, :k] * beta[t + 1, :k]) @ model.move.T
@@ -225,19 +286,12 @@ def expected(model: Model, codes: np.ndarray, begin: np.ndarray, size: np.ndarra
             emitted[s] += np.bincount(seen[valid], gamma[:, s], emitted.shape[1])
         later = valid[1:]
         moved += model.move * (alpha[:-1][later].T @ (out[1:] * beta[1:])[later])
-        started += (alpha[0] * beta[0]).sum(axis=0)
+        moved += model.move * (texts.before[pick][~first].T @ (out[0] * beta[0])[~first])
+        started += (alpha[0] * beta[0])[first].sum(axis=0)
         total += np.log10(scale[valid]).sum()
     return float(total)
 
 
-def segments(size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and length of the training sequences of the picked texts of a block."""
-    begin, size = (np.cumsum(size) - size)[pick], size[pick]
-    parts = -(-size // SEGMENT)
-    number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    return np.repeat(begin, parts) + number * SEGMENT, np.minimum(SEGMENT, np.repeat(size, parts) - number * SEGMENT)
-
-
 def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> Model:
     """Baum-Welch: expected counts from every task, summed by Spark in each iteration."""
     share = vocabulary.share()
@@ -253,7 +307,7 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterat
                     kind = words.class_of(flat(batch.column("words"), i).view(np.uint64), flat(batch.column("shared"), i))
                     codes = kind[np.frombuffer(batch.column("tokens")[i].as_buffer(), np.int32)]
                     pick = ~np.asarray(batch.column("held")[i].values.to_pylist(), bool)
-                    expected(now, codes, *segments(flat(batch.column("sizes"), i), pick), emitted, moved, started)
+                    expected(now, codes, pieces(now, codes, flat(batch.column("sizes"), i), pick), emitted, moved, started)
             every = np.concatenate((emitted.ravel(), moved.ravel(), started))
             found = np.flatnonzero(every)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(every[found])], ["at", "n"])
@@ -273,8 +327,9 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterat
 
 def likelihood(model: Model, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Log10 likelihood of whole sequences by the scaled forward recursion."""
-    out, where = np.zeros(len(begin)), {int(b): i for i, b in enumerate(begin)}
-    for b, n in batches_of(begin, size):
+    out = np.zeros(len(begin))
+    for pick in batches_of(size):
+        b, n = begin[pick], size[pick]
         total, a = np.zeros(len(b)), None
         live = np.searchsorted(-n, -np.arange(int(n[0])), "left")
         for t in range(int(n[0])):
@@ -283,7 +338,7 @@ def likelihood(model: Model, codes: np.ndarray, begin: np.ndarray, size: np.ndar
             s = a.sum(axis=1)
             a = a / s[:, None]
             total[:k] += np.log10(s)
-        out[[where[int(x)] for x in b]] = total
+        out[pick] = total
     return out
 
 

@@ -48,18 +48,87 @@ def test_forward_sums_over_all_paths():
 def test_expected_counts_and_growing_likelihood():
     rng, model = np.random.default_rng(3), small_model()
     codes = rng.integers(0, 5, 4000).astype(np.int32)
-    begin, size = hmm.segments(np.array([1, 2500, 700, 799]), np.array([True, True, False, True]))
-    assert size.sum() == 3300 and size.max() <= hmm.SEGMENT
+    sizes, pick = np.array([1, 2500, 700, 799]), np.array([True, True, False, True])
+    begin, size = np.array([0, 1, 3201]), np.array([1, 2500, 799])
     last = -np.inf
     for _ in range(5):
         emitted, moved, started = np.zeros((3, 5)), np.zeros((3, 3)), np.zeros(3)
-        total = hmm.expected(model, codes, begin, size, emitted, moved, started)
-        assert np.isclose(emitted.sum(), 3300) and np.isclose(moved.sum(), 3300 - len(begin)) and np.isclose(started.sum(), len(begin))
+        texts = hmm.pieces(model, codes, sizes, pick)
+        assert texts.size.sum() == 3300 and texts.size.max() <= hmm.SEGMENT
+        total = hmm.expected(model, codes, texts, emitted, moved, started)
+        assert np.isclose(emitted.sum(), 3300) and np.isclose(moved.sum(), 3300 - 3) and np.isclose(started.sum(), 3)
         assert np.isclose(total, hmm.likelihood(model, codes, begin, size).sum()) and total >= last - 1e-9
         last = total
         model = hmm.Model(started / started.sum(), moved / moved.sum(1, keepdims=True), (emitted / emitted.sum(1, keepdims=True)).T)
 
 
+def plain_expected(model, texts):
+    """Expected counts by unscaled recursions over whole texts."""
+    classes, states = model.emit.shape
+    emitted, moved, started = np.zeros((states, classes)), np.zeros((states, states)), np.zeros(states)
+    for codes in texts:
+        alpha = [model.start * model.emit[codes[0]]]
+        for c in codes[1:]:
+            alpha.append((alpha[-1] @ model.move) * model.emit[c])
+        beta = [np.ones(states)]
+        for c in codes[:0:-1]:
+            beta.insert(0, model.move @ (model.emit[c] * beta[0]))
+        whole = alpha[-1].sum()
+        for t, c in enumerate(codes):
+            emitted[:, c] += alpha[t] * beta[t] / whole
+            if t:
+                moved += model.move * np.outer(alpha[t - 1], model.emit[c] * beta[t]) / whole
+        started += alpha[0] * beta[0] / whole
+    return emitted, moved, started
+
+
+def test_counts_of_long_texts_are_those_of_one_sequence(monkeypatch):
+    rng, model = np.random.default_rng(5), small_model()
+    codes, sizes = rng.integers(0, 5, 200).astype(np.int32), np.array([1, 90, 10, 57, 20, 22])
+    for segment, cells in ((7, 30), (10, 1000), (1, 4), (500, 1000)):
+        monkeypatch.setattr(hmm, "SEGMENT", segment), monkeypatch.setattr(hmm, "CELLS", cells)
+        got = np.zeros((3, 5)), np.zeros((3, 3)), np.zeros(3)
+        hmm.expected(model, codes, hmm.pieces(model, codes, sizes, np.ones(6, bool)), *got)
+        want = plain_expected(model, np.split(codes, np.cumsum(sizes)[:-1]))
+        assert all(np.allclose(g, w) for g, w in zip(got, want))
+
+
+def test_scores_against_plain_training(spark, monkeypatch):
+    """The whole operator against Baum-Welch and the forward recursion in plain Python."""
+    for name, value in (("OWN", 3), ("SHARED", 4), ("SEGMENT", 6)):
+        monkeypatch.setattr(hmm, name, value)
+    rng = np.random.default_rng(9)
+    vocabulary = ["the"] * 9 + ["of"] * 6 + ["house"] * 4 + ["running", "going", "singing", "walked", "Ending", "b", "été"]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(0, 30)))) + (" rare" * (i == 6)), i % 4 == 1) for i in range(16)]
+    rows += [(20, None, False), (21, "new words here", True), (0, rows[0][1], False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in hmm.score_texts(docs, 2, 3).collect()}
+
+    c = plain_counts([r[1:] for r in rows])
+    own = ["\n", *sorted(set(c) - {"\n"}, key=lambda w: -c[w])[:3]]
+
+    def ending(word):
+        tail = (word.encode()[::-1][:3] + bytes(3))[:3]
+        return int(hmm.mix(np.array([int.from_bytes(tail, "big")], np.uint64))[0]) % 4
+
+    mass = [0.5 + sum(c[w] + 0.5 for w in c if w not in own and ending(w) == k) for k in range(4)]
+    share = np.array([*[c[w] + 0.5 for w in own], *mass])
+    share /= share.sum()
+    code = lambda w: own.index(w) if w in own else 4 + ending(w)
+    model = hmm.first_model(share, 2)
+    texts = [[code(w) for w in tokens(text)] for _, text, held in rows if not held]
+    for _ in range(3):
+        emitted, moved, started = plain_expected(model, texts)
+        emitted, moved, started = emitted.T + hmm.PRIOR * share[:, None], moved + 0.5, started + 0.5
+        model = hmm.Model(started / started.sum(), moved / moved.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=0))
+    for doc, text, _ in rows:
+        a, inner = None, 0.0
+        for w in tokens(text):
+            a = (model.start if a is None else a @ model.move) * model.emit[code(w)]
+            inner += 0.0 if w in own else math.log10((c[w] + 0.5) / mass[ending(w)])
+        assert math.isclose(got[doc], math.log10(a.sum()) + inner, rel_tol=1e-9)
+
+
 def plain_counts(rows):
     c = Counter()
     for text, held in rows:
