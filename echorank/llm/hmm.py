@@ -40,7 +40,7 @@ from echorank.llm.words import SPACED, Hasher, cut, mix, slices
 STATES, ITERATIONS = 8, 6
 OWN, SHARED = 4096, 1024
 #: Bytes of text in a block, blocks in a file, tokens of a piece in training, tokens computed together.
-BLOCK, BLOCKS_PER_FILE, SEGMENT, CELLS = 16 << 20, 4, 512, 1 << 17
+BLOCK, BLOCKS_PER_FILE, SEGMENT, CELLS = 16 << 20, 4, 4096, 1 << 17
 END = np.uint64(0)
 #: Weight of the overall class shares in each state's emissions.
 PRIOR = 1.0
