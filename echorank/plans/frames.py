@@ -61,8 +61,8 @@ def recording_frames(recordings: DataFrame, kinds: Sequence[str] = KINDS, option
         raise ValueError(f"unknown kinds of frames: {sorted(unknown)}")
     from_files = "content" in recordings.columns
 
-    def analysed(name: str, mono: np.ndarray, rate: int) -> Iterator[pa.RecordBatch]:
-        x = S.resample(mono, rate, options.rate)
+    def analysed(name: str, mono: np.ndarray, rate: int, filters: dict) -> Iterator[pa.RecordBatch]:
+        x = S.resample(mono, rate, options.rate, filters)
         if "cepstra" in kinds:
             yield _rows(name, "cepstra", S.cepstra(x, options.rate, *options.cepstra))
         if "chroma" in kinds:
@@ -71,6 +71,7 @@ def recording_frames(recordings: DataFrame, kinds: Sequence[str] = KINDS, option
             yield _rows(name, "onsets", S.onset_strength(x, options.rate, *options.onsets)[None, :])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = {}
         for batch in batches:
             for i, name in enumerate(batch.column(0).to_pylist()):
                 try:
@@ -81,7 +82,7 @@ def recording_frames(recordings: DataFrame, kinds: Sequence[str] = KINDS, option
                         rate, mono = batch.column(1)[i].as_py(), np.asarray(batch.column(2)[i].values, float)
                     if not np.isfinite(mono).all():
                         raise ValueError("samples that are no numbers")
-                    yield from list(analysed(name, mono, rate))
+                    yield from list(analysed(name, mono, rate, filters))
                 except Exception as error:  # noqa: BLE001 - one bad recording must not stop the job
                     yield pa.RecordBatch.from_pylist([{"id": name, "error": f"{type(error).__name__}: {error}"}], schema=FRAMES)
 
