@@ -6,6 +6,18 @@ import numpy as np
 import pyarrow as pa
 
 
+WAVES = "id string, sample_rate int, samples array<double>"
+
+
+def wave_batch(name: str, rate: int, samples: pa.Array | None) -> pa.RecordBatch:
+    """One recording as a batch of its own, for it is large; unknown samples are NULL."""
+    if samples is None:
+        column = pa.nulls(1, pa.list_(pa.float64()))
+    else:
+        column = pa.ListArray.from_arrays(np.array([0, len(samples)], np.int32), samples)
+    return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([rate], pa.int32()), column], ["id", "sample_rate", "samples"])
+
+
 def null_index(values: pa.Array) -> pa.Array | None:
     """For each row its place among the rows that are not NULL; None without NULLs.
 

@@ -1,9 +1,71 @@
 """Work a recording costs: waves made at once, beats settled in blocks, filters made once."""
 
+import time
+
 import numpy as np
 import pytest
 
 from echorank.functions import spectral as S
+from workload import audio
+
+
+def quickest(run, times=3):
+    took = []
+    for _ in range(times):
+        began = time.perf_counter()
+        run()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+def plain_beats(onsets, per_second, bpm):
+    """Frame by frame."""
+    period = 60 * per_second / bpm
+    spread = np.exp(-0.5 * (np.arange(-int(period), int(period) + 1) * 32 / period) ** 2)
+    score = np.convolve(onsets / (onsets.std() or 1.0), spread, "same")[: len(onsets)]
+    back = np.arange(-int(round(2 * period)), -max(1, int(round(period / 2))) + 1)
+    cost = -S.EVENNESS * np.log(-back / period) ** 2
+    total, before = score.copy(), np.full(len(score), -1)
+    for t in range(len(score)):
+        ways = [(total[t + b] + c, -i) for i, (b, c) in enumerate(zip(back, cost)) if t + b >= 0]
+        if ways and max(ways)[0] > 0:
+            best, i = max(ways)
+            total[t], before[t] = score[t] + best, t + back[-i]
+    tail = max(0, len(total) - int(round(period)))
+    path = [tail + int(np.argmax(total[tail:]))]
+    while before[path[-1]] >= 0:
+        path.append(int(before[path[-1]]))
+    return np.array(path[::-1])
+
+
+@pytest.mark.parametrize("frames, bpm", [(1, 60), (20, 200), (700, 47.5), (1500, 133), (900, 239)])
+def test_beats_are_those_of_single_steps(frames, bpm):
+    rng = np.random.default_rng(frames)
+    onsets = rng.random(frames) * (rng.random(frames) < 0.2) + 0.01
+    assert S.beat_frames(onsets, 86.13, bpm).tolist() == plain_beats(onsets, 86.13, bpm).tolist()
+
+
+def test_beats_take_no_step_per_frame():
+    onsets = np.random.default_rng(1).random(60_000)
+    steps = lambda: [np.argmax(onsets[t : t + 70] + onsets[:70]) for t in range(len(onsets) - 70)]
+    assert quickest(lambda: S.beat_frames(onsets, 86.13, 100.0)) < quickest(steps)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Five vectors, one without numbers."""
+    root = str(tmp_path_factory.mktemp("tables"))
+    rows = [(i, [float(i + j) / 64 for j in range(64)] if i != 3 else None, i % 2) for i in (0, 1, 2, 3, 119)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
+    return root
+
+
+def test_waves_are_made_at_once(spark, tables):
+    waves = audio._waves(spark, tables, 2, lambda t, a: a * t, [audio.F.col("vec_id")])
+    found = {r.id: r for r in waves.collect()}
+    assert len(found) == 5 and found["song119"].sample_rate == audio.RATE
+    assert found["song119"].samples == [119.0 * (i / audio.RATE) for i in range(2 * audio.RATE)]
+    assert "lambda" not in waves._jdf.queryExecution().toString()
 
 
 def plain_resample(x, rate, to):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from echorank.functions.arrow import WAVES, wave_batch
 from echorank.functions.pitch import PITCHES
 from echorank.functions.spectral import CEPSTRA, cosine_matrix, mel_matrix
 from echorank.operators.models import gaussian_model
@@ -24,12 +27,23 @@ def _frames(waves, kind, options=OPTIONS):
     return materialize(A.recording_frames(waves, [kind], options), "frames", SEGMENT_ROWS)
 
 
-def _waves(spark, sf_dir, seconds, sample, rate=None):
-    """``(id, sample_rate, samples)`` with ``sample(second)`` of each vector's row."""
+def _waves(spark, sf_dir, seconds, sample, of, rate=None):
+    """``(id, sample_rate, samples)`` with ``sample(seconds, of)`` of each vector's row.
+
+    ``of`` are the numbers a row's sound is made of; its samples are computed at once.
+    """
+
+    def sound(batches):
+        for batch in batches:
+            for name, rate, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                known = rate is not None and None not in numbers
+                row = sample(np.arange(int(rate * seconds)) / rate, *numbers) if known else None
+                yield wave_batch(name, rate, pa.array(row) if known else None)
+
     rate = F.lit(RATE) if rate is None else rate
-    n = F.sequence(F.lit(0), (rate * seconds - 1).cast("int"))
+    numbers = F.array(*[c.cast("double") for c in of])
     rows = spread_small(vectors(spark, sf_dir))
-    return rows.select("id", rate.cast("int").alias("sample_rate"), F.transform(n, lambda i: sample(i / rate)).alias("samples"))
+    return rows.select("id", rate.cast("int").alias("sample_rate"), numbers.alias("of")).mapInArrow(sound, WAVES)
 
 
 def _weights(matrix) -> str:
@@ -65,7 +79,7 @@ def resampled_tones(spark, sf_dir):
     """Tones recorded at four sampling rates keep their pitch at a fifth one."""
     rate = F.element_at(F.array(*map(F.lit, (8000, 16000, 32000, 48000))), (F.col("vec_id") % 4 + 1).cast("int"))
     hertz = F.lit(440.0) * F.pow(F.lit(2.0), (F.col("vec_id") % 12) / 12)
-    waves = _waves(spark, sf_dir, 1, lambda t: F.sin(2 * F.pi() * hertz * t) / 2, rate)
+    waves = _waves(spark, sf_dir, 1, lambda t, hertz: np.sin(2 * np.pi * hertz * t) / 2, [hertz], rate)
     frames = A.of_kind(_frames(waves, "chroma"), "chroma")
     means = frames.groupBy("id").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(12)]).alias("m"))
     top = F.array_max("m")
@@ -81,21 +95,22 @@ def keys_of_chords(spark, sf_dir):
     """Cadences (tonic, fourth, fifth, tonic) in all keys."""
     minor = F.floor(F.col("vec_id") / 12) % 2 == 1
 
-    def sample(t):
+    def sample(t, key, minor):
         # quarters of a second: steps of the roots above the key
-        root = F.element_at(F.array(*map(F.lit, (0, 5, 7, 0))), (F.floor(t * 4) % 4 + 1).cast("int"))
-        third = F.when(minor & (root != 7), 3).otherwise(4)
-        tones = [F.sin(2 * F.pi() * 220.0 * F.pow(F.lit(2.0), (F.col("vec_id") % 12 + root + step) / 12) * t) for step in (F.lit(0), third, F.lit(7))]
+        root = np.array([0, 5, 7, 0])[np.floor(t * 4).astype(int) % 4]
+        third = np.where((minor > 0) & (root != 7), 3, 4)
+        tones = [np.sin(2 * np.pi * 220.0 * 2.0 ** ((key + root + step) / 12) * t) for step in (0, third, 7)]
         return (tones[0] + tones[1] + tones[2]) / 4
 
-    return A.item_keys(_frames(_waves(spark, sf_dir, 1, sample), "chroma")).select("id", "key", "scale")
+    waves = _waves(spark, sf_dir, 1, sample, [F.col("vec_id") % 12, minor])
+    return A.item_keys(_frames(waves, "chroma")).select("id", "key", "scale")
 
 
 @register("tempo_of_clicks", f"WITH {TABLES_SQL} SELECT id, 60 + vec_id % 120 AS bpm, true AS near, true AS steady FROM vec")
 def tempo_of_clicks(spark, sf_dir):
     """Clicks of known tempo: the tempo found, and the steps between the beats."""
     planted = 60 + F.col("vec_id") % 120
-    waves = _waves(spark, sf_dir, 12, lambda t: F.exp(-(t % (60 / planted)) * 60) * F.sin(2 * F.pi() * 1500 * t))
+    waves = _waves(spark, sf_dir, 12, lambda t, bpm: np.exp(-np.fmod(t, 60 / bpm) * 60) * np.sin(2 * np.pi * 1500 * t), [planted])
     beats = A.item_beats(_frames(waves, "onsets"), OPTIONS).withColumnRenamed("bpm", "found")
     bpm = 60 + F.substring("id", F.lit(5), F.length("id")).cast("long") % 120
     # A tempo counts as found at half or twice the clicks too, as it does for listeners.
