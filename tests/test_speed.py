@@ -5,8 +5,9 @@ import time
 import numpy as np
 import pytest
 
-from echorank.functions import spectral as S
-from workload import audio
+from echorank.functions import loudness, rhythm as R, spectral as S
+from echorank.operators.segments import segment_signal
+from workload import audio, signals
 
 
 def quickest(run, times=3):
@@ -68,6 +69,15 @@ def test_waves_are_made_at_once(spark, tables):
     assert "lambda" not in waves._jdf.queryExecution().toString()
 
 
+def test_a_waveform_is_made_once(spark, tables):
+    waves = signals.waveforms(spark, tables)
+    found = {r.id: r.samples for r in waves.collect()}
+    e = [(2 + j) / 64 for j in range(64)]
+    assert found["song3"] is None and found["song2"] == e * 1024 + [x / 2 for x in e] * 1024
+    plan = segment_signal(waves)._jdf.queryExecution().executedPlan().toString()
+    assert "flatten(" not in plan and plan.count("MapInArrow") == 1
+
+
 def plain_resample(x, rate, to):
     cut = S.BAND * min(1.0, to / rate)
     half = int(np.ceil(S.CROSSINGS / cut))
@@ -96,3 +106,15 @@ def test_a_filter_is_made_once(monkeypatch):
     for rate in range(8000, 9000, 10):
         S.resample(x[:100], rate, 11025, kept)
     assert len(kept) <= S.FILTERS
+
+
+def test_loudness_levels_of_all_bands_at_once(monkeypatch):
+    db = np.random.default_rng(0).normal(40, 60, (24, 511))
+    want = np.empty_like(db)
+    for band, curve in enumerate(loudness.band_levels()):
+        for i, v in enumerate(db[band]):
+            n = min(max(int(np.searchsorted(curve, v)), 1), len(curve) - 1)
+            low, high = loudness.PHON_LEVELS[n - 1], loudness.PHON_LEVELS[n]
+            want[band, i] = 3 if v <= curve[0] else low + (v - curve[n - 1]) / (curve[n] - curve[n - 1]) * (high - low)
+    monkeypatch.setattr(np, "searchsorted", None)
+    assert np.allclose(R.to_phon(db), want, atol=1e-9)

@@ -7,11 +7,13 @@ feature has a closed form that SQL can compute from the 64 numbers.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import compute as pc, fs
 from pyspark.sql import functions as F
 
 from echorank.functions import loudness as S
+from echorank.functions.arrow import WAVES, wave_batch
 from echorank.functions.rhythm import RhythmOptions
 from echorank.operators.segments import segment_errors, segment_signal, with_time
 from echorank.plans import extraction as X
@@ -33,10 +35,17 @@ DIGITS = 5
 
 
 def waveforms(spark, sf_dir):
-    loud = F.flatten(F.array_repeat("e", 1024))
-    soft = F.flatten(F.array_repeat(F.transform("e", lambda x: x / 2), 1024))
+    def sound(batches):
+        for batch in batches:
+            for name, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
+                e = vector.values
+                if e is not None:
+                    at = np.tile(np.arange(len(e)), 1024)
+                    e = pa.concat_arrays([e.take(at), pc.divide(e, 2.0).take(at)])
+                yield wave_batch(name, RATE, e)
+
     base = spread_small(vectors(spark, sf_dir))  # spread the small vectors, not the waveforms
-    return base.select("id", F.lit(RATE).alias("sample_rate"), F.concat(loud, soft).alias("samples"))
+    return base.select("id", "e").mapInArrow(sound, WAVES)
 
 
 def _text(column, digits: int = DIGITS):
