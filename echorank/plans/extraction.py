@@ -20,15 +20,16 @@ from ..session import SEGMENT_ROWS, materialize
 from ..sinks.columnar import write_columnar
 from ..sinks.text import write_features_csv
 from ..sources.lines import read_file_list
-from ..sources.media import AUDIO_SUFFIXES, decode_pcm, media_files, scan_media  # noqa: F401
+from ..sources.media import AUDIO_SUFFIXES, decode_pcm, media_files, scan_media, to_mono  # noqa: F401
 from ..sources.stores import read_bytes
 from ..sources.tables import load_features, read_features_csv, try_parquet
 
 TYPES = ("rp", "ssd", "rh", "tssd", "trh", "mvd")
 _BASE = {"tssd": "ssd", "trh": "rh"}
 
-# Tasks a listing is dealt to at most: its rows are tiny, the work behind them is not.
-LISTING_TASKS = 10_000
+# A listing's rows are tiny, the work behind them is not: tasks it is dealt to at most, bytes of
+# the files of a task, and tasks a core has for files of few bytes.
+LISTING_TASKS, TASK_BYTES, TASKS_A_CORE = 10_000, 16 << 20, 4
 
 FILE_FEATURES = (
     "id string, sample_rate int, seg_no int, start long, feature_type string, vec array<double>, error string, "
@@ -166,7 +167,7 @@ def file_features(
                 try:
                     content = place.as_buffer().to_pybytes() if source == "content" else read_bytes(place.as_py())
                     rate, width, samples = decode_pcm(content)
-                    mono = samples.mean(axis=1) / 2.0 ** (8 * width - 1)
+                    mono = to_mono(samples, width)
                     found, n = recording_vectors(mono, rate, types, options, skip_leadin_fadeout, step_width)
                     about = {"sample_rate": rate, "sample_width": width, "n_channels": samples.shape[1], "n_samples": len(samples)}
                     yield _recording_rows(name, second, found, {**about, "segments": n})
@@ -219,7 +220,7 @@ def file_segment_features(
 
     def rows_of(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
         rate, width, samples = decode_pcm(content)
-        mono, rate = supported(samples.mean(axis=1) / 2.0 ** (8 * width - 1), rate)
+        mono, rate = supported(to_mono(samples, width), rate)
         about = [pa.scalar(width, pa.int32()), pa.scalar(samples.shape[1], pa.int32()), pa.scalar(len(samples), pa.int64())]
         for n, start in enumerate(segment_plan(len(mono), rate, skip_leadin_fadeout, step_width)):
             end = start + SEGMENT_SIZES[rate]
@@ -256,22 +257,41 @@ def _error_row(name: str, error: Exception) -> pa.RecordBatch:
 def list_recordings(
     spark: SparkSession, source: str, suffixes: Sequence[str] | None = AUDIO_SUFFIXES, path_prefix: str | None = None
 ) -> DataFrame:
-    """``(id, id2, path)`` of what ``source`` names: a folder, a ``.txt`` list or one file.
+    """``(id, id2, path, length)`` of what ``source`` names: a folder, a ``.txt`` list or one file.
 
-    Ids are relative to a folder, and as written for a list or a file; ``id2`` is the
+    The bytes of a file are NULL in a list, whose files are not opened. Ids are relative to a folder, and as written for a list or a file; ``id2`` is the
     class, the folder a file lies in. Relative names of a list get ``path_prefix``.
     ``suffixes=None`` takes files of every kind.
     """
     if source.lower().endswith(".txt"):
         named = read_file_list(spark, source).select(F.col("path").alias("name"))
         prefix = F.lit(f"{path_prefix.rstrip('/')}/" if path_prefix else "")
-        listed = named.select("name", F.when(F.col("name").startswith("/"), F.col("name")).otherwise(F.concat(prefix, "name")).alias("path"))
+        path = F.when(F.col("name").startswith("/"), F.col("name")).otherwise(F.concat(prefix, "name"))
+        listed = named.select("name", path.alias("path"), F.lit(None).cast("long").alias("length"))
     else:
-        files = scan_media(spark, source, suffixes).select("path")
+        # Spark plans a task for a few dozen files, as if it had to read them.
+        files = scan_media(spark, source, suffixes).select("path", "length").coalesce(spread(spark))
         root = f"{source.rstrip('/')}/"
         inside = F.when(F.col("path").startswith(root), F.substring("path", F.lit(len(root) + 1), F.length("path"))).otherwise(F.col("path"))
-        listed = files.select(inside.alias("name"), "path")
-    return listed.select(file_id("name").alias("id"), class_label("path").alias("id2"), "path")
+        listed = files.select(inside.alias("name"), "path", "length")
+    return listed.select(file_id("name").alias("id"), class_label("path").alias("id2"), "path", "length")
+
+
+def spread(spark: SparkSession) -> int:
+    """Tasks of a list of small files."""
+    cores = spark.sparkContext.defaultParallelism if hasattr(spark, "_jsc") else 64  # a Connect session does not tell
+    return TASKS_A_CORE * cores
+
+
+def deal_listing(listed: DataFrame) -> tuple[DataFrame, int]:
+    """The files of a listing in tasks of about ``TASK_BYTES``, and their number.
+
+    Each of a few small files, or of unknown size, is a task of its own as long as there are cores.
+    """
+    spark = listed.sparkSession
+    count, size = listed.agg(F.count(F.lit(1)), F.sum(F.coalesce("length", F.lit(TASK_BYTES)))).first()
+    tasks = max(-(-int(size or 0) // TASK_BYTES), spread(spark))
+    return listed.repartition(max(1, min(count, tasks, LISTING_TASKS))), count
 
 
 def _stored_ids(spark: SparkSession, stub: str, name: str, columnar: bool) -> DataFrame | None:
@@ -322,9 +342,7 @@ def extract_features(
             raise ValueError("append_new needs out_stub")
         held = _stored_ids(spark, out_stub, types[0], columnar)
         listed = listed if held is None else anti_existing(listed, held)
-    listed = materialize(listed, "listing")
-    count = listed.count()
-    files = listed.repartition(max(1, min(count, LISTING_TASKS)))
+    files, count = deal_listing(materialize(listed, "listing"))
     rows = file_features(files, types, options, skip_leadin_fadeout, step_width)
     raw = materialize(rows, "file-features", SEGMENT_ROWS)
     tables: dict[str, DataFrame] = feature_tables(raw, types, label)

@@ -21,7 +21,7 @@ from ..functions.pitch import PITCHES, encode_pitch_array, transpose_chroma, tra
 from ..operators.beats import HOP, PITCH_BINS, SAMPLE_RATE, beat_chroma, beat_frame, beat_notes, chroma_matrix, note_sequence, tempo_histogram
 from ..operators.models import gaussian_model
 from ..session import SEGMENT_ROWS, materialize
-from ..sources.media import decode_pcm
+from ..sources.media import decode_pcm, to_mono
 
 KINDS = ("cepstra", "chroma", "onsets")
 FRAMES = pa.schema([("id", pa.string()), ("kind", pa.string()), ("frame", pa.int32()), ("v", pa.list_(pa.float64())), ("error", pa.string())])
@@ -77,7 +77,7 @@ def recording_frames(recordings: DataFrame, kinds: Sequence[str] = KINDS, option
                 try:
                     if from_files:
                         rate, width, samples = decode_pcm(batch.column(1)[i].as_buffer().to_pybytes())
-                        mono = samples.mean(axis=1) / 2.0 ** (8 * width - 1)
+                        mono = to_mono(samples, width)
                     else:
                         rate, mono = batch.column(1)[i].as_py(), np.asarray(batch.column(2)[i].values, float)
                     if not np.isfinite(mono).all():

@@ -109,6 +109,11 @@ def decode_pcm(content: bytes) -> tuple[int, int, np.ndarray]:
     return rate, width, flat.reshape(-1, channels)
 
 
+def to_mono(samples: np.ndarray, width: int) -> np.ndarray:
+    """The mean of the channels, in about (-1, 1)."""
+    return (samples[:, 0] if samples.shape[1] == 1 else samples.mean(axis=1)) / 2.0 ** (8 * width - 1)
+
+
 def decode_wav(files: DataFrame) -> DataFrame:
     """``(path, content)`` → waveform rows; a bad file gives a row with ``error``.
 

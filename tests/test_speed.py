@@ -1,12 +1,16 @@
 """Work a recording costs: waves made at once, beats settled in blocks, filters made once."""
 
+import io
 import time
+import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from echorank.functions import loudness, rhythm as R, spectral as S
 from echorank.operators.segments import segment_signal
+from echorank.plans import extraction as X
 from workload import audio, signals
 
 
@@ -62,7 +66,7 @@ def tables(spark, tmp_path_factory):
 
 
 def test_waves_are_made_at_once(spark, tables):
-    waves = audio._waves(spark, tables, 2, lambda t, a: a * t, [audio.F.col("vec_id")])
+    waves = audio._waves(spark, tables, 2, lambda t, a: a * t, [F.col("vec_id")])
     found = {r.id: r for r in waves.collect()}
     assert len(found) == 5 and found["song119"].sample_rate == audio.RATE
     assert found["song119"].samples == [119.0 * (i / audio.RATE) for i in range(2 * audio.RATE)]
@@ -118,3 +122,25 @@ def test_loudness_levels_of_all_bands_at_once(monkeypatch):
             want[band, i] = 3 if v <= curve[0] else low + (v - curve[n - 1]) / (curve[n] - curve[n - 1]) * (high - low)
     monkeypatch.setattr(np, "searchsorted", None)
     assert np.allclose(R.to_phon(db), want, atol=1e-9)
+
+
+def tiny_wav(n=8):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(1), w.setframerate(11025)
+        w.writeframes(bytes(range(n)))
+    return out.getvalue()
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.wav").write_bytes(tiny_wav())
+    listed = X.list_recordings(spark, str(tmp_path))
+    assert listed.rdd.getNumPartitions() <= X.spread(spark)
+    files, count = X.deal_listing(listed)
+    assert count == 300 and files.rdd.getNumPartitions() == X.spread(spark) and len({r.path for r in files.collect()}) == 300
+    large = listed.withColumn("length", F.lit(X.TASK_BYTES))
+    assert X.deal_listing(large)[0].rdd.getNumPartitions() == 300
+    assert X.deal_listing(large.where("id = '7.wav'").withColumn("length", F.lit(None).cast("long")))[0].rdd.getNumPartitions() == 1
+    found = X.extract_features(spark, str(tmp_path), ["rh"])
+    assert found["errors"].count() == 300 and len(found["errors"].inputFiles()) <= X.spread(spark)

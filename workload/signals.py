@@ -39,9 +39,11 @@ def waveforms(spark, sf_dir):
         for batch in batches:
             for name, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
                 e = vector.values
-                if e is not None:
+                if e is not None and e.null_count:
                     at = np.tile(np.arange(len(e)), 1024)
                     e = pa.concat_arrays([e.take(at), pc.divide(e, 2.0).take(at)])
+                elif e is not None:
+                    e = pa.array(np.concatenate([np.tile(e, 1024), np.tile(np.asarray(e) / 2, 1024)]))
                 yield wave_batch(name, RATE, e)
 
     base = spread_small(vectors(spark, sf_dir))  # spread the small vectors, not the waveforms
@@ -215,10 +217,20 @@ def wav_header(n_samples: int, rate: int = RATE) -> bytes:
     return struct.pack("<4sI4s", b"RIFF", 36 + n_samples, b"WAVE") + chunk + struct.pack("<4sI", b"data", n_samples)
 
 
-def wav_files(spark, sf_dir, repeat: int = 1):
+def wav_files(spark, sf_dir, repeat: int = 1, rows=None):
+    """``(id, content)`` of the vectors, or of ``rows`` with more columns, which are kept."""
     levels = F.transform("e", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round(x * 100) + 128)).cast("long")), 2, "0"))
     data = F.unhex(F.repeat(F.array_join(levels, ""), repeat))
-    return spread_small(vectors(spark, sf_dir)).select("id", F.concat(F.lit(wav_header(64 * repeat)), data).alias("content"))
+    rows = spread_small(vectors(spark, sf_dir).select("id", "e")) if rows is None else rows
+    return rows.withColumn("content", F.concat(F.lit(wav_header(64 * repeat)), data)).drop("e")
+
+
+def labelled_files(spark, sf_dir):
+    """``(folder, name, content)`` of WAV files; labels join the vectors, not the files made of them."""
+    labels = vectors(spark, sf_dir).select("id", F.concat(F.lit("tone"), "label").alias("folder"))
+    rows = vectors(spark, sf_dir).select("id", "e").join(labels, "id").repartition(4 * spark.sparkContext.defaultParallelism)
+    files = wav_files(spark, sf_dir, 1024, rows)
+    return files.select("folder", F.concat_ws("/", "folder", F.concat("id", F.lit(".wav"))).alias("name"), "content")
 
 
 _LEVEL = "greatest(0, least(255, round(v * 100) + 128))"
@@ -298,8 +310,7 @@ def write_files(files, folder: str):
 def extract_job(spark, sf_dir):
     """Files on disk to a feature CSV with labels: first a part, then what is new, then nothing."""
     stub = scratch_path(spark, "extract")
-    labels = vectors(spark, sf_dir).select("id", F.concat(F.lit("tone"), "label").alias("folder"))
-    files = wav_files(spark, sf_dir, 1024).join(labels, "id").withColumn("name", F.concat_ws("/", "folder", F.concat("id", F.lit(".wav"))))
+    files = labelled_files(spark, sf_dir)
     early = F.col("folder") == "tone1"
     for some in (files.where(early), files.where(~early), None):
         if some is not None:
@@ -326,8 +337,7 @@ def decode_errors(spark, sf_dir):
 def extract_stream_query(spark, sf_dir):
     """Files arrive in three lots, broken ones among them; every file is read in one run only."""
     root = scratch_path(spark, "stream")
-    labels = vectors(spark, sf_dir).select("id", F.concat(F.lit("tone"), "label").alias("folder"))
-    files = wav_files(spark, sf_dir, 1024).join(labels, "id").withColumn("name", F.concat_ws("/", "folder", F.concat("id", F.lit(".wav"))))
+    files = labelled_files(spark, sf_dir)
     broken = table(spark, sf_dir, "documents").groupBy("source").agg(F.encode(F.min("text"), "utf-8").alias("content"))
     broken = broken.select(F.concat(F.lit("texts/"), "source", F.lit(".wav")).alias("name"), "content")
     early = F.col("folder") == "tone1"
