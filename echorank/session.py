@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 # Rows per Arrow batch: wide feature rows, and waveform segments of 0.5 to 2 MB.
 FEATURE_ROWS = 2048
@@ -95,6 +96,20 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(ARROW_ROWS, before)
 
 
+def listing_session(spark: SparkSession, tasks: int) -> SparkSession:
+    """A session with the same settings that looks up named files in at most ``tasks`` tasks.
+
+    Spark takes up to 10,000, one per file: each costs far more than its look-up. A stream
+    reads that setting as it runs, so it cannot be set for a while only.
+    """
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set(LISTING, str(min(int(spark.conf.get(LISTING)), tasks)))
+    return session
+
+
 def materialize(df: DataFrame, label: str, rows: int = FEATURE_ROWS) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

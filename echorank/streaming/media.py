@@ -14,8 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ids import class_label, file_id
 from ..functions.rhythm import RhythmOptions
-from ..plans.extraction import _ABOUT, feature_tables, file_features
-from ..session import SEGMENT_ROWS, arrow_rows
+from ..plans.extraction import _ABOUT, feature_tables, file_features, spread
+from ..session import SEGMENT_ROWS, arrow_rows, listing_session
 from ..sources.media import AUDIO_SUFFIXES, below, local_name, suffix_glob
 
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -50,9 +50,10 @@ def extract_stream(
     nothing in the table and is repeated. A file that changes later is not read again; a
     new name is a new file. Runs until all files at hand are done.
     """
-    files = media_stream(spark, source, suffixes, max_files_per_trigger)
+    session = listing_session(spark, spread(spark))
+    files = media_stream(session, source, suffixes, max_files_per_trigger)
     rows = file_features(files, types, options, skip_leadin_fadeout, step_width)
-    with arrow_rows(spark, SEGMENT_ROWS):
+    with arrow_rows(session, SEGMENT_ROWS):
         return (
             rows.writeStream.format("parquet")
             .partitionBy("feature_type")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from echorank.functions import loudness, rhythm as R, spectral as S
 from echorank.operators.segments import segment_signal
 from echorank.plans import extraction as X
+from echorank.session import LISTING
+from echorank.streaming.media import extract_stream
 from workload import audio, signals
 
 
@@ -144,3 +146,15 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert X.deal_listing(large.where("id = '7.wav'").withColumn("length", F.lit(None).cast("long")))[0].rdd.getNumPartitions() == 1
     found = X.extract_features(spark, str(tmp_path), ["rh"])
     assert found["errors"].count() == 300 and len(found["errors"].inputFiles()) <= X.spread(spark)
+
+
+def test_a_stream_looks_up_files_in_few_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(100):
+        (tmp_path / "in" / f"{i}.wav").write_bytes(tiny_wav())
+    before, tasks = spark.conf.get(LISTING), spark.sparkContext.statusTracker()
+    query = extract_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), ["rh"])
+    query.awaitTermination()
+    stages = [tasks.getStageInfo(s) for j in tasks.getJobIdsForGroup(str(query.runId)) for s in tasks.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= X.spread(spark)
+    assert spark.conf.get(LISTING) == before and spark.read.parquet(str(tmp_path / "out")).count() == 100
