@@ -267,19 +267,21 @@ def expected(model: Model, codes: np.ndarray, texts: Pieces, emitted: np.ndarray
         seen = codes[at]
         out = model.emit[seen]
         alpha, beta, scale = np.zeros((steps, width, states)), np.ones((steps, width, states)), np.ones((steps, width))
-        a = texts.entry[pick] * out[0]
+        a, ones, back = texts.entry[pick] * out[0], np.ones((states, states)), np.ascontiguousarray(model.move.T)
         for t in range(steps):
             k = live[t]
             if t:
-                a = (alpha[t - 1, :k] @ model.move) * out[t, :k]
-            s = a.sum(axis=1)
-            alpha[t, :k], scale[t, :k] = a / s[:, None], s
+                a = alpha[t - 1, :k] @ model.move
+                a *= out[t, :k]
+            s = a @ ones  # each state has the sum: products of small matrices are quicker than sums of short rows
+            np.divide(a, s, out=alpha[t, :k])
+            scale[t, :k] = s[:, 0]
         out /= scale[:, :, None]
         end = (n - 1, np.arange(width))
         beta[end] = leave / (alpha[end] * leave).sum(axis=1, keepdims=True)
         for t in range(steps - 2, -1, -1):
             k = live[t + 1]
-            beta[t, :k] = (out[t + 1, :k] * beta[t + 1, :k]) @ model.move.T
+            np.matmul(out[t + 1, :k] * beta[t + 1, :k], back, out=beta[t, :k])
         valid = np.arange(width)[None, :] < live[:, None]
         gamma = (alpha * beta)[valid]
         for s in range(states):
@@ -330,14 +332,14 @@ def likelihood(model: Model, codes: np.ndarray, begin: np.ndarray, size: np.ndar
     out = np.zeros(len(begin))
     for pick in batches_of(size):
         b, n = begin[pick], size[pick]
-        total, a = np.zeros(len(b)), None
+        total, a, ones = np.zeros(len(b)), None, np.ones((len(model.start),) * 2)
         live = np.searchsorted(-n, -np.arange(int(n[0])), "left")
         for t in range(int(n[0])):
             k = live[t]
             a = (model.start if a is None else a[:k] @ model.move) * model.emit[codes[b[:k] + t]]
-            s = a.sum(axis=1)
-            a = a / s[:, None]
-            total[:k] += np.log10(s)
+            s = a @ ones
+            a /= s
+            total[:k] += np.log10(s[:, 0])
         out[pick] = total
     return out
 
