@@ -40,7 +40,9 @@ from echorank.llm.words import SPACED, Hasher, cut, mix, slices
 STATES, ITERATIONS = 8, 6
 OWN, SHARED = 4096, 1024
 #: Bytes of text in a block, blocks in a file, tokens of a piece in training, tokens computed together.
-BLOCK, BLOCKS_PER_FILE, SEGMENT, CELLS = 16 << 20, 4, 4096, 1 << 17
+BLOCK, BLOCKS_PER_FILE, SEGMENT, CELLS = 16 << 20, 4, 4096, 1 << 18
+#: Tokens from one scaling of the recursions to the next, tokens counted together.
+EVERY, CHUNK = 4, 1 << 13
 END = np.uint64(0)
 #: Weight of the overall class shares in each state's emissions.
 PRIOR = 1.0
@@ -211,23 +213,36 @@ class Pieces:
     leave: np.ndarray  # backward shares at the last token, up to a factor; ones for a last piece
 
 
+def packed(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Codes of sequences, longest first: all first tokens, then all second ones ...; where each step begins."""
+    step = np.arange(int(size[0]))
+    live = np.searchsorted(-size, -step, "left")  # sequences longer than t
+    at = (begin[None, :] + step[:, None])[np.arange(len(size))[None, :] < live[:, None]]
+    return codes[at].astype(np.int64), [0, *np.cumsum(live).tolist()]
+
+
 def links(model: Model, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Per piece, up to a factor, the likelihood of its tokens by the states of the first and the last one."""
     states = len(model.start)
-    out = np.empty((len(begin), states, states))
+    result, ones = np.empty((len(begin), states, states)), np.ones((states, states))
     for pick in batches_of(size):
-        b, n = begin[pick], size[pick]
-        live = np.searchsorted(-n, -np.arange(int(n[0])), "left")
-        x = np.eye(states)[None] * model.emit[codes[b]][:, None, :]
-        for t in range(1, int(n[0])):
-            k = live[t]
-            y = (x[:k].reshape(k * states, states) @ model.move).reshape(k, states, states)
-            y *= model.emit[codes[b[:k] + t]][:, None, :]
+        seen, place = packed(codes, begin[pick], size[pick])
+        out = np.take(model.emit, seen, axis=0)
+        k = len(pick)
+        # the first state leads, so that a step is one product and one multiplication
+        x, y = np.multiply(np.eye(states)[:, None], out[:k], order="C"), np.empty((states, k, states))
+        for t in range(1, len(place) - 1):
+            if k != place[t + 1] - place[t]:
+                n, k = k, place[t + 1] - place[t]
+                result[pick[k:n]] = x[:, k:].transpose(1, 0, 2)
+                x, y = np.ascontiguousarray(x[:, :k]), np.empty((states, k, states))
+            np.dot(x.reshape(-1, states), model.move, out=y.reshape(-1, states))
+            y *= out[place[t] : place[t + 1]]
             if t % 8 == 0:
-                y /= y.sum(axis=(1, 2), keepdims=True)
-            x[:k] = y
-        out[pick] = x / x.sum(axis=(1, 2), keepdims=True)
-    return out
+                y /= y.sum(axis=0) @ ones
+            x, y = y, x
+        result[pick[:k]] = x.transpose(1, 0, 2)
+    return result / result.sum(axis=(1, 2), keepdims=True)
 
 
 def pieces(model: Model, codes: np.ndarray, size: np.ndarray, pick: np.ndarray) -> Pieces:
@@ -256,41 +271,61 @@ def pieces(model: Model, codes: np.ndarray, size: np.ndarray, pick: np.ndarray)
     return Pieces(at, length, number == 0, before, entry, leave)
 
 
+def forward(model: Model, entry: np.ndarray, place: list[int], out: np.ndarray, alpha: np.ndarray, total: np.ndarray) -> None:
+    """Forward shares of packed sequences by their emissions ``out``, into ``alpha``.
+
+    Every ``EVERY`` tokens they are scaled to a sum of one, and ``out`` by the same; the
+    scales' logarithms are added to ``total``.
+    """
+    ones = np.ones_like(model.move)
+    for t in range(len(place) - 1):
+        i, j = place[t], place[t + 1]
+        a = alpha[i:j]
+        if t:
+            before = place[t - 1]
+            np.dot(alpha[before : before + j - i], model.move, out=a)
+        else:
+            a[:] = entry
+        a *= out[i:j]
+        if t % EVERY == 0:
+            s = a @ ones  # each state has the sum: products of small matrices are quicker than sums of short rows
+            a /= s
+            out[i:j] /= s
+            total[: j - i] += np.log10(s[:, 0])
+
+
 def expected(model: Model, codes: np.ndarray, texts: Pieces, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> float:
     """Adds the expected counts of some texts; their log10 likelihood."""
-    total, states = 0.0, len(model.start)
-    for pick in batches_of(texts.size):
-        b, n, first, leave = texts.begin[pick], texts.size[pick], texts.first[pick], texts.leave[pick]
-        steps, width = int(n[0]), len(b)
-        live = np.searchsorted(-n, -np.arange(steps), "left")  # sequences longer than t
-        at = np.minimum(b[None, :] + np.arange(steps)[:, None], len(codes) - 1)
-        seen = codes[at]
-        out = model.emit[seen]
-        alpha, beta, scale = np.zeros((steps, width, states)), np.ones((steps, width, states)), np.ones((steps, width))
-        a, ones, back = texts.entry[pick] * out[0], np.ones((states, states)), np.ascontiguousarray(model.move.T)
-        for t in range(steps):
-            k = live[t]
-            if t:
-                a = alpha[t - 1, :k] @ model.move
-                a *= out[t, :k]
-            s = a @ ones  # each state has the sum: products of small matrices are quicker than sums of short rows
-            np.divide(a, s, out=alpha[t, :k])
-            scale[t, :k] = s[:, 0]
-        out /= scale[:, :, None]
-        end = (n - 1, np.arange(width))
+    total, states, back = 0.0, len(model.start), np.ascontiguousarray(model.move.T)
+    picks = list(batches_of(texts.size))
+    most = max((int(texts.size[pick].sum()) for pick in picks), default=0)
+    room = np.empty((4, most, states))
+    for pick in picks:
+        n, first, leave, width = texts.size[pick], texts.first[pick], texts.leave[pick], len(pick)
+        seen, place = packed(codes, texts.begin[pick], n)
+        out, alpha, beta, flow = room[:, : len(seen)]
+        np.take(model.emit, seen, axis=0, out=out, mode="clip")
+        scale = np.zeros(width)
+        forward(model, texts.entry[pick], place, out, alpha, scale)
+        end = np.array(place)[n - 1] + np.arange(width)
+        total += scale.sum() + np.log10(alpha[end].sum(axis=1)).sum()
         beta[end] = leave / (alpha[end] * leave).sum(axis=1, keepdims=True)
-        for t in range(steps - 2, -1, -1):
-            k = live[t + 1]
-            np.matmul(out[t + 1, :k] * beta[t + 1, :k], back, out=beta[t, :k])
-        valid = np.arange(width)[None, :] < live[:, None]
-        gamma = (alpha * beta)[valid]
-        for s in range(states):
-            emitted[s] += np.bincount(seen[valid], gamma[:, s], emitted.shape[1])
-        later = valid[1:]
-        moved += model.move * (alpha[:-1][later].T @ (out[1:] * beta[1:])[later])
-        moved += model.move * (texts.before[pick][~first].T @ (out[0] * beta[0])[~first])
-        started += (alpha[0] * beta[0])[first].sum(axis=0)
-        total += np.log10(scale[valid]).sum()
+        flow[end] = 0  # at a token: the emission and backward share of the next one
+        for t in range(len(place) - 2, 0, -1):
+            i, j, before = place[t], place[t + 1], place[t - 1]
+            f = flow[before : before + j - i]
+            np.multiply(out[i:j], beta[i:j], out=f)
+            np.dot(f, back, out=beta[before : before + j - i])
+        later = np.zeros((states, states))
+        for i in range(0, len(seen), CHUNK):
+            here = slice(i, i + CHUNK)
+            later += alpha[here].T @ flow[here]
+            gamma = np.multiply(alpha[here].T, beta[here].T, order="C")
+            for s in range(states):
+                emitted[s] += np.bincount(seen[here], gamma[s], emitted.shape[1])
+        moved += model.move * later
+        moved += model.move * (texts.before[pick][~first].T @ (out[:width] * beta[:width])[~first])
+        started += (alpha[:width] * beta[:width])[first].sum(axis=0)
     return float(total)
 
 
@@ -329,19 +364,23 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterat
 
 def likelihood(model: Model, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Log10 likelihood of whole sequences by the scaled forward recursion."""
-    out = np.zeros(len(begin))
+    result, states = np.zeros(len(begin)), len(model.start)
     for pick in batches_of(size):
         b, n = begin[pick], size[pick]
-        total, a, ones = np.zeros(len(b)), None, np.ones((len(model.start),) * 2)
-        live = np.searchsorted(-n, -np.arange(int(n[0])), "left")
-        for t in range(int(n[0])):
-            k = live[t]
-            a = (model.start if a is None else a[:k] @ model.move) * model.emit[codes[b[:k] + t]]
-            s = a @ ones
-            a /= s
-            total[:k] += np.log10(s[:, 0])
-        out[pick] = total
-    return out
+        total, entry = np.zeros(len(b)), model.start
+        span = max(1, 4 * CHUNK // len(b))  # steps at a time
+        for t in range(0, int(n[0]), span):
+            k = int(np.searchsorted(-n, -t, "left"))
+            left = np.minimum(n[:k] - t, span)
+            seen, place = packed(codes, b[:k] + t, left)
+            alpha = np.empty((len(seen), states))
+            forward(model, entry, place, np.take(model.emit, seen, axis=0), alpha, total)
+            a = alpha[np.array(place)[left - 1] + np.arange(k)]
+            ended = n[:k] <= t + span
+            total[:k][ended] += np.log10(a[ended].sum(axis=1))
+            entry = a[~ended] @ model.move
+        result[pick] = total
+    return result
 
 
 def score(coded: DataFrame, counts: DataFrame, words: Vocabulary, model: Model) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -93,6 +94,72 @@ def test_counts_of_long_texts_are_those_of_one_sequence(monkeypatch):
         assert all(np.allclose(g, w) for g, w in zip(got, want))
 
 
+def stepwise_expected(model, codes, size):
+    """Expected counts by a table padded to the longest text, scaled at every token."""
+    at = np.minimum(np.cumsum(size) - size + np.arange(size.max())[:, None], len(codes) - 1)
+    valid = np.arange(size.max())[:, None] < size
+    out = np.where(valid[:, :, None], model.emit[codes[at]], 1.0)
+    alpha, beta, scale = np.empty(out.shape), np.ones(out.shape), np.empty((*valid.shape, 1))
+    for t in range(len(at)):
+        a = (alpha[t - 1] @ model.move if t else model.start) * out[t]
+        scale[t] = a @ np.ones((a.shape[1], 1))
+        alpha[t] = a / scale[t]
+    for t in range(len(at) - 1, 0, -1):
+        beta[t - 1] = (out[t] * beta[t] / scale[t]) @ model.move.T
+    gamma, later = (alpha * beta)[valid], valid[1:]
+    emitted = np.stack([np.bincount(codes[at][valid], g, len(model.emit)) for g in gamma.T])
+    moved = model.move * (alpha[:-1][later].T @ (out * beta / scale)[1:][later])
+    return emitted, moved, (alpha[0] * beta[0]).sum(axis=0), np.log10(scale[valid]).sum()
+
+
+def test_counts_take_less_than_scaling_every_token():
+    rng = np.random.default_rng(11)
+    share = 1 / np.arange(1.0, 5122)
+    share /= share.sum()
+    model, size = hmm.first_model(share, 8), rng.integers(300, 500, 500)
+    codes = rng.choice(5121, int(size.sum()), p=share).astype(np.int32)
+    texts = hmm.pieces(model, codes, size, np.ones(500, bool))
+
+    def ours():
+        got = np.zeros((8, 5121)), np.zeros((8, 8)), np.zeros(8)
+        return *got, hmm.expected(model, codes, texts, *got)
+
+    def seconds(run):
+        began = time.thread_time()
+        run()
+        return time.thread_time() - began
+
+    assert all(np.allclose(g, w) for g, w in zip(ours(), stepwise_expected(model, codes, size)))
+    plain = lambda: stepwise_expected(model, codes, size)
+    assert min(seconds(ours) for _ in range(5)) < 0.45 * min(seconds(plain) for _ in range(5))
+
+
+def test_long_texts_are_scored_a_stretch_at_a_time(monkeypatch):
+    rng, model = np.random.default_rng(6), small_model()
+    codes, size = rng.integers(0, 5, 200).astype(np.int32), np.array([1, 90, 10, 57, 20, 22])
+    begin = np.cumsum(size) - size
+    want = []
+    for text in np.split(codes, begin[1:]):
+        a = model.start * model.emit[text[0]]
+        for c in text[1:]:
+            a = (a @ model.move) * model.emit[c]
+        want.append(math.log10(a.sum()))
+    for cells, chunk in ((1, 1), (7, 5), (64, 1), (200, 8), (1000, 1000)):
+        monkeypatch.setattr(hmm, "CELLS", cells), monkeypatch.setattr(hmm, "CHUNK", chunk)
+        assert np.allclose(hmm.likelihood(model, codes, begin, size), want, rtol=1e-12)
+
+
+def test_rare_classes_do_not_vanish_between_scalings():
+    model, codes = small_model(), np.random.default_rng(8).integers(0, 5, 300).astype(np.int32)
+    size, pick, begin = np.array([300]), np.array([True]), np.array([0])
+    want, got = (np.zeros((3, 5)), np.zeros((3, 3)), np.zeros(3)), (np.zeros((3, 5)), np.zeros((3, 3)), np.zeros(3))
+    common = hmm.expected(model, codes, hmm.pieces(model, codes, size, pick), *want)
+    rare = hmm.Model(model.start, model.move, model.emit * 1e-40)
+    total = hmm.expected(rare, codes, hmm.pieces(rare, codes, size, pick), *got)
+    assert math.isclose(total, common - 40 * 300) and math.isclose(total, hmm.likelihood(rare, codes, begin, size)[0])
+    assert all(np.allclose(g, w) for g, w in zip(got, want))
+
+
 def test_scores_against_plain_training(spark, monkeypatch):
     """The whole operator against Baum-Welch and the forward recursion in plain Python."""
     for name, value in (("OWN", 3), ("SHARED", 4), ("SEGMENT", 6)):
